@@ -12,6 +12,14 @@ from inkstone.llm.common import fold, table
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkstone.llm.toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    found = score(docs, fit(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)))
+    return found.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(True)).alias("held_out"), "score", "predicted")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -28,6 +36,19 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(True)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkstone.llm.pii import find_pii
+
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkstone.llm.minhash import near_groups
+
+    found = near_groups(table(spark, sf_dir, "documents"), k=3, least=(85, 100))
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
