@@ -22,10 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkstone.llm.common import cut as keep
+
 #: Listed rules of the supplied tables: verdict, host, path.
 LISTED = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-#: Of mined rules: least share of labelled URLs with all tokens and the verdict, least confidence, most tokens.
-SUPPORT, CONFIDENCE, MOST_TOKENS = 0.01, 0.9, 3
+#: Of mined rules: least share of the URLs with all tokens and the verdict, least confidence, most tokens.
+SUPPORT, CONFIDENCE, MOST_TOKENS = 0.01, 0.6, 3
 #: Rules up to this number are broadcast.
 BROADCAST_RULES = 20_000
 #: Tokens kept of one URL for mining; further ones still count when rules are matched.
@@ -73,15 +75,17 @@ def listed_verdicts(pages: DataFrame, rules: DataFrame) -> DataFrame:
     return fits.groupBy("key").agg(best.alias("x")).select("key", "x.rule", "x.listed")
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """rule_id, tokens, verdict, confidence, support. labelled: tokens array, verdict.
+def mine(urls: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+    """rule_id, tokens, verdict, confidence, support. urls: tokens array, verdict (null where unlabelled).
 
-    FP-growth runs over all labelled URLs with the verdict as one more item; only itemsets with a verdict make rules."""
-    baskets = labelled.select(F.concat(F.slice("tokens", 1, MINED_TOKENS), F.array(F.concat(F.lit("v:"), "verdict"))).alias("items"))
+    FP-growth runs over all URLs, a label's verdict as one more item; only itemsets with a verdict make rules. URLs without a label
+    count against a rule's confidence, so that what only few labels tell of isn't taken for certain."""
+    verdict = F.when(F.col("verdict").isNull(), F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("v:"), "verdict")))
+    baskets = urls.select(F.concat(F.slice("tokens", 1, MINED_TOKENS), verdict).alias("items"))
     n = baskets.count()
     schema = "rule_id long, tokens array<string>, verdict string, confidence double, support double"
     if not n:
-        return labelled.sparkSession.createDataFrame([], schema)
+        return urls.sparkSession.createDataFrame([], schema)
     sets = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets).freqItemsets
     is_verdict = lambda x: x.startswith("v:")
     split = sets.select(F.array_sort(F.filter("items", lambda x: ~is_verdict(x))).alias("tokens"), F.filter("items", is_verdict).alias("v"), "freq")
@@ -117,8 +121,9 @@ def judge(pages: DataFrame, listed: list[tuple[str, str, str]] = LISTED) -> Data
     cut = urls.select(F.col("url").alias("key"), "url", host.alias("host"), path.alias("path"))
     cut = cut.select("key", "host", "path", tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens"))
     by_list = listed_verdicts(cut, rules)
-    mined = mine(cut.join(by_list, "key").select("tokens", F.col("listed").alias("verdict")))
-    open_pages = cut.join(by_list, "key", "left_anti")
-    verdicts = by_list.select("key", "rule", F.col("listed").alias("verdict")).unionByName(mined_verdicts(open_pages, mined).select("key", F.lit(None).cast("string").alias("rule"), F.col("mined").alias("verdict")))
+    known = keep(cut.join(by_list, "key", "left"))
+    mined = keep(mine(known.select("tokens", F.col("listed").alias("verdict"))))
+    by_rule = mined_verdicts(known.where("rule is null").select("key", "tokens"), mined)
+    verdicts = known.join(by_rule, "key", "left").select("key", "rule", F.coalesce("listed", "mined").alias("verdict"))
     found = every.join(verdicts.withColumnRenamed("key", "url"), "url", "left")
     return found.select("page_id", host.alias("host"), path.alias("path"), "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"))
