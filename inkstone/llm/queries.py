@@ -48,6 +48,12 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
 
+def op7_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkstone.llm.webp import store_and_read
+
+    return store_and_read(table(spark, sf_dir, "documents"))
+
+
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkstone.llm.substring import remove_repeats
 
