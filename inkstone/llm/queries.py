@@ -34,6 +34,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkstone.llm.backoff import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_tokens", F.round("score", 4).alias("score"), F.round("mean_score", 6).alias("mean_score"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkstone.llm.zlang import fit_dictionaries, identify
 
