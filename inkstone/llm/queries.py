@@ -84,5 +84,39 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
+LOWER = "translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = "regexp_extract_all(coalesce({t}, ''), '[^\\x20\\x09-\\x0D]+')"
+
+OP4 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS.replace("{t}", LOWER.replace("{t}", "text"))} AS ws FROM documents),
+p AS (SELECT r, unnest(range(1, len(ws) + 1)) AS i, ws FROM d),
+g AS (SELECT r, i, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS v FROM p),
+c1 AS (SELECT w, count(*) AS n FROM g GROUP BY w), c2 AS (SELECT v, w, count(*) AS n FROM g WHERE v IS NOT NULL GROUP BY v, w HAVING count(*) >= 2), t AS (SELECT count(*) AS n FROM g),
+s AS (SELECT g.r, CASE WHEN c2.n IS NOT NULL THEN ln(c2.n) - ln(cv.n) ELSE ln(c1.n) - ln(t.n) + CASE WHEN g.v IS NULL THEN 0 ELSE ln(0.4) END END AS s
+  FROM g JOIN c1 ON g.w = c1.w CROSS JOIN t LEFT JOIN c2 ON c2.v = g.v AND c2.w = g.w LEFT JOIN c1 cv ON cv.w = g.v),
+z AS (SELECT r, sum(s) AS s FROM s GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_tokens, round(coalesce(s, 0), 4) AS score, round(CASE WHEN len(ws) > 0 THEN s / len(ws) ELSE 0 END, 6) AS mean_score FROM d LEFT JOIN z USING (r)"""
+
+OP8 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS.replace("{t}", "text")} AS ws FROM documents),
+w AS (SELECT r, doc_id, unnest(range(1, len(ws) - 11)) AS i, ws FROM d WHERE len(ws) >= 13 AND doc_id IS NOT NULL),
+k AS (SELECT r, doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM w),
+m AS (SELECT k, min(doc_id) AS least FROM k GROUP BY k),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 13)) AS i FROM k JOIN m USING (k) WHERE least < doc_id),
+e AS (SELECT r, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM d),
+h AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM e ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN h USING (r)"""
+
+OP9 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {WORDS.replace("{t}", LOWER.replace("{t}", "text"))} AS ws FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(ws) >= 3 THEN list_distinct([array_to_string(ws[i:i + 2], ' ') FOR i IN range(1, len(ws) - 1)]) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS s FROM d),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+edges AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+reach(node, seen) AS (SELECT doc_id, doc_id FROM sets UNION SELECT reach.node, edges.b FROM reach JOIN edges ON reach.seen = edges.a),
+least AS (SELECT node, min(seen) AS c FROM reach GROUP BY node)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c AS component_id, doc_id = c AS kept FROM sets JOIN least ON doc_id = node"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_backoff": OP4, "op8_substring": OP8, "op9_minhash": OP9}
