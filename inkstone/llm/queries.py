@@ -118,5 +118,29 @@ least AS (SELECT node, min(seen) AS c FROM reach GROUP BY node)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c AS component_id, doc_id = c AS kept FROM sets JOIN least ON doc_id = node"""
 
 
+OP10 = f"""
+WITH u AS (SELECT DISTINCT url FROM pages WHERE url IS NOT NULL),
+r AS (SELECT url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM u),
+h AS (SELECT url, {LOWER.replace("{t}", "regexp_extract(rest, '^([^/?#]*)', 1)")} AS host, regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) AS path, regexp_extract(url, '\\?([^#]*)', 1) AS q FROM r),
+k AS (SELECT *, list_distinct(list_concat(
+    CASE WHEN host = '' THEN [] ELSE ['h' || CAST(i AS VARCHAR) || ':' || list_reverse(string_split(host, '.'))[i + 1] FOR i IN range(0, len(string_split(host, '.')))] END,
+    ['p:' || x FOR x IN string_split(path, '/') IF x <> '' AND NOT regexp_matches(x, '[0-9]')],
+    CASE WHEN q = '' THEN [] ELSE ['q:' || regexp_extract(x, '^([^=]*)', 1) FOR x IN string_split(q, '&')] END,
+    CASE WHEN strpos(url, '://') > 0 THEN ['s:' || lower(regexp_extract(url, '^(.*?)://', 1))] ELSE [] END)) AS tokens,
+  CASE WHEN ('.' || host) LIKE '%.example.net' AND starts_with(path, '/en/') THEN 'example.net/en/' WHEN ('.' || host) LIKE '%.example.com' AND starts_with(path, '/de/') THEN 'example.com/de/'
+       WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/fr/') THEN 'org/fr/' WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/') THEN 'net/' END AS rule FROM h),
+l AS (SELECT *, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS listed FROM k),
+t AS (SELECT url, listed, unnest(tokens) AS x FROM l),
+sets AS (SELECT url, listed, [x] AS s FROM t UNION ALL SELECT a.url, a.listed, [a.x, b.x] FROM t a JOIN t b ON a.url = b.url AND a.x < b.x
+  UNION ALL SELECT a.url, a.listed, [a.x, b.x, c.x] FROM t a JOIN t b ON a.url = b.url AND a.x < b.x JOIN t c ON a.url = c.url AND b.x < c.x),
+bodies AS (SELECT s, count(*) AS body FROM sets GROUP BY s),
+heads AS (SELECT s, listed AS v, count(*) AS n FROM sets WHERE listed IS NOT NULL GROUP BY s, listed HAVING count(*) >= ceil(0.01 * (SELECT count(*) FROM u))),
+rules AS (SELECT s, v, n / body AS c FROM heads JOIN bodies USING (s) WHERE n / body >= 0.6),
+less AS (SELECT s, v, c, unnest([list_filter(s, lambda y: y <> x) FOR x IN s]) AS part FROM rules),
+mined AS (SELECT * FROM rules ANTI JOIN (SELECT less.s, less.v FROM less JOIN rules p ON p.s = less.part AND p.v = less.v AND p.c >= less.c) g USING (s, v)),
+fired AS (SELECT url, max((c, len(s), v = 'block', v)) AS best FROM (SELECT url, s FROM sets WHERE listed IS NULL) JOIN mined USING (s) GROUP BY url)
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(listed, best[4], 'allow') AS verdict FROM pages LEFT JOIN l USING (url) LEFT JOIN fired USING (url)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_backoff": OP4, "op8_substring": OP8, "op9_minhash": OP9}
+    return {"op4_backoff": OP4, "op8_substring": OP8, "op9_minhash": OP9, "op10_url_rules": OP10}
