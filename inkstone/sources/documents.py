@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import struct
 from datetime import datetime, timedelta
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from inkstone.sources import package, records
 from inkstone.sources.compound import SIGNATURE, Compound, DecodeError
+from inkstone.sources.layouts import describe
 
 SCHEMAS = {
     "headers": "version string, format string, flags long, license_flags long",
@@ -32,6 +34,8 @@ SCHEMAS = {
     "pages": "section long, width long, height long, left long, right long, top long, bottom long, landscape boolean",
     "binaries": "id string, format string, data binary",
     "preview": "text string, image string",
+    "records": "stream string, seq long, parent long, level long, tag long, name string, fields string",
+    "elements": "part string, seq long, parent long, depth long, name string, attributes string, text string",
     "errors": "error string",
 }
 DIMENSIONS = ("fonts", "char_shapes", "para_shapes", "styles", "numberings", "bullets", "border_fills", "bin_items")
@@ -81,6 +85,28 @@ def decode(data: bytes, table: str) -> list[dict]:
     raise DecodeError("unknown format")
 
 
+def record_rows(stream: str, raw: bytes) -> list[dict]:
+    """Every record with its parent (the last record one level up) and its fields as JSON."""
+    out, last = [], {}
+    for seq, r in enumerate(records.records(raw)):
+        name, fields = describe(r.tag, r.data)
+        out.append({"stream": stream, "seq": seq, "parent": last.get(r.level - 1), "level": r.level, "tag": r.tag, "name": name, "fields": json.dumps(fields, ensure_ascii=False)})
+        last[r.level] = seq
+    return out
+
+
+def element_rows(part: str, root) -> list[dict]:
+    """Every XML element in document order, with its attributes as JSON."""
+    out: list[dict] = []
+    todo = [(root, None, 0)]
+    while todo:
+        e, parent, depth = todo.pop()
+        seq = len(out)
+        out.append({"part": part, "seq": seq, "parent": parent, "depth": depth, "name": package.local(e.tag), "attributes": json.dumps({package.local(k): v for k, v in e.attrib.items()}, ensure_ascii=False), "text": (e.text or "").strip() or None})
+        todo += [(c, seq, depth + 1) for c in reversed(e)]
+    return out
+
+
 def from_compound(c: Compound, table: str) -> list[dict]:
     header = records.FileHeader.parse(c.read("FileHeader"))
     if table == "headers":
@@ -94,6 +120,11 @@ def from_compound(c: Compound, table: str) -> list[dict]:
     if header.encrypted:
         raise DecodeError("encrypted with a password")
     plain = records.inflate if header.compressed else bytes
+    if table == "elements":
+        return []
+    if table == "records":
+        streams = ["DocInfo", *(p for _, p in records.section_names(c, "BodyText"))]
+        return [row for s in streams if (raw := c.read(s)) is not None for row in record_rows(s, plain(raw))]
     if table in DIMENSIONS:
         raw = c.read("DocInfo")
         if raw is None:
@@ -126,6 +157,11 @@ def from_package(p: package.Package, table: str) -> list[dict]:
     if table == "preview":
         text, image = p.part("Preview/PrvText.txt"), p.part("Preview/PrvImage.png")
         return [{"text": text.decode("utf-8", "replace") if text else None, "image": base64.b64encode(image).decode() if image else None}]
+    if table == "records":
+        return []
+    if table == "elements":
+        parts = ["version.xml", "settings.xml", "Contents/header.xml", *(n for _, n in p.sections())]
+        return [row for n in parts if (root := p.xml(n)) is not None for row in element_rows(n, root)]
     if table == "bin_items":
         return [{"id": i["id"], "format": i["format"]} for i in p.manifest()[1] if i["src"].startswith("BinData/")]
     if table in DIMENSIONS:

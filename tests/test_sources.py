@@ -5,7 +5,7 @@ import struct
 import pytest
 
 from inkstone.operators import render
-from inkstone.sources import documents, protected, records
+from inkstone.sources import documents, layouts, protected, records
 from inkstone.sources.compound import Compound, DecodeError
 from tests import containers as C
 
@@ -104,3 +104,25 @@ def test_drop_folder_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.sql("select count(*) as n from arrived").first().n == 16
+
+
+def test_record_and_element_tables(files):
+    rows = documents.read_table(files, "records").where("file = 'a.hwp'").collect()
+    assert {"char_shape", "para_shape", "para_header", "table", "list_header"} <= {r.name for r in rows}
+    by = {(r.stream, r.seq): r for r in rows}
+    assert all(by[r.stream, r.parent].level == r.level - 1 for r in rows if r.parent is not None)
+    found = documents.read_table(files, "elements").where("file = 'c.hwpx' and name = 'charPr'").collect()
+    assert sorted(r.attributes for r in found) == ['{"id": "0"}', '{"id": "1"}']
+
+
+def test_layouts_read_as_far_as_the_data_go():
+    assert layouts.describe(0x4E, struct.pack("<iiii", 1, 2, 3, 4)) == ("line", {"start_x": 1, "start_y": 2, "end_x": 3, "end_y": 4})
+    assert layouts.describe(0x52, struct.pack("<hiiii", 2, 1, 2, 3, 4))[1]["points"] == [{"x": 1, "y": 2}, {"x": 3, "y": 4}]
+    script = "x over y".encode("utf-16-le")
+    assert layouts.describe(0x58, struct.pack("<IH", 0, 8) + script)[1] == {"attribute": 0, "script": "x over y"}
+    assert layouts.describe(0x47, b"mkob" + struct.pack("<H", 2) + "ab".encode("utf-16-le")) == ("bookmark", {"control": "bokm", "name": "ab"})
+    assert layouts.describe(0x47, b"klh%" + struct.pack("<IBH", 0, 0, 1) + "u".encode("utf-16-le"))[1]["command"] == "u"
+    assert layouts.describe(0x3FF, b"\x01")[0] == "unknown"
+    for name, spec in [*layouts.RECORDS.values(), *layouts.CONTROLS.values()]:
+        assert not spec or layouts.split_fields(spec), name
+        layouts.read_fields(spec, bytes(300))
