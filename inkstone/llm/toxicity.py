@@ -24,8 +24,8 @@ from inkstone.llm.words import CHUNK, NOT_LETTER, U, chunks, grams, mix
 
 BITS = 20
 #: Bound of the fitting sample: labelled rows, those of least hash of doc_id. Passes over it.
-SAMPLE_ROWS, EPOCHS = 10_000, 6
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 10.0, 0.0
+SAMPLE_ROWS, EPOCHS = 10_000, 8
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 5.0, 0.0
 
 
 @dataclass
