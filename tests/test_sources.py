@@ -4,7 +4,7 @@ import struct
 
 import pytest
 
-from inkstone.operators import render
+from inkstone.operators import render, views
 from inkstone.sources import documents, layouts, protected, records
 from inkstone.sources.compound import Compound, DecodeError
 from tests import containers as C
@@ -126,3 +126,33 @@ def test_layouts_read_as_far_as_the_data_go():
     for name, spec in [*layouts.RECORDS.values(), *layouts.CONTROLS.values()]:
         assert not spec or layouts.split_fields(spec), name
         layouts.read_fields(spec, bytes(300))
+
+
+def test_views(spark):
+    attribute = lambda kind, shape: struct.pack("<I", kind | shape << 4)
+    controls = b"".join(C.record(0x47, 1, c[::-1] + d) for c, d in (
+        (b"atno", attribute(4, 2) + bytes(8)), (b"nwno", attribute(4, 0) + struct.pack("<H", 9)), (b"atno", attribute(4, 2) + bytes(8)), (b"atno", attribute(3, 0) + bytes(8)),
+        (b"%hlk", struct.pack("<IBH", 0, 0, 10) + "a\\:b|x;1;0".encode("utf-16-le")),
+    )) + C.record(0x58, 2, struct.pack("<IH", 0, 1) + "x".encode("utf-16-le")) + C.record(0x55, 2, bytes(71) + struct.pack("<H", 1))
+    page = C.record(0x49, 1, struct.pack("<10I", 100, 200, 1, 2, 10, 20, 0, 0, 0, 1))
+    body = C.paragraph("t", controls=controls + page)
+    file = C.compound({"FileHeader": C.file_header(0), "DocInfo": INFO, "BodyText/Section0": body, "BinData/BIN0001.png": b"x"})
+    df = spark.createDataFrame([("v.hwp", file)], "path string, content binary")
+    r, b = documents.read_table(df, "records"), documents.read_table(df, "binaries")
+    assert [(x.kind, x.n, x.text) for x in views.automatic_numbers(r).orderBy("seq").collect()] == [("table", 1, "I"), ("table", 9, "IX"), ("image", 1, "1")]
+    assert [x.url for x in views.links(r).collect()] == ["a:b"] and [x.script for x in views.equations(r).collect()] == ["x"]
+    assert [(x.bin_id, x.mime) for x in views.pictures(r, b).collect()] == [("BIN0001", "image/png")]
+    assert views.page_geometry(documents.read_table(df, "pages")).first()[2:] == (200, 100, 70)
+    assert views.missing_references(documents.read_table(df, "runs"), "char_shape", documents.read_table(df, "char_shapes")).count() == 0
+
+
+def test_command_line(spark, tmp_path):
+    from inkstone import cli
+
+    (tmp_path / "in/sub").mkdir(parents=True)
+    (tmp_path / "in/a.hwp").write_bytes(binary_file())
+    (tmp_path / "in/sub/a.hwp").write_bytes(b"broken")
+    (tmp_path / "in/c.txt").write_bytes(b"no document")
+    for command, rows in (("to-json", 1), ("to-markdown", 1), ("to-html", 1), ("info", 1), ("extract-images", 1), ("batch", 2)):
+        assert cli.result(spark, command, str(tmp_path / "in")).count() == rows, command
+    assert cli.result(spark, "extract-images", str(tmp_path / "in"), "jpg").count() == 0
