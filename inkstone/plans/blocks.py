@@ -58,7 +58,9 @@ def rowspan_cover(spark, d):
 
 def zone_override(spark, d):
     cells = order_cells(spark, d).withColumn("cell_fill", F.pmod("v", F.lit(3))).withColumn("table_fill", F.lit(9).cast("long"))
-    zones = read(spark, d, "orders").select(F.col("o_orderkey").alias("t")).crossJoin(F.broadcast(spark.createDataFrame([(0, 0, 1, 0, 0, 5), (1, 1, 3, 0, 1, 6), (2, 0, 2, 1, 1, 0)], "zone_ord int, top long, bottom long, left long, right long, zone_fill long")))
+    names = ("zone_ord", "top", "bottom", "left", "right", "zone_fill")
+    each = F.array(*(F.struct(*(F.lit(v).cast("long").alias(n) for n, v in zip(names, zone, strict=True))) for zone in ((0, 0, 1, 0, 0, 5), (1, 1, 3, 0, 1, 6), (2, 0, 2, 1, 1, 0))))
+    zones = read(spark, d, "orders").select(F.col("o_orderkey").alias("t"), F.inline(each))
     return T.zone_fill(cells, zones, ["t"]).select("t", "row", "col", "fill")
 
 
