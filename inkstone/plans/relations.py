@@ -90,6 +90,14 @@ def page_break_fold(spark, d):
     return Q.page_breaks(e, ["user_id"], "event_id", "height", 250).select("user_id", "event_id", F.col("page"))
 
 
+def pagination_rules(spark, d):
+    from inkstone.operators.layout import paginate
+
+    at = F.pmod(F.floor("value").cast("long") * 7, F.lit(300))
+    e = headings(spark, d).select("user_id", "event_id", (F.col("event_type") == "error").alias("page_break"), at.alias("first"), (at + 5).alias("last"), (at + 9).alias("bottom"), F.lit(200).alias("content_height"))
+    return paginate(e, ["user_id"], "event_id").select("user_id", "event_id", "page", F.coalesce("reason", F.lit("")).alias("reason"))
+
+
 def positional_zip(spark, d):
     c = read(spark, d, "conversations")
     rank = lambda role: c.where(F.col("role") == role).withColumn("k", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long"))
@@ -143,6 +151,18 @@ def outline_sql(keys: str) -> str:
     return f"WITH e AS (SELECT *, {LEVEL} AS level FROM events), g AS (SELECT *, CASE {whens} END AS grp FROM e) SELECT event_id, {{cols}} level, CASE WHEN level <= 7 THEN CAST(row_number() OVER (PARTITION BY {keys}, level, grp ORDER BY event_id) AS BIGINT) ELSE 0 END AS n FROM g"
 
 
+#: before, deepest and origin are the fold's state; a reason counts only on a page that holds something, which all but the first do.
+PAGINATION = """WITH RECURSIVE e AS (SELECT user_id, event_id, event_type = 'error' AS asked, (CAST(floor(value) AS BIGINT) * 7) % 300 AS f, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+s AS (SELECT user_id, event_id, k, CAST(1 AS BIGINT) AS page, '' AS reason, f + 5 AS before, f + 5 AS deepest, CAST(0 AS BIGINT) AS origin FROM e WHERE k = 1
+  UNION ALL SELECT user_id, event_id, k, page + CASE WHEN r = '' THEN 0 ELSE 1 END, r, f + 5 - o, CASE WHEN r = '' THEN greatest(deepest, f + 5 - o) ELSE greatest(0, f + 5 - o) END, o FROM
+    (SELECT *, CASE WHEN r = 'reset' THEN f + 5 ELSE origin END AS o FROM
+      (SELECT e.user_id, e.event_id, e.k, e.f, s.page, s.deepest, s.origin, CASE WHEN e.asked THEN 'explicit'
+        WHEN (e.f - s.origin < 0.1 OR (s.before > 0.1 AND e.f - s.origin < s.before - 0.1)) AND (e.f - s.origin < 0.1 OR e.f - s.origin < 40) THEN 'reset'
+        WHEN e.f + 9 - s.origin > 200 AND s.deepest > 0 THEN 'overflow' ELSE '' END AS r
+       FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1)))
+SELECT user_id, event_id, page, reason FROM s"""
+
+
 def catalog() -> dict:
     upto = "OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     parents = " ".join(f"WHEN level = {k} THEN max(CASE WHEN level = {k - 1} THEN event_id END) {upto}" for k in range(1, 9))
@@ -161,6 +181,7 @@ def catalog() -> dict:
         "line_ranges": (line_ranges, "SELECT conv_id, turn, turn * 10 AS start, CAST(coalesce(lead(turn * 10) OVER (PARTITION BY conv_id ORDER BY turn), turn * 10 + length(text)) AS BIGINT) AS \"end\" FROM conversations"),
         "run_split": (run_split, "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents) SELECT doc_id, CAST(line AS BIGINT) AS line, CAST(coalesce(sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, CAST(length(t) AS BIGINT) AS chars FROM l"),
         "page_break_fold": (page_break_fold, "WITH RECURSIVE e AS (SELECT user_id, event_id, CAST(floor(value) AS BIGINT) AS h, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events), f AS (SELECT user_id, event_id, k, CAST(1 AS BIGINT) AS page, h AS used FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.event_id, e.k, CASE WHEN f.used > 0 AND f.used + e.h > 250 THEN f.page + 1 ELSE f.page END, CASE WHEN f.used > 0 AND f.used + e.h > 250 THEN e.h ELSE f.used + e.h END FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1) SELECT user_id, event_id, page FROM f"),
+        "pagination_rules": (pagination_rules, PAGINATION),
         "positional_zip": (positional_zip, "WITH a AS (SELECT conv_id, turn AS user_turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role = 'user'), b AS (SELECT conv_id, turn AS assistant_turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role = 'assistant') SELECT conv_id, k, user_turn, assistant_turn FROM a FULL JOIN b USING (conv_id, k)"),
         "caption_anti_join": (caption_anti_join, "SELECT doc_id, source FROM documents WHERE trim(text) NOT IN (SELECT trim(text) FROM documents WHERE source = 'src0')"),
         "duplicate_text_anti_join": (duplicate_text_anti_join, "WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents) SELECT doc_id, count(*) AS lines FROM l WHERE line <> '' AND line NOT IN (SELECT trim(text) FROM benchmark) GROUP BY 1"),

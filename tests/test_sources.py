@@ -4,7 +4,7 @@ import struct
 
 import pytest
 
-from inkstone.operators import render, views
+from inkstone.operators import layout, render, views
 from inkstone.sources import documents, layouts, protected, records
 from inkstone.sources.compound import Compound, DecodeError
 from tests import containers as C
@@ -156,3 +156,26 @@ def test_command_line(spark, tmp_path):
     for command, rows in (("to-json", 1), ("to-markdown", 1), ("to-html", 1), ("info", 1), ("extract-images", 1), ("batch", 2)):
         assert cli.result(spark, command, str(tmp_path / "in")).count() == rows, command
     assert cli.result(spark, "extract-images", str(tmp_path / "in"), "jpg").count() == 0
+
+
+def test_layout_pages(spark):
+    def para(text, tops):
+        segments = b"".join(struct.pack("<IiiiiiiiI", k * 4, top, 1000, 1000, 0, 0, 0, 0, 0) for k, top in enumerate(tops))
+        return C.paragraph(text, controls=C.record(0x45, 1, segments))
+
+    page = C.record(0x49, 1, struct.pack("<10I", 60000, 40000, 7200, 7200, 7200, 7200, 0, 0, 0, 0))
+    body = C.paragraph("", controls=C.record(0x47, 1, b"dces" + bytes(30)) + page) + para("abcdefgh", (0, 1600)) + para("next", (3200,)) + para("over", (26000,)) + para("<top", (0,))
+    df = spark.createDataFrame([("l.hwp", C.compound({"FileHeader": C.file_header(0), "DocInfo": INFO, "BodyText/Section0": body}))], "path string, content binary")
+    t = {n: documents.read_table(df, n) for n in ("paragraphs", "runs", "line_segments", "pages")}
+    html = [r.html for r in layout.layout_html(t).orderBy("page").collect()]
+    assert len(html) == 3 and html[0].count('class="line"') == 3 and ">abcd<" in html[0] and ">efgh<" in html[0]
+    assert "top:25.40mm" in html[0] or "top:25.4mm" in html[0]
+    assert ">over<" in html[1] and ">&lt;top<" in html[2]
+
+
+def test_format_counts_in_event_time(spark):
+    from inkstone.streaming.folder import format_counts
+
+    rows = spark.createDataFrame([("2024-01-01 00:01:00", binary_file(0)), ("2024-01-01 00:02:00", b"PK\x03\x04"), ("2024-01-01 00:20:00", b"x")], "t string, content binary")
+    got = format_counts(rows.selectExpr("cast(t as timestamp) as modificationTime", "content")).collect()
+    assert {(r.window.start.minute, r.format, r.n) for r in got} == {(0, "compound", 1), (0, "package", 1), (20, "unknown", 1)}
