@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -35,10 +36,17 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in shared storage, so that a lost executor costs no recomputation of the lineage."""
+def cut(df: DataFrame, free: bool = False) -> DataFrame:
+    """Materialise in shared storage, so that a lost executor costs no recomputation of the lineage.
+
+    With free, ask the driver's JVM to notice that the shuffles before are out of use; Spark's cleaner then deletes their files."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if free:
+        del df
+        gc.collect()
+        out.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def put_shared_bytes(spark: SparkSession, data: bytes, suffix: str) -> str:

@@ -5,10 +5,13 @@ representative first. Two signatures that agree in at least MATCHES of COORDINAT
 COORDINATES - MATCHES + 1 rarest pairs (prefix); pairs that occur once can agree with nothing and are skipped, and a
 document with fewer than MATCHES shared pairs is skipped altogether. Candidates are confirmed on the full shingle sets.
 
-Linked documents are joined to components in rounds. In a round every posting list compares its members with one hub,
-which costs as many pairs as members. Last, members that are still in different components are compared with each other;
-the exact similarity to a common hub already known rules most of these out: Jaccard distance is a metric, so two members
-whose distances to a hub differ by more than the permitted distance can't be linked.
+Linked documents are joined to components in rounds. In a round every posting list compares its members with one hub, which costs
+as many pairs as members; the first hub is the member whose pairs are most common, the centre of a group of copies. Members that
+are still in different components afterwards are compared with each other where the list is short. The members of long lists are told apart by
+how they differ from the list's hub. Two sets that differ from the hub by D and E differ from each other by |D| + |E| - 2 |D & E|, so a member
+that isn't linked to the hub can only be linked to one that shares over p / (p + q) of its differences (for similarity p / q). Rare differences
+are listed, and a prefix and positional filter leaves pairs that may share enough; members with a common passage only, or with edits of
+their own, drop out, and no link is lost.
 
 Defined cases: a document without words (null or empty text) has an empty set, links with nothing and is its own component;
 one with fewer words than a shingle has its whole sequence as one shingle; equal texts, and equal sets, link (similarity 1);
@@ -20,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkstone.llm.common import cut, map_batches, texts_of
@@ -30,8 +33,8 @@ from inkstone.llm.words import U, chunks, grams, mix, stream
 #: Signature length, and the agreements kept. At similarity 0.8, 64 coordinates agree in 51 places on average with a
 #: deviation of 3.2; fewer than 36 agree for one pair in about 2 million.
 COORDINATES, MATCHES = 64, 36
-#: Hub rounds before members of different components are compared directly.
-HUB_ROUNDS = 2
+#: Hub rounds, and the longest list whose members are compared directly afterwards.
+HUB_ROUNDS, SHORT_LIST = 2, 8
 
 SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, signature array<int>"
 
@@ -79,11 +82,12 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 
 
 def postings(reps: DataFrame) -> DataFrame:
-    """token, doc: the prefix of each representative that shares at least MATCHES pairs with others."""
+    """token, doc, weight: the prefix of each representative that shares at least MATCHES pairs with others; weight: how common its pairs are."""
     tokens = reps.select("doc", F.posexplode("signature").alias("at", "value")).select("doc", F.xxhash64("at", "value").alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     held = tokens.join(shared, "token").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("held")).where(F.size("held") >= MATCHES)
-    return held.select("doc", F.explode(F.slice("held", F.lit(1), F.size("held") - (MATCHES - 1))).alias("x")).select("x.token", "doc")
+    weight = F.aggregate("held", F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    return held.select("doc", weight.alias("weight"), F.explode(F.slice("held", F.lit(1), F.size("held") - (MATCHES - 1))).alias("x")).select("x.token", "doc", "weight")
 
 
 def confirm(pairs: DataFrame, signed: DataFrame, sets: DataFrame) -> DataFrame:
@@ -120,40 +124,92 @@ def set_table(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return found.dropDuplicates(["doc"])
 
 
+def alike_sizes(a: str, b: str, least: tuple[int, int]) -> Column:
+    """Sets of the least similarity differ no more than by it in size."""
+    return F.least(a, b) * least[1] >= F.greatest(a, b) * least[0]
+
+
 def near_groups(docs: DataFrame, k: int = 5, least: tuple[int, int] = (80, 100)) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs. Linked: least[1] * |intersection| >= least[0] * |union|."""
     signed = cut(signatures(docs, k))
     key = ["set_a", "set_b", "n_shingles"]
-    reps = cut(signed.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("doc"), F.min("signature").alias("signature")))
-    posts = cut(postings(reps))
+    reps = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("doc"), F.min("signature").alias("signature"))
+    reps = cut(reps)
+    posts = cut(postings(reps), free=True)
     wanted = posts.select("doc").distinct()
-    mine = cut(reps.select("doc", "signature").join(wanted, "doc", "left_semi"))
-    sets = cut(set_table(docs, wanted, k))
+    mine = cut(reps.select("doc", "signature", "n_shingles").join(wanted, "doc", "left_semi"))
+    posts = posts.join(mine.select("doc", "n_shingles"), "doc")
+    sets = cut(set_table(docs, wanted, k), free=True)
     spark = docs.sparkSession
     tested = spark.createDataFrame([], "a long, b long, inter long, total long")
     labels = spark.createDataFrame([], "node long, component long")
     linked = F.col("inter") * least[1] >= F.col("total") * least[0]
     for turn in range(HUB_ROUNDS + 1):
-        named = posts.join(labels, posts.doc == labels.node, "left").select("token", "doc", F.coalesce("component", "doc").alias("component"))
-        open_lists = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), (F.min if turn == 0 else F.max)(F.struct("doc", "component")).alias("hub")).where("low <> high")
-        rest = named.join(open_lists, "token")
+        named = posts.join(labels, posts.doc == labels.node, "left").select("token", "doc", "weight", "n_shingles", F.coalesce("component", "doc").alias("component"))
+        centre = F.struct("weight" if turn != 1 else -F.col("doc"), "doc", "component", "n_shingles")
+        lists = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(centre).alias("hub"), F.count("*").alias("members")).where("low <> high")
+        rest = named.join(lists, "token")
         if turn < HUB_ROUNDS:
-            pairs = rest.where("hub.component <> component").select(F.least("hub.doc", "doc").alias("a"), F.greatest("hub.doc", "doc").alias("b"))
+            pairs = rest.where((F.col("hub.component") != F.col("component")) & alike_sizes("hub.n_shingles", "n_shingles", least)).select(F.least("hub.doc", "doc").alias("a"), F.greatest("hub.doc", "doc").alias("b"))
         else:
-            pairs = cross_pairs(rest.select("token", "doc", "component"), tested, least)
+            rest = cut(rest.select("token", "doc", "component", "n_shingles", "members", F.col("hub.doc").alias("hub")))
+            pairs = cross_pairs(rest.where(F.col("members") <= SHORT_LIST), least).unionByName(difference_pairs(rest.where(F.col("members") > SHORT_LIST), sets, least))
         pairs = pairs.distinct().join(tested, ["a", "b"], "left_anti")
         found = cut(confirm(pairs, mine, sets))
         tested = found if turn == 0 else tested.unionByName(found)
         labels = components(tested.where(linked).select("a", "b"))
     by_set = reps.join(labels, reps.doc == labels.node, "left").select(*key, F.coalesce("component", "doc").alias("component_id"))
-    return signed.join(by_set, key, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    found = signed.join(by_set, key, "left")
+    return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+
 
+def difference_pairs(members: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """a, b: pairs of members of a hub's lists that may be linked, one of them not linked to the hub. members: hub, doc, component, n_shingles.
 
-def cross_pairs(members: DataFrame, tested: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """Pairs of one posting list in different components, less those that a common hub's distances rule out."""
+    With t = (q - p) / (q + p), sets of sizes n and m are linked if they differ by at most t * (n + m). For x not linked to the hub, any partner y
+    shares s > |D_y| * p / (p + q) differences with it, and s >= |D_x| - t * (n_x + n_y); so their first shared difference in the order
+    (count, difference) is among the first |D| - s + 1 of each, and what follows it must still hold enough."""
+    p, q = least
+    own = members.select("hub", "doc", "component", "n_shingles").distinct().where("hub <> doc")
+    both = own.join(sets, "doc").join(sets.select(F.col("doc").alias("hub"), F.col("hashes").alias("centre")), "hub")
+
+    def differ(batches):
+        for batch in batches:
+            size, rows, tokens = [], [], []
+            for k, (x, h) in enumerate(zip(batch.column("hashes").to_pylist(), batch.column("centre").to_pylist(), strict=True)):
+                x, h = np.frombuffer(x, U), np.frombuffer(h, U)
+                found = np.concatenate([np.setdiff1d(x, h, True), mix(np.setdiff1d(h, x, True) ^ U(0x5DEECE66D))])
+                size.append(len(found))
+                rows.append(np.full(len(found), k))
+                tokens.append(found.view(np.int64))
+            at = pa.array(np.concatenate([*rows, np.zeros(0, np.int64)]))
+            names = ["hub", "doc", "component", "n_shingles"]
+            out = {n: batch.column(n).take(at) for n in names}
+            yield pa.RecordBatch.from_pydict(out | {"differs": pa.array(size, pa.int64()).take(at), "token": pa.array(np.concatenate([*tokens, np.zeros(0, np.int64)]), pa.int64())})
+
+    keys = ["hub", "doc", "component", "n_shingles", "differs"]
+    every = map_batches(both.select("hub", "doc", "component", "n_shingles", "hashes", "centre"), differ, "hub long, doc long, component long, n_shingles long, differs long, token long")
+    shared = every.groupBy("hub", "token").agg(F.count("*").alias("n")).where("n > 1")
+    held = every.join(shared, ["hub", "token"]).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("held"))
+    # Differences that occur once come first in the order and find no one; only their number counts.
+    sizes = sets.select(F.col("doc").alias("hub"), (F.octet_length("hashes") / 8).cast("long").alias("hub_size"))
+    listed = held.withColumn("common", F.size("held")).join(sizes, "hub").select(*keys, "hub_size", "common", F.posexplode("held").alias("k", "x"))
+    listed = listed.select(*keys, F.col("x.token").alias("token"), (F.col("differs") * (q + p) > (F.col("n_shingles") + F.col("hub_size")) * (q - p)).alias("apart"), (F.col("differs") - F.col("common") + F.col("k")).alias("place"))
+    listed = cut(listed.withColumn("reach", F.expr(f"n_shingles * (1 + {q} / {p}) * {q - p} / {q + p}")))
+    # What a partner of a member apart from the hub, and what a member apart from the hub, has to list.
+    partner = listed.where(F.expr(f"place < differs - differs * {p} div {p + q}") & (~F.col("apart") | (F.col("place") <= F.col("reach"))))
+    x, y = listed.where(F.col("apart") & (F.col("place") <= F.col("reach"))).alias("x"), partner.alias("y")
+    left = F.least(F.col("x.differs") - F.col("x.place"), F.col("y.differs") - F.col("y.place"))
+    enough = (F.col("x.differs") + F.col("y.differs") - 2 * left) * (q + p) <= (F.col("x.n_shingles") + F.col("y.n_shingles")) * (q - p)
+    near = (F.col("x.hub") == F.col("y.hub")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & alike_sizes("x.n_shingles", "y.n_shingles", least) & enough
+    return x.join(y, near).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
+
+
+def cross_pairs(members: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """Pairs of one list that are in different components and alike in size."""
     a, b = members.alias("x"), members.alias("y")
-    pairs = a.join(b, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component"))).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
-    return pairs
+    near = (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component")) & alike_sizes("x.n_shingles", "y.n_shingles", least)
+    return a.join(b, near).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
 
 
 def near_duplicates_removed(docs: DataFrame, k: int = 5, least: tuple[int, int] = (80, 100)) -> DataFrame:

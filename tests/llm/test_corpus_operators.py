@@ -180,3 +180,31 @@ def test_pipeline_stages_take_effect(spark):
     encoded = P.STAGES[-1][1](spark, docs, folder).collect()
     assert {r.doc_id: r.decoded_sha256 for r in encoded} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in left.items()}
     assert P.run(spark, folder).count() == len(left)
+
+
+def test_long_lists_lose_no_link(spark, monkeypatch):
+    """Groups of edited copies of copies, with most lists over the limit of direct comparison."""
+    monkeypatch.setattr(minhash, "SHORT_LIST", 3)
+    rng = random.Random(4)
+    pool = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
+    rows = []
+    for _ in range(2):
+        kids = [rng.choices(pool, k=110)]
+        for _ in range(50):
+            w = list(rng.choice(kids) if rng.random() < 0.5 else kids[0])
+            for _ in range(rng.randint(0, 6)):
+                k, r = rng.randrange(len(w)), rng.random()
+                if r < 0.6:
+                    w[k] = rng.choice(pool)
+                elif r < 0.8:
+                    del w[k]
+                else:
+                    w.insert(k, rng.choice(pool))
+            kids.append(w)
+        rows += kids
+    passage = rng.choices(pool, k=60)
+    rows += [rng.choices(pool, k=rng.randint(5, 25)) + passage for _ in range(40)]
+    rng.shuffle(rows)
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, (85, 100)).collect()}
+    assert got == brute_groups(rows, 3, (85, 100))
