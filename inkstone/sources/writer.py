@@ -8,7 +8,6 @@ from xml.sax.saxutils import escape
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 CONTAINER = '<container><rootfiles><rootfile full-path="Contents/content.hpf" media-type="application/hwpml-package+xml"/></rootfiles></container>'
 HEADER = '<head><charPr id="0"/><paraPr id="0"/></head>'
