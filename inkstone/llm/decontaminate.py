@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkstone.llm.common import map_batches, texts_of
-from inkstone.llm.words import U, chunks, mix
+from inkstone.llm.words import U, chunks
 
 STEP, LADDER, MOST = 4, 1.12, 255
 RADIUS, BLOCKS = 11, 4

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkstone.llm.common import map_batches, texts_of
-from inkstone.llm.words import CHUNK, NOT_LETTER, U, chunks, grams, mix
+from inkstone.llm.words import CHUNK, NOT_LETTER, U, chunks, mix
 
 BITS = 20
 #: Bound of the fitting sample: labelled rows, those of least hash of doc_id. Passes over it.
