@@ -36,16 +36,16 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-def cut(df: DataFrame, free: bool = False) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Materialise in shared storage, so that a lost executor costs no recomputation of the lineage.
 
-    With free, ask the driver's JVM to notice that the shuffles before are out of use; Spark's cleaner then deletes their files."""
+    The shuffles before are out of use then. The driver's JVM is asked to notice it, and Spark's cleaner deletes their files: jobs of many
+    stages would otherwise keep every shuffle on disk to their end."""
     shared_dir(df.sparkSession)
     out = df.checkpoint(eager=True)
-    if free:
-        del df
-        gc.collect()
-        out.sparkSession.sparkContext._jvm.System.gc()
+    del df
+    gc.collect()
+    out.sparkSession.sparkContext._jvm.System.gc()
     return out
 
 

@@ -6,7 +6,7 @@ COORDINATES - MATCHES + 1 rarest pairs (prefix); pairs that occur once can agree
 document with fewer than MATCHES shared pairs is skipped altogether. Candidates are confirmed on the full shingle sets.
 
 Linked documents are joined to components in rounds. In a round every posting list compares its members with one hub, which costs
-as many pairs as members; the first hub is the member whose pairs are most common, the centre of a group of copies. Members that
+as many pairs as members; the hub is the member whose pairs are most common, the centre of a group of copies. Members that
 are still in different components afterwards are compared with each other where the list is short. The members of long lists are told apart by
 how they differ from the list's hub. Two sets that differ from the hub by D and E differ from each other by |D| + |E| - 2 |D & E|, so a member
 that isn't linked to the hub can only be linked to one that shares over p / (p + q) of its differences (for similarity p / q). Rare differences
@@ -31,10 +31,10 @@ from inkstone.llm.graph import components
 from inkstone.llm.words import U, chunks, grams, mix, stream
 
 #: Signature length, and the agreements kept. At similarity 0.8, 64 coordinates agree in 51 places on average with a
-#: deviation of 3.2; fewer than 36 agree for one pair in about 2 million.
+#: deviation of 3.2; fewer than 36 agree for 4 pairs in a million at just that similarity, and for fewer above it.
 COORDINATES, MATCHES = 64, 36
 #: Hub rounds, and the longest list whose members are compared directly afterwards.
-HUB_ROUNDS, SHORT_LIST = 2, 8
+HUB_ROUNDS, SHORT_LIST = 1, 8
 
 SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, signature array<int>"
 
@@ -135,18 +135,18 @@ def near_groups(docs: DataFrame, k: int = 5, least: tuple[int, int] = (80, 100))
     key = ["set_a", "set_b", "n_shingles"]
     reps = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("doc"), F.min("signature").alias("signature"))
     reps = cut(reps)
-    posts = cut(postings(reps), free=True)
+    posts = cut(postings(reps))
     wanted = posts.select("doc").distinct()
     mine = cut(reps.select("doc", "signature", "n_shingles").join(wanted, "doc", "left_semi"))
-    posts = posts.join(mine.select("doc", "n_shingles"), "doc")
-    sets = cut(set_table(docs, wanted, k), free=True)
+    posts = cut(posts.join(mine.select("doc", "n_shingles"), "doc"))
+    sets = cut(set_table(docs, wanted, k))
     spark = docs.sparkSession
     tested = spark.createDataFrame([], "a long, b long, inter long, total long")
     labels = spark.createDataFrame([], "node long, component long")
     linked = F.col("inter") * least[1] >= F.col("total") * least[0]
     for turn in range(HUB_ROUNDS + 1):
         named = posts.join(labels, posts.doc == labels.node, "left").select("token", "doc", "weight", "n_shingles", F.coalesce("component", "doc").alias("component"))
-        centre = F.struct("weight" if turn != 1 else -F.col("doc"), "doc", "component", "n_shingles")
+        centre = F.struct("weight", "doc", "component", "n_shingles")
         lists = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(centre).alias("hub"), F.count("*").alias("members")).where("low <> high")
         rest = named.join(lists, "token")
         if turn < HUB_ROUNDS:
@@ -188,7 +188,7 @@ def difference_pairs(members: DataFrame, sets: DataFrame, least: tuple[int, int]
             yield pa.RecordBatch.from_pydict(out | {"differs": pa.array(size, pa.int64()).take(at), "token": pa.array(np.concatenate([*tokens, np.zeros(0, np.int64)]), pa.int64())})
 
     keys = ["hub", "doc", "component", "n_shingles", "differs"]
-    every = map_batches(both.select("hub", "doc", "component", "n_shingles", "hashes", "centre"), differ, "hub long, doc long, component long, n_shingles long, differs long, token long")
+    every = cut(map_batches(both.select("hub", "doc", "component", "n_shingles", "hashes", "centre"), differ, "hub long, doc long, component long, n_shingles long, differs long, token long"))
     shared = every.groupBy("hub", "token").agg(F.count("*").alias("n")).where("n > 1")
     held = every.join(shared, ["hub", "token"]).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("held"))
     # Differences that occur once come first in the order and find no one; only their number counts.
