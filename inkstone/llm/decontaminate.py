@@ -1,15 +1,17 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
 Words are lower-cased runs of letters and digits. An item of n words is cut into STEP windows of one size of a ladder just
-below n; documents are cut into windows of every size in use, one each STEP words, so a passage that repeats an item has a
-document window that lines up with one of the item's. Windows get 64-bit SimHash fingerprints of their words. The fingerprint is
+below n, an item over MOST words into such groups of STEP windows at every SPREAD words and at its end; documents are cut into
+windows of every size in use, one each STEP words, so a passage that repeats an item, or a part of a long one, has a document window
+that lines up with one of the item's. Windows get 64-bit SimHash fingerprints of their words. The fingerprint is
 split into BLOCKS blocks; two fingerprints within RADIUS bits differ in at most RADIUS // BLOCKS bits of some block, so looking
 up every block in the item's blocks with that many bits flipped finds all fingerprints within the radius. Candidates are
 verified exactly: the weighted Jaccard similarity of the 5-word shingles (weights: how often each occurs) of the item and of the
 aligned document words must reach LEAST.
 
 Fingerprints of all windows come from running sums: eight 64-bit words hold the 64 counters in bytes, and differences of running
-sums are exact because no window has over 255 words. Larger items are fingerprinted by their first 255 words and verified whole.
+sums are exact because no window has over 255 words. Larger items are fingerprinted all over by windows of 255 words, so that any part
+without edits proposes them wherever the edits are, and verified whole.
 
 Items travel to the tasks in blocks of bounded size, one pass over the documents for each, so a benchmark of any size is handled.
 
@@ -33,6 +35,8 @@ from inkstone.llm.common import map_batches, texts_of
 from inkstone.llm.words import U, chunks
 
 STEP, LADDER, MOST = 4, 1.12, 255
+#: Words from one group of windows to the next in items of over MOST words.
+SPREAD = 64
 RADIUS, BLOCKS = 11, 4
 SHINGLE, LEAST = 5, 0.8
 #: Characters of items in one pass.
@@ -56,6 +60,15 @@ def size_for(n: int) -> int:
     return max(s for s in sizes() if s <= max(1, n - STEP + 1))
 
 
+def window_places(n: int, size: int) -> np.ndarray:
+    """First words of the windows of an item of n words: STEP in a row from its start, in a long item also from every SPREAD-th word and up to its end."""
+    last = n - size
+    if size < MOST:
+        return np.arange(min(STEP, last + 1))
+    groups = np.append(np.arange(0, last - STEP + 1, SPREAD), max(0, last - STEP + 1))
+    return np.unique(np.minimum(groups[:, None] + np.arange(STEP)[None, :], last))
+
+
 def running(h: np.ndarray) -> list[np.ndarray]:
     """Running sums of the bits of h; array j counts bits j, j + 8, ... in its bytes."""
     out = []
@@ -97,7 +110,7 @@ class Index:
                 self.shingles.append(weigh(own))
                 if len(own):
                     size = size_for(len(own))
-                    at = np.arange(min(STEP, len(own) - size + 1))
+                    at = window_places(len(own), size)
                     for a, f in zip(at, fingerprints(running(own), at, size), strict=True):
                         prints.setdefault(size, []).append((int(f), k, int(a)))
         self.sizes = {s: Blocks(p) for s, p in prints.items()}

@@ -192,3 +192,19 @@ def test_decontamination_finds_exact_and_edited_items(spark, odd):
     assert {r.doc_id for r in decontaminate.without_leaks(frame, bench).collect()} == set(range(60, 90))
     assert decontaminate.find_leaks(odd, bench).count() == 0 and decontaminate.find_leaks(odd, bench.limit(0)).count() == 0
     assert decontaminate.without_leaks(odd, bench).columns == odd.columns
+
+
+@pytest.mark.parametrize("place", [0, 270, 540])
+def test_decontamination_finds_long_items_wherever_they_are_edited(spark, place):
+    rng = random.Random(6)
+    pool = [f"{a}{b}{c}{d}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst" for d in "aeiou"]
+    items = [(i, " ".join(rng.choices(pool, k=600))) for i in range(20)]
+    docs = []
+    for i, text in items:
+        w = text.split()
+        w[place : place + 60] = rng.choices(pool, k=60)
+        docs.append((i, " ".join(rng.choices(pool, k=rng.randint(0, 60)) + w + rng.choices(pool, k=9))))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(frame, bench).collect()} == {(i, i) for i in range(20)}
+    assert decontaminate.without_leaks(frame, bench).count() == 0
