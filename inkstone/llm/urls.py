@@ -30,8 +30,6 @@ LISTED = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "ex
 SUPPORT, CONFIDENCE, MOST_TOKENS = 0.01, 0.6, 3
 #: Rules up to this number are broadcast.
 BROADCAST_RULES = 20_000
-#: Tokens kept of one URL for mining; further ones still count when rules are matched.
-MINED_TOKENS = 24
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -81,7 +79,7 @@ def mine(urls: DataFrame, support: float = SUPPORT, confidence: float = CONFIDEN
     FP-growth runs over all URLs, a label's verdict as one more item; only itemsets with a verdict make rules. URLs without a label
     count against a rule's confidence, so that what only few labels tell of isn't taken for certain."""
     verdict = F.when(F.col("verdict").isNull(), F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("v:"), "verdict")))
-    baskets = urls.select(F.concat(F.slice("tokens", 1, MINED_TOKENS), verdict).alias("items"))
+    baskets = urls.select(F.concat("tokens", verdict).alias("items"))
     n = baskets.count()
     schema = "rule_id long, tokens array<string>, verdict string, confidence double, support double"
     if not n:

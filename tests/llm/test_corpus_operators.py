@@ -163,6 +163,15 @@ def test_mined_rules_meet_support_and_confidence(spark):
     assert urls.mine(spark.createDataFrame([], "tokens array<string>, verdict string")).count() == 0
 
 
+def test_mining_counts_all_tokens_of_long_urls(spark):
+    """q:utm stands in 1 % of the URLs that are short and blocked and, behind 24 other tokens, in 5 % that are long and unlabelled;
+    q:ref stands behind 24 other tokens in 5 % that are blocked."""
+    long = [[f"q:{i}x{j}" for j in range(24)] for i in range(100)]
+    baskets = [(["h0:com", "q:utm"], "block")] * 10 + [([*t, "q:utm"], None) for t in long[:50]] + [([*t, "q:ref"], "block") for t in long[50:]] + [(["h0:com"], None)] * 890
+    mined = urls.mine(spark.createDataFrame(baskets, "tokens array<string>, verdict string"), 0.01, 0.6).collect()
+    assert {tuple(r.tokens): (r.verdict, r.confidence) for r in mined} == {("h0:com", "q:utm"): ("block", 1.0), ("q:ref",): ("block", 1.0)}
+
+
 def test_pipeline_stages_take_effect(spark):
     import corpus_pipeline as P
 
