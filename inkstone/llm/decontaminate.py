@@ -7,7 +7,8 @@ that lines up with one of the item's. Windows get 64-bit SimHash fingerprints of
 split into BLOCKS blocks; two fingerprints within RADIUS bits differ in at most RADIUS // BLOCKS bits of some block, so looking
 up every block in the item's blocks with that many bits flipped finds all fingerprints within the radius. Candidates are
 verified exactly: the weighted Jaccard similarity of the 5-word shingles (weights: how often each occurs) of the item and of the
-aligned document words must reach LEAST.
+aligned document words must reach LEAST. Items of fewer than STEP words have too few windows to line up with those of a document, so
+they are looked up word for word at every place.
 
 Fingerprints of all windows come from running sums: eight 64-bit words hold the 64 counters in bytes, and differences of running
 sums are exact because no window has over 255 words. Larger items are fingerprinted all over by windows of 255 words, so that any part
@@ -17,7 +18,8 @@ Items travel to the tasks in blocks of bounded size, one pass over the documents
 
 Defined cases: null and empty texts and items match nothing; items of fewer than 5 words must be found word for word as a whole;
 repeated items match each on its own; repeated rows repeat their matches; of several places in a document the best is
-reported, of equals the first; a null doc_id is kept; further columns are ignored; an empty table gives an empty result.
+reported, of equals the first; a null doc_id is kept, and so is an item with a
+null item_id; further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkstone.llm.common import map_batches, texts_of
-from inkstone.llm.words import U, chunks
+from inkstone.llm.words import U, chunks, grams
 
 STEP, LADDER, MOST = 4, 1.12, 255
 #: Words from one group of windows to the next in items of over MOST words.
@@ -94,13 +96,14 @@ def fingerprints(sums: list[np.ndarray], at: np.ndarray, size: int) -> np.ndarra
 
 
 class Index:
-    """Fingerprints of item windows by window size, with one table of items by value for each block."""
+    """Fingerprints of item windows by window size, with one table of items by value for each block; short items by their hash."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int | None, str]]):
         self.words: list[np.ndarray] = []
         self.ids = [i for i, _ in items]
         self.shingles: list[Counter] = []
         prints: dict[int, list[tuple[int, int, int]]] = {}
+        short: dict[int, dict[int, list[int]]] = {}
         for c in chunks(pc.utf8_lower(pa.array([t for _, t in items], pa.string())), separator=NOT_WORD) if items else []:
             h = c.hashes(seed=41)
             for r in range(c.rows):
@@ -108,12 +111,15 @@ class Index:
                 k = len(self.words)
                 self.words.append(own)
                 self.shingles.append(weigh(own))
-                if len(own):
+                if 0 < len(own) < STEP:
+                    short.setdefault(len(own), {}).setdefault(int(grams(own, len(own), 43)[0]), []).append(k)
+                elif len(own):
                     size = size_for(len(own))
                     at = window_places(len(own), size)
                     for a, f in zip(at, fingerprints(running(own), at, size), strict=True):
                         prints.setdefault(size, []).append((int(f), k, int(a)))
         self.sizes = {s: Blocks(p) for s, p in prints.items()}
+        self.short = {n: (np.array(sorted(by), U), by) for n, by in short.items()}
 
 
 class Blocks:
@@ -192,6 +198,16 @@ def matches(index: Index, column: pa.Array):
                 s = similarity(index.shingles[item], weigh(h[start : min(high, start + len(index.words[item]))]))
                 if s >= LEAST and (s, -start) > best.get((r, item), (0.0, 0)):
                     best[(r, item)] = (s, -start)
+        for n, (keys, by) in index.short.items():
+            if len(h) < n:
+                continue
+            g = grams(h, n, 43)
+            at = np.flatnonzero(np.isin(g, keys) & (row[: len(g)] == row[n - 1 :]))
+            # Of each row and hash the first place.
+            for w in at[np.unique(np.stack([row[at].astype(U), g[at]]), axis=1, return_index=True)[1]].tolist():
+                for item in by[int(g[w])]:
+                    if np.array_equal(index.words[item], h[w : w + n]):
+                        best[(int(row[w]), item)] = (1.0, -w)
         for (r, item), (s, start) in sorted(best.items()):
             yield c.row + r, item, s, -start - int(c.first[r])
 
@@ -205,7 +221,7 @@ def passes(benchmark: DataFrame) -> list[DataFrame]:
 
 def index_of(block: DataFrame) -> Index:
     rows = block.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").collect()
-    return Index(sorted((r.item_id, r.text) for r in rows if r.item_id is not None))
+    return Index(sorted(((r.item_id, r.text) for r in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -208,3 +208,18 @@ def test_decontamination_finds_long_items_wherever_they_are_edited(spark, place)
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(frame, bench).collect()} == {(i, i) for i in range(20)}
     assert decontaminate.without_leaks(frame, bench).count() == 0
+
+
+def test_decontamination_finds_short_items_at_every_place_and_keeps_null_ids(spark):
+    items = [(1, "alpha"), (2, "Beta gamma"), (3, "delta eps zeta"), (4, "gamma delta"), (None, "eta theta"), (None, " ".join(f"n{i}" for i in range(30)))]
+    docs, want = [], set()
+    for i, (item, text) in enumerate(items):
+        for place in range(5):
+            docs.append((10 * i + place, " ".join(["x"] * place + [text.upper(), "y", text])))
+            want.add((10 * i + place, item, 1.0, place))
+    docs += [(97, "beta x gamma"), (98, "delta eps"), (99, "zeta"), (100, "beta")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = [(r.doc_id, r.item_id, r.similarity, r.first_word) for r in decontaminate.find_leaks(frame, bench).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert {r.doc_id for r in decontaminate.without_leaks(frame, bench).collect()} == {97, 98, 99, 100}
