@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from inkstone.llm.common import map_batches, texts_of
 
-#: Bounds of the fitting sample: one text from each of so many hash buckets a language, so many characters of each, so many bytes of dictionary.
-BUCKETS, TEXT_CHARS, DICT_BYTES = 64, 4096, 112 * 1024
+#: Bounds of the fitting sample: one text from each of so many hash buckets a language, and no further text from so many bytes of text on.
+BUCKETS, DICT_BYTES = 64, 112 * 1024
 #: zstandard level, and the least relative distance of the two smallest sizes for a decision.
 LEVEL, MARGIN = 6, 0.01
 
@@ -38,15 +38,22 @@ def plain(text: str) -> bytes:
 def fit_dictionaries(labelled: DataFrame) -> dict[str, bytes]:
     """Dictionaries by language, the most frequent language first.
 
-    labelled: doc_id, text, lang. Of each language and hash bucket the text of least hash; ids first, so no text is shuffled."""
-    keyed = labelled.where("lang is not null and text is not null").withColumn("h", F.xxhash64("doc_id", "lang")).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
-    least = keyed.groupBy("lang", "bucket").agg(F.min("h").alias("h"))
+    labelled: doc_id, text, lang. Of each language and hash bucket the text of least hash, so equal texts count once; these whole
+    texts in the order of their hashes until they have DICT_BYTES. Hashes and lengths come first, so no text is shuffled but these."""
+    keyed = labelled.where("lang is not null and text is not null").withColumn("h", F.xxhash64("text", "lang")).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
+    least = keyed.groupBy("lang", "bucket").agg(F.min(F.struct("h", F.octet_length("text").alias("size"))).alias("x")).select("lang", "x.h", "x.size").collect()
     often = {r.lang: r.n for r in labelled.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    rows = keyed.join(F.broadcast(least), ["lang", "bucket", "h"]).groupBy("lang", "h").agg(F.min(F.substring("text", 1, TEXT_CHARS)).alias("text"))
+    taken, filled = [], dict.fromkeys(often, 0)
+    for r in sorted(least, key=lambda r: (r.lang, r.h)):
+        if filled[r.lang] < DICT_BYTES:
+            taken.append((r.lang, r.h))
+            filled[r.lang] += r.size
+    wanted = labelled.sparkSession.createDataFrame(taken, "lang string, h long")
+    rows = keyed.join(F.broadcast(wanted), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
     by: dict[str, list[tuple[int, bytes]]] = {}
     for r in rows.collect():
         by.setdefault(r.lang, []).append((r.h, plain(r.text)))
-    return {lang: b"\n".join(t for _, t in sorted(texts))[-DICT_BYTES:] for lang, texts in sorted(by.items(), key=lambda x: (-often[x[0]], x[0]))}
+    return {lang: b"\n".join(t for _, t in sorted(texts)) for lang, texts in sorted(by.items(), key=lambda x: (-often[x[0]], x[0]))}
 
 
 class Classifier:

@@ -141,6 +141,18 @@ def test_language_by_compression(spark, odd):
     assert zlang.identify(odd.limit(0), fitted).count() == 0
 
 
+def test_language_learns_whole_distinct_texts(spark):
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [" ".join("".join(rng.choices(letters, k=9)) for _ in range(n)) for n in (1500, 30, 900)]
+    rows = [(0, texts[0], "en"), (1, texts[1], "en"), (2, texts[2], "en")] + [(i, texts[1], "en") for i in range(3, 90)]
+    got = zlang.fit_dictionaries(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(got["en"].decode().split("\n")) == sorted(texts)
+    many = [(i, " ".join("".join(rng.choices(letters, k=9)) for _ in range(3000)), "en") for i in range(40)]
+    found = zlang.fit_dictionaries(spark.createDataFrame(many, "doc_id long, text string, lang string"))["en"]
+    assert zlang.DICT_BYTES <= len(found) < zlang.DICT_BYTES + 30_000 and set(found.decode().split("\n")) <= {t for _, t, _ in many}
+
+
 def test_toxicity_learns_held_out_rows(spark, odd):
     rng = random.Random(2)
     vocabulary = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
