@@ -2,9 +2,9 @@
 
 toxicity drops documents predicted toxic; near_dedup keeps the document of least doc_id of each group of near copies (5-word
 shingles, similarity 0.8); decontamination drops documents that hold a benchmark item; pii replaces personal data in the texts that
-are left; encode turns each text into token ids and checks that they decode to it again. All but the last return the columns of
-documents. SQL can't express the learned, hashed and tokenised stages, so ORACLE_SQL is None and tests compare the stages with
-brute-force versions.
+are left; encode turns each text into token ids, with the digest of the text that they decode to; it compares nothing itself, tests do. All but
+the last return the columns of documents. SQL can't express the learned, hashed and tokenised stages, so ORACLE_SQL is None; tests
+compare near_dedup and decontamination with brute force, and pii and encode with their operators and digests, row by row.
 """
 
 from __future__ import annotations

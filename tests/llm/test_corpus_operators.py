@@ -191,6 +191,39 @@ def test_pipeline_stages_take_effect(spark):
     assert P.run(spark, folder).count() == len(left)
 
 
+def shingled(words):
+    k = min(5, len(words))
+    return Counter(tuple(words[j : j + k]) for j in range(len(words) - k + 1)) if k else Counter()
+
+
+def holds(text, item):
+    """Whether the item's words stand somewhere in the text with a weighted shingle similarity of 0.8."""
+    w, v = (re.findall(r"[^\W_]+|[^\x00-\x7f]+", (x or "").lower()) for x in (text, item))
+    want = shingled(v)
+    for at in range(len(w) if want.keys() & shingled(w).keys() else 0):
+        got = shingled(w[at : at + len(v)])
+        both = sum((got & want).values())
+        if both >= 0.8 * (sum(got.values()) + sum(want.values()) - both):
+            return True
+    return False
+
+
+def test_pipeline_stages_equal_brute_force(spark):
+    import corpus_pipeline as P
+    from inkstone.llm import pii
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    stages = dict(P.STAGES)
+    after = {name: {r.doc_id: r.text for r in stages[name](spark, docs, folder).collect()} for name in ("near_dedup", "decontamination", "pii")}
+    groups = brute_groups(list(rows.items()), 5, (80, 100))
+    assert after["near_dedup"] == {i: t for i, t in rows.items() if groups[i][1] == i}
+    items = [r.text for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    assert after["decontamination"] == {i: t for i, t in rows.items() if not any(holds(t, x) for x in items)}
+    assert after["pii"] == {i: pii.redact(t, pii.find_spans(t)) for i, t in rows.items()}
+
+
 def test_long_lists_lose_no_link(spark, monkeypatch):
     """Groups of edited copies of copies, with most lists over the limit of direct comparison."""
     monkeypatch.setattr(minhash, "SHORT_LIST", 3)
