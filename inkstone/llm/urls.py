@@ -7,16 +7,24 @@ and confidence, not implied by a shorter one of no less confidence, are the mine
 URL's tokens are joined to the rules' tokens and a rule fires where all its tokens are met. The most confident firing rule
 decides for a URL that no listed rule fits (then the larger, then block before allow); where none fires it is allowed.
 
+Mining is bounded without loss. Tokens below the support can be in no rule and are dropped; of tokens that the very same URLs have
+one stands for all, as a combination of two of them is implied by each. FP-growth makes every frequent combination, 2^n of n
+tokens, so it gets baskets of at most PLAIN_BASKET tokens; where one is longer, the same conditional bases are grown level by level
+to MOST_TOKENS tokens only (grow), which counts the same combinations.
+
 The listed rules and the mined rules are bounded (mined ones by minimum support: at most one pattern in 1 / support of the
 labelled URLs for each itemset) and are checked before a broadcast; larger lists are joined by shuffle.
 
 Defined cases: a null URL, or one without ://, has empty host and path, no listed rule and is judged by mined rules of no
 tokens, that is allowed; repeated rows repeat their verdict, also without distinct page_id; a null page_id is kept; without
-labelled URLs nothing is mined; further columns are ignored; an empty table gives an empty result.
+labelled URLs nothing is mined; a URL of any length is judged by all its tokens; rules tied in all of the above have one verdict, so
+either may decide; further columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +36,8 @@ from inkstone.llm.common import cut as keep
 LISTED = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 #: Of mined rules: least share of the URLs with all tokens and the verdict, least confidence, most tokens.
 SUPPORT, CONFIDENCE, MOST_TOKENS = 0.01, 0.6, 3
+#: Most tokens in a basket of FP-growth: 2^12 combinations.
+PLAIN_BASKET = 12
 #: Rules up to this number are broadcast.
 BROADCAST_RULES = 20_000
 
@@ -73,23 +83,57 @@ def listed_verdicts(pages: DataFrame, rules: DataFrame) -> DataFrame:
     return fits.groupBy("key").agg(best.alias("x")).select("key", "x.rule", "x.listed")
 
 
-def mine(urls: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """rule_id, tokens, verdict, confidence, support. urls: tokens array, verdict (null where unlabelled).
+def frequent_baskets(urls: DataFrame, least: int) -> DataFrame:
+    """tokens, verdict of each URL (key, tokens, verdict): only tokens of at least that many URLs, one of each set of tokens that the same URLs have."""
+    met = urls.select("key", "verdict", F.explode(F.array_distinct("tokens")).alias("token"))
+    where = [F.bit_xor(F.xxhash64("key", F.lit(k))).alias(f"where{k}") for k in (1, 2)]
+    common = met.groupBy("token").agg(F.count("*").alias("n"), *where).where(F.col("n") >= least)
+    stands = common.groupBy("n", "where1", "where2").agg(F.min("token").alias("token")).select("token")
+    return met.join(stands, "token").groupBy("key", "verdict").agg(F.sort_array(F.collect_list("token")).alias("tokens")).select("tokens", "verdict")
 
-    FP-growth runs over all URLs, a label's verdict as one more item; only itemsets with a verdict make rules. URLs without a label
-    count against a rule's confidence, so that what only few labels tell of isn't taken for certain."""
+
+def plain_sets(baskets: DataFrame, least: int) -> DataFrame:
+    """tokens, verdict (null: any), freq of the combinations in at least that many baskets, by FP-growth; a verdict is one more item."""
     verdict = F.when(F.col("verdict").isNull(), F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("v:"), "verdict")))
-    baskets = urls.select(F.concat("tokens", verdict).alias("items"))
-    n = baskets.count()
-    schema = "rule_id long, tokens array<string>, verdict string, confidence double, support double"
-    if not n:
-        return urls.sparkSession.createDataFrame([], schema)
-    sets = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets).freqItemsets
+    items = baskets.select(F.concat("tokens", verdict).alias("items"))
+    n = items.count()
+    sets = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / max(n, 1)).fit(items).freqItemsets
     is_verdict = lambda x: x.startswith("v:")
-    split = sets.select(F.array_sort(F.filter("items", lambda x: ~is_verdict(x))).alias("tokens"), F.filter("items", is_verdict).alias("v"), "freq")
-    split = split.where((F.size("tokens") > 0) & (F.size("tokens") <= MOST_TOKENS))
-    bodies = split.where(F.size("v") == 0).select("tokens", F.col("freq").alias("body"))
-    rules = split.where(F.size("v") == 1).join(bodies, "tokens").select("tokens", F.substring(F.col("v")[0], 3, 1 << 20).alias("verdict"), (F.col("freq") / F.col("body")).alias("confidence"), (F.col("freq") / n).alias("support"))
+    split = sets.select(F.array_sort(F.filter("items", lambda x: ~is_verdict(x))).alias("tokens"), F.substring(F.get(F.filter("items", is_verdict), F.lit(0)), 3, 1 << 20).alias("verdict"), "freq")
+    return split.where((F.size("tokens") > 0) & (F.size("tokens") <= MOST_TOKENS))
+
+
+def grow(baskets: DataFrame, least: int) -> DataFrame:
+    """The same as plain_sets, by pattern growth that stops at MOST_TOKENS tokens: a frequent combination keeps its conditional base, the tokens
+    that follow it in each basket, equal ones counted together, and grows by each of these."""
+    base = baskets.groupBy(F.array().cast("array<string>").alias("tokens"), F.col("tokens").alias("rest"), "verdict").agg(F.count("*").alias("w"))
+    found = None
+    for _ in range(MOST_TOKENS):
+        grown = base.select("tokens", "rest", "verdict", "w", F.posexplode("rest").alias("at", "token"))
+        grown = grown.select(F.concat("tokens", F.array("token")).alias("tokens"), F.expr("slice(rest, at + 2, size(rest))").alias("rest"), "verdict", "w")
+        grown = keep(grown.groupBy("tokens", "rest", "verdict").agg(F.sum("w").alias("w")))
+        bodies = grown.groupBy("tokens").agg(F.sum("w").alias("freq")).where(F.col("freq") >= least)
+        heads = grown.where("verdict is not null").groupBy("tokens", "verdict").agg(F.sum("w").alias("freq")).where(F.col("freq") >= least)
+        level = bodies.select("tokens", F.lit(None).cast("string").alias("verdict"), "freq").unionByName(heads)
+        found = level if found is None else found.unionByName(level)
+        base = grown.join(bodies.select("tokens"), "tokens", "left_semi")
+    return found
+
+
+def mine(urls: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+    """rule_id, tokens, verdict, confidence, support. urls: key, tokens array, verdict (null where unlabelled).
+
+    All URLs are counted, a label's verdict as one more item; only itemsets with a verdict make rules. URLs without a label
+    count against a rule's confidence, so that what only few labels tell of isn't taken for certain."""
+    n = urls.count()
+    least = max(1, math.ceil(n * support - 1e-9))
+    baskets = keep(frequent_baskets(urls, least))
+    longest = baskets.agg(F.max(F.size("tokens"))).first()[0]
+    if not longest:
+        return urls.sparkSession.createDataFrame([], "rule_id long, tokens array<string>, verdict string, confidence double, support double")
+    sets = plain_sets(baskets, least) if longest <= PLAIN_BASKET else grow(baskets, least)
+    bodies = sets.where("verdict is null").select("tokens", F.col("freq").alias("body"))
+    rules = sets.where("verdict is not null").join(bodies, "tokens").select("tokens", "verdict", (F.col("freq") / F.col("body")).alias("confidence"), (F.col("freq") / n).alias("support"))
     rules = rules.where(F.col("confidence") >= confidence)
     # A rule that a part of its tokens implies with no less confidence says nothing more.
     parts_of = rules.select(F.col("tokens").alias("whole"), "verdict", F.col("confidence").alias("c"), F.explode("tokens").alias("left_out")).select("whole", "verdict", "c", F.array_except("whole", F.array("left_out")).alias("part"))
@@ -120,8 +164,10 @@ def judge(pages: DataFrame, listed: list[tuple[str, str, str]] = LISTED) -> Data
     cut = cut.select("key", "host", "path", tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens"))
     by_list = listed_verdicts(cut, rules)
     known = keep(cut.join(by_list, "key", "left"))
-    mined = keep(mine(known.select("tokens", F.col("listed").alias("verdict"))))
+    mined = keep(mine(known.select("key", "tokens", F.col("listed").alias("verdict"))))
     by_rule = mined_verdicts(known.where("rule is null").select("key", "tokens"), mined)
     verdicts = known.join(by_rule, "key", "left").select("key", "rule", F.coalesce("listed", "mined").alias("verdict"))
-    found = every.join(verdicts.withColumnRenamed("key", "url"), "url", "left")
-    return found.select("page_id", host.alias("host"), path.alias("path"), "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"))
+    found = every.where("url is not null").join(verdicts.withColumnRenamed("key", "url"), "url", "left")
+    # Null URLs would all meet in one task of the join.
+    none = every.where("url is null").select("url", "page_id", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
+    return found.unionByName(none).select("page_id", host.alias("host"), path.alias("path"), "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"))

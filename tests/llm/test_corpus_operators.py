@@ -4,7 +4,9 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
+from itertools import combinations
 
 import pytest
 
@@ -153,14 +155,18 @@ def test_url_rules_equal_brute_force(spark):
         assert by[i].verdict == rule[1] if rule else by[i].verdict in ("allow", "block")
 
 
+def keyed(spark, baskets):
+    return spark.createDataFrame([(str(i), *b) for i, b in enumerate(baskets)], "key string, tokens array<string>, verdict string")
+
+
 def test_mined_rules_meet_support_and_confidence(spark):
     baskets = [(["h0:com", "p:ads"], "block")] * 30 + [(["h0:com", "p:news"], "allow")] * 60 + [(["h0:com", "p:ads", "q:ref"], "block")] * 10
-    mined = urls.mine(spark.createDataFrame(baskets, "tokens array<string>, verdict string"), 0.05, 0.9).collect()
+    mined = urls.mine(keyed(spark, baskets), 0.05, 0.9).collect()
     assert {tuple(r.tokens): r.verdict for r in mined} == {("p:ads",): "block", ("p:news",): "allow", ("q:ref",): "block"}
     pages = spark.createDataFrame([(1, ["p:ads", "h0:org"]), (2, ["h0:com"]), (3, [])], "key long, tokens array<string>")
     got = urls.mined_verdicts(pages, spark.createDataFrame(mined)).collect()
     assert {r.key: r.mined for r in got} == {1: "block"}
-    assert urls.mine(spark.createDataFrame([], "tokens array<string>, verdict string")).count() == 0
+    assert urls.mine(keyed(spark, [])).count() == 0
 
 
 def test_mining_counts_all_tokens_of_long_urls(spark):
@@ -168,10 +174,60 @@ def test_mining_counts_all_tokens_of_long_urls(spark):
     q:ref stands behind 24 other tokens in 5 % that are blocked."""
     long = [[f"q:{i}x{j}" for j in range(24)] for i in range(100)]
     baskets = [(["h0:com", "q:utm"], "block")] * 10 + [([*t, "q:utm"], None) for t in long[:50]] + [([*t, "q:ref"], "block") for t in long[50:]] + [(["h0:com"], None)] * 890
-    mined = urls.mine(spark.createDataFrame(baskets, "tokens array<string>, verdict string"), 0.01, 0.6).collect()
+    mined = urls.mine(keyed(spark, baskets), 0.01, 0.6).collect()
     assert {tuple(r.tokens): (r.verdict, r.confidence) for r in mined} == {("h0:com", "q:utm"): ("block", 1.0), ("q:ref",): ("block", 1.0)}
 
 
+def test_growth_counts_what_plain_mining_counts(spark):
+    rng = random.Random(3)
+    rows = [(sorted({f"t{int(rng.expovariate(0.3))}" for _ in range(rng.randint(0, 9))}), rng.choice(("block", "allow", None))) for _ in range(400)]
+    df = spark.createDataFrame(rows, "tokens array<string>, verdict string")
+    plain, grown = ({(tuple(r.tokens), r.verdict, r.freq) for r in f(df, 12).collect()} for f in (urls.plain_sets, urls.grow))
+    want = Counter((c, v) for t, label in rows for k in (1, 2, 3) for c in combinations(t, k) for v in {None, label})
+    assert plain == grown == {(c, v, n) for (c, v), n in want.items() if n >= 12}
+
+
+def assert_equals_sql(spark, tmp_path, rows):
+    import duckdb
+
+    from inkstone.llm.queries import OP10
+
+    df = spark.createDataFrame(rows, "page_id long, url string, verdict string")
+    df.write.mode("overwrite").parquet(f"{tmp_path}/pages")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages/*.parquet')")
+    want = Counter(db.execute(f"SELECT page_id, host, path, rule, verdict FROM ({OP10})").fetchall())
+    assert Counter(tuple(r) for r in urls.judge(df).collect()) == want
+
+
+@pytest.mark.parametrize("shared", [3, 14])
+def test_url_rules_equal_sql_on_urls_of_many_tokens(spark, tmp_path, shared):
+    """Segments that many URLs share, in parts of each; segments of their own; query keys; nulls, repeats and one very long URL."""
+    rng = random.Random(shared)
+    common = [f"seg{chr(97 + i)}" for i in range(shared)]
+    rows = [(None, None, "x"), (1, "", "x"), (2, "https://long.net/" + "abc/" * 20_000, "x")]
+    for i in range(250):
+        host = rng.choice(("a.net", "www.b.com", "c.org", "example.com", "x.example.net"))
+        path = "/".join([rng.choice(("de", "fr", "en", "it")), *(c for c in common if rng.random() < 0.7), *("".join(rng.choices("klmn", k=6)) for _ in range(rng.randint(0, 20)))])
+        rows.append((i, f"http{'s' * (i % 2)}://{host}/{path}?{rng.choice(('utm', 'ref', 'q'))}=1", "x"))
+    assert_equals_sql(spark, tmp_path, rows + rows[5:40])
+
+
+def test_many_shared_tokens_are_mined_in_bounded_time(spark):
+    """40 segments that all URLs share, and 25 that each URL has with a chance of one half: 2^40 and 2^25 combinations without the bound."""
+    rng = random.Random(9)
+    same = "/".join(f"s{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40))
+    some = [f"m{chr(97 + i)}" for i in range(25)]
+    rows = [(i, f"http://{rng.choice(('a.net', 'b.com', 'c.org'))}/{same}/{'/'.join(x for x in some if rng.random() < 0.5)}/u{chr(97 + i % 26)}") for i in range(600)]
+    began = time.perf_counter()
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert len(got) == 600 and time.perf_counter() - began < 120
+
+
+def test_url_rules_on_an_empty_table(spark):
+    assert urls.judge(spark.createDataFrame([], "page_id long, url string, host string")).collect() == []
+
+
 def test_pipeline_stages_take_effect(spark):
     import corpus_pipeline as P
 
