@@ -63,7 +63,7 @@ def op7_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkstone.llm.substring import remove_repeats
 
-    return remove_repeats(table(spark, sf_dir, "documents"))
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("repeats")
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

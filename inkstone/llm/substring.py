@@ -2,16 +2,20 @@
 
 Seed: of every WINDOW consecutive words, winnowing picks one anchor, the least hash among the ANCHOR-word grams in the window
 (the last of equals), so two equal windows pick the same anchor. Documents are joined on anchor hashes; an anchor that only one
-document holds rules out every window that picked it. Extend: around each shared anchor the windows on both sides that
-picked it are compared by 96-bit hashes of all their words; each is marked where a document of smaller doc_id holds it too.
-Marked windows that touch make up the maximal repeats, whose words are removed.
+document holds rules out every window that picked it. Extend: a shared anchor is extended word by word to both sides as far as
+windows still pick it, and each window so reached is compared by 96-bit hashes of all its words; it is marked where a document of
+smaller doc_id holds it too. The next anchor's extension takes over where one ends, so the marked windows that touch or overlap
+join to the maximal repeats, none shorter than WINDOW words; these are reported as spans and their words are removed.
 
 Nothing is paired with everything: a batch of documents sends one posting for each distinct hash, that of its least doc_id,
 and settles the others on the spot, so a passage that a third of all documents hold costs one posting a batch. Postings move
 as packed arrays in buckets of a size that doesn't depend on the input; documents are dealt by doc_id into like buckets.
 
+Marks carry the hash that was matched, not a place, so rows that share a doc_id but not a text don't mix.
+
 Defined cases: null and empty texts have no words and stay; a text of fewer than 13 words has no window and stays; of equal
-texts, and of any repeat, the least doc_id keeps its words; rows of one doc_id never remove each other's words; rows with a
+texts, and of any repeat, the least doc_id keeps its words; rows of one doc_id never remove each other's words, whether their texts
+are equal or not, and each loses what documents of smaller doc_id hold; a very long text is handled alone and whole; rows with a
 null doc_id neither remove nor lose words; further columns are ignored; an empty table gives an empty result.
 """
 
@@ -34,8 +38,8 @@ BUCKET_CHARS = 6_000_000
 #: Stands for a null doc_id, which takes no part.
 NO_ID = np.iinfo(np.int64).min
 
-POSTINGS = "bucket long, settled boolean, docs binary, hashes binary, checks binary, owners binary, places binary"
-MARKS = "bucket long, docs binary, places binary"
+POSTINGS = "bucket long, settled boolean, docs binary, hashes binary, checks binary, owners binary"
+MARKS = "bucket long, docs binary, owners binary, hashes binary"
 
 
 def pick_anchors(g: np.ndarray, span: int) -> np.ndarray:
@@ -66,20 +70,17 @@ def windows(column: pa.Array):
         yield c, row[start], start, anchor[start], g, h
 
 
-def pack(bucket, settled, docs, hashes, checks, owners, places) -> dict:
+def pack(bucket, settled, docs, hashes, checks, owners) -> dict:
     """One row: docs are this row's doc_ids, owners index them."""
     used, own = np.unique(docs[owners], return_inverse=True)
-    return {
-        "bucket": int(bucket), "settled": settled, "docs": used.tobytes(), "hashes": hashes.tobytes(), "checks": checks.tobytes(),
-        "owners": own.astype(np.uint32).tobytes(), "places": places.astype(np.uint32).tobytes(),
-    }
+    return {"bucket": int(bucket), "settled": settled, "docs": used.tobytes(), "hashes": hashes.tobytes(), "checks": checks.tobytes(), "owners": own.astype(np.uint32).tobytes()}
 
 
-def post(docs: np.ndarray, owner: np.ndarray, place: np.ndarray, hashes: np.ndarray, checks: np.ndarray, buckets: int, settle_least: bool):
-    """Rows of POSTINGS from (hash, check, document, place) of a batch. Of equal hashes the least doc_id is posted by hash; the others,
+def post(docs: np.ndarray, owner: np.ndarray, hashes: np.ndarray, checks: np.ndarray, buckets: int, settle_least: bool):
+    """Rows of POSTINGS from (hash, check, document) of a batch. Of equal hashes the least doc_id is posted by hash; the others,
     which a smaller doc_id is known to share, are settled and dealt by document. With settle_least the least is settled too."""
-    order = np.lexsort((place, docs[owner], checks, hashes))
-    h, k, d, o, p = hashes[order], checks[order], docs[owner][order], owner[order], place[order]
+    order = np.lexsort((docs[owner], checks, hashes))
+    h, k, d, o = hashes[order], checks[order], docs[owner][order], owner[order]
     fresh = np.ones(len(h), bool)
     fresh[1:] = (h[1:] != h[:-1]) | (k[1:] != k[:-1])
     new_doc = fresh.copy()
@@ -92,16 +93,11 @@ def post(docs: np.ndarray, owner: np.ndarray, place: np.ndarray, hashes: np.ndar
         at = at[np.argsort(key[at], kind="stable")]
         cuts = np.flatnonzero(np.diff(key[at])) + 1
         for part in np.split(at, cuts) if len(at) else []:
-            none = h[:0]
-            yield pack(key[part[0]], flag, docs, none if flag else h[part], k[:0] if flag else k[part], o[part], p[part])
-
-
-def table_of(rows: list[dict], schema: pa.Schema) -> pa.Table:
-    return pa.Table.from_pylist(rows, schema)
+            yield pack(key[part[0]], flag, docs, h[part], k[:0] if flag else k[part], o[part])
 
 
-POSTINGS_ARROW = pa.schema([("bucket", pa.int64()), ("settled", pa.bool_()), *((n, pa.binary()) for n in ("docs", "hashes", "checks", "owners", "places"))])
-MARKS_ARROW = pa.schema([("bucket", pa.int64()), ("docs", pa.binary()), ("places", pa.binary())])
+POSTINGS_ARROW = pa.schema([("bucket", pa.int64()), ("settled", pa.bool_()), *((n, pa.binary()) for n in ("docs", "hashes", "checks", "owners"))])
+MARKS_ARROW = pa.schema([("bucket", pa.int64()), *((n, pa.binary()) for n in ("docs", "owners", "hashes"))])
 
 
 def doc_ids(column: pa.Array) -> np.ndarray:
@@ -109,81 +105,79 @@ def doc_ids(column: pa.Array) -> np.ndarray:
 
 
 def seed_postings(buckets: int):
-    """Anchors of each batch: the first place of each (anchor hash, document)."""
+    """The distinct (anchor hash, document) of each batch."""
 
     def run(batches):
         for batch in batches:
             ids = doc_ids(batch.column("doc_id"))
-            owners, places, hashes = [], [], []
+            owners, hashes = [np.zeros(0, np.int64)], [np.zeros(0, U)]
             for c, row, _, anchor, g, _ in windows(batch.column("text")):
                 at, first = np.unique(anchor, return_index=True)
                 live = ids[c.row + row[first]] != NO_ID
-                at, r = at[live], row[first][live]
-                owners.append(c.row + r)
-                places.append(at - c.first[r])
-                hashes.append(g[at])
-            owner, place, h = (np.concatenate(x) for x in (owners, places, hashes))
-            rows = list(post(ids, owner, place, h, np.zeros(len(h), np.uint32), buckets, True))
-            yield from pa.Table.from_pylist(rows, POSTINGS_ARROW).to_batches()
+                owners.append(c.row + row[first][live])
+                hashes.append(g[at[live]])
+            h = np.concatenate(hashes)
+            yield from pa.Table.from_pylist(list(post(ids, np.concatenate(owners), h, np.zeros(len(h), np.uint32), buckets, True)), POSTINGS_ARROW).to_batches()
 
     return run
 
 
 def unpack(part: dict) -> tuple[np.ndarray, ...]:
     docs, owners = np.frombuffer(part["docs"], np.int64), np.frombuffer(part["owners"], np.uint32)
-    return docs[owners], np.frombuffer(part["places"], np.uint32), np.frombuffer(part["hashes"], U), np.frombuffer(part["checks"], np.uint32)
+    return docs[owners], np.frombuffer(part["hashes"], U), np.frombuffer(part["checks"], np.uint32)
 
 
 def settle(buckets: int, keep_least: bool):
     """Of a bucket's postings: marks of those whose hash another document holds (keep_least: one of smaller doc_id)."""
 
     def run(part: pa.Table) -> pa.Table:
-        rows = part.to_pylist()
-        marked_docs, marked_places = [], []
-        open_parts = [unpack(r) for r in rows if not r["settled"]]
-        for r in rows:
+        marked_docs, marked_hashes, open_parts = [np.zeros(0, np.int64)], [np.zeros(0, U)], []
+        for r in part.to_pylist():
+            d, h, k = unpack(r)
             if r["settled"]:
-                d, p, _, _ = unpack(r)
                 marked_docs.append(d)
-                marked_places.append(p)
+                marked_hashes.append(h)
+            else:
+                open_parts.append((d, h, k))
         if open_parts:
-            d, p, h, k = (np.concatenate(x) for x in zip(*open_parts, strict=True))
+            d, h, k = (np.concatenate(x) for x in zip(*open_parts, strict=True))
             order = np.lexsort((d, k, h))
-            d, p, h, k = d[order], p[order], h[order], k[order]
+            d, h, k = d[order], h[order], k[order]
             fresh = np.ones(len(h), bool)
             fresh[1:] = (h[1:] != h[:-1]) | (k[1:] != k[:-1])
             group = np.cumsum(fresh) - 1
             least = d[np.flatnonzero(fresh)][group]
-            most = np.zeros(group[-1] + 1, np.int64) + NO_ID
+            most = np.full(group[-1] + 1, NO_ID)
             np.maximum.at(most, group, d)
             chosen = d > least if keep_least else least < most[group]
             marked_docs.append(d[chosen])
-            marked_places.append(p[chosen])
-        d = np.concatenate([*marked_docs, np.zeros(0, np.int64)]).astype(np.int64)
-        p = np.concatenate([*marked_places, np.zeros(0, np.uint32)]).astype(np.uint32)
+            marked_hashes.append(h[chosen])
+        d, h = np.concatenate(marked_docs), np.concatenate(marked_hashes)
         key = d % buckets
-        order = np.lexsort((p, d, key))
-        d, p, key = d[order], p[order], key[order]
-        out = [{"bucket": int(key[x[0]]), "docs": d[x].tobytes(), "places": p[x].tobytes()} for x in (np.split(np.arange(len(d)), np.flatnonzero(np.diff(key)) + 1) if len(d) else [])]
-        return table_of(out, MARKS_ARROW)
+        order = np.lexsort((d, key))
+        out = []
+        for x in np.split(order, np.flatnonzero(np.diff(key[order])) + 1) if len(d) else []:
+            used, own = np.unique(d[x], return_inverse=True)
+            out.append({"bucket": int(key[x[0]]), "docs": used.tobytes(), "owners": own.astype(np.uint32).tobytes(), "hashes": h[x].tobytes()})
+        return pa.Table.from_pylist(out, MARKS_ARROW)
 
     return run
 
 
 def marks_of(marks: pa.Table) -> dict[int, np.ndarray]:
-    """Distinct marked places by doc_id."""
-    if not marks.num_rows:
+    """Distinct marked hashes by doc_id."""
+    parts = [(np.frombuffer(r["docs"], np.int64)[np.frombuffer(r["owners"], np.uint32)], np.frombuffer(r["hashes"], U)) for r in marks.to_pylist()]
+    if not parts:
         return {}
-    d = np.concatenate([np.frombuffer(x, np.int64) for x in marks.column("docs").to_pylist()])
-    p = np.concatenate([np.frombuffer(x, np.uint32) for x in marks.column("places").to_pylist()]).astype(np.int64)
+    d, h = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.argsort(d, kind="stable")
-    d, p = d[order], p[order]
+    d, h = d[order], h[order]
     ids, first = np.unique(d, return_index=True)
-    return {int(i): np.unique(x) for i, x in zip(ids, np.split(p, first[1:]), strict=True)}
+    return {int(i): np.unique(x) for i, x in zip(ids, np.split(h, first[1:]), strict=True)}
 
 
 def extend(buckets: int):
-    """Windows that picked a shared anchor: the first place of each (window hash, document)."""
+    """The distinct (window hash, document) of the windows that shared anchors are extended to."""
 
     def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
         shared = marks_of(marks)
@@ -194,34 +188,35 @@ def extend(buckets: int):
             if not len(keep):
                 continue
             ids = ids[keep]
-            owners, places, hashes, checks = [], [], [], []
+            owners, hashes, checks = [], [], []
             for c, row, start, anchor, g, h in windows(batch.column("text").take(pa.array(keep))):
                 marked = np.zeros(len(g) + 1, bool)
                 for r in range(c.rows):
                     a, b = int(c.first[r]), int(c.first[r + 1]) - ANCHOR + 1
                     if b > a:
-                        at = shared[int(ids[c.row + r])]
-                        at = at[at < b - a]
-                        marked[a:b] = np.isin(g[a:b], g[a + at])
+                        marked[a:b] = np.isin(g[a:b], shared[int(ids[c.row + r])])
                 found = marked[anchor]
                 if not found.any():
                     continue
                 w, extra = grams(h, WINDOW, 35), grams(h, WINDOW, 37)
                 owners.append(c.row + row[found])
-                places.append(start[found] - c.first[row[found]])
                 hashes.append(w[start[found]])
                 checks.append((extra[start[found]] >> U(32)).astype(np.uint32))
             if owners:
-                rows += post(ids, *(np.concatenate(x) for x in (owners, places, hashes, checks)), buckets, False)
-        return table_of(rows, POSTINGS_ARROW)
+                rows += post(ids, *(np.concatenate(x) for x in (owners, hashes, checks)), buckets, False)
+        return pa.Table.from_pylist(rows, POSTINGS_ARROW)
 
     return run
 
 
+RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, repeats array<struct<first:int,last:int>>"
+RESULT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("repeats", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))])
+
+
 def remove(docs: pa.Table, marks: pa.Table) -> pa.Table:
     """The result of each document of a bucket."""
     marked = marks_of(marks)
-    out: dict[str, list] = {"doc_id": docs.column("doc_id").to_pylist(), "n_words": [], "n_removed": [], "kept_sha256": []}
+    out: dict[str, list] = {"doc_id": docs.column("doc_id").to_pylist(), "n_words": [], "n_removed": [], "kept_sha256": [], "repeats": []}
     for batch in docs.to_batches():
         ids = doc_ids(batch.column("doc_id"))
         for c, _, _, _, _, h in windows(batch.column("text")):
@@ -229,21 +224,23 @@ def remove(docs: pa.Table, marks: pa.Table) -> pa.Table:
             for r in range(c.rows):
                 a, b = int(c.first[r]), int(c.first[r + 1])
                 found = c.raw[c.offsets[r] : c.offsets[r + 1]].tobytes().split()
-                at = marked.get(int(ids[c.row + r])) if b - a >= WINDOW else None
-                removed = 0
-                if at is not None:
-                    own = w[a : b - WINDOW + 1]
+                known = marked.get(int(ids[c.row + r])) if b - a >= WINDOW else None
+                removed, spans = 0, []
+                if known is not None:
                     covered = np.zeros(b - a + 1, np.int64)
-                    hit = np.flatnonzero(np.isin(own, own[at[at < len(own)]]))
-                    np.add.at(covered, hit, 1)
-                    np.add.at(covered, hit + WINDOW, -1)
+                    hit = np.flatnonzero(np.isin(w[a : b - WINDOW + 1], known))
+                    covered[hit] += 1
+                    covered[hit + WINDOW] -= 1
                     gone = np.cumsum(covered)[:-1] > 0
                     removed = int(gone.sum())
                     found = list(compress(found, ~gone))
+                    edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]))).reshape(-1, 2)
+                    spans = [{"first": x, "last": y - 1} for x, y in edges.tolist()]
                 out["n_words"].append(b - a)
                 out["n_removed"].append(removed)
                 out["kept_sha256"].append(hashlib.sha256(b" ".join(found)).hexdigest())
-    return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "n_words": pa.array(out["n_words"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()), "kept_sha256": pa.array(out["kept_sha256"], pa.string())})
+                out["repeats"].append(spans)
+    return pa.Table.from_pydict(out, RESULT_ARROW)
 
 
 def is_prime(n: int) -> bool:
@@ -251,7 +248,7 @@ def is_prime(n: int) -> bool:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of each document."""
+    """doc_id, n_words, n_removed, kept_sha256 and repeats (first and last word of each maximal repeat) of each document."""
     texts = texts_of(docs)
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     # A prime, so that patterns in the ids don't fill few buckets.
@@ -262,4 +259,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     seeds = map_batches(texts, seed_postings(buckets), POSTINGS).groupBy("bucket").applyInArrow(settle(buckets, False), MARKS)
     spread = dealt.groupBy("bucket").cogroup(seeds.groupBy("bucket")).applyInArrow(extend(buckets), POSTINGS)
     marks = spread.groupBy("bucket").applyInArrow(settle(buckets, True), MARKS)
-    return dealt.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(remove, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return dealt.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(remove, RESULT)

@@ -65,6 +65,17 @@ def test_substring_equals_brute_force(corpus):
     assert substring.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_substring_tells_rows_of_one_id_apart_and_reports_repeats(spark):
+    word = lambda p, n: " ".join(f"{p}{i}" for i in range(n))
+    shared, other = word("s", 20), word("t", 15)
+    long = " ".join([word("L", 30_000), shared, word("M", 30_000)])
+    rows = [(1, shared), (5, f"{word('a', 7)} {shared} {word('b', 7)}"), (5, f"{word('c', 60)} {shared}"), (5, f"{other} {word('d', 3)} {other}"), (6, f"{shared} {other}"), (7, long), (8, long + " z")]
+    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()) == brute_removed(rows)
+    spans = {(r.doc_id, r.n_words): [(x.first, x.last) for x in r.repeats] for r in got.collect()}
+    assert spans == {(1, 20): [], (5, 34): [(7, 26)], (5, 80): [(60, 79)], (5, 33): [], (6, 35): [(0, 34)], (7, 60_020): [(30_000, 30_019)], (8, 60_021): [(0, 60_019)]}
+
+
 def brute_groups(rows, k, least):
     sets = {}
     for i, t in rows:
