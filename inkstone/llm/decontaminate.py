@@ -7,23 +7,26 @@ that lines up with one of the item's. Windows get 64-bit SimHash fingerprints of
 split into BLOCKS blocks; two fingerprints within RADIUS bits differ in at most RADIUS // BLOCKS bits of some block, so looking
 up every block in the item's blocks with that many bits flipped finds all fingerprints within the radius. Candidates are
 verified exactly: the weighted Jaccard similarity of the 5-word shingles (weights: how often each occurs) of the item and of the
-aligned document words must reach LEAST. Items of fewer than STEP words have too few windows to line up with those of a document, so
+aligned document words must reach LEAST. Before, candidates are dropped whose document words hold fewer shingles of any item than
+that needs, which loses none. Items of fewer than STEP words have too few windows to line up with those of a document, so
 they are looked up word for word at every place.
 
 Fingerprints of all windows come from running sums: eight 64-bit words hold the 64 counters in bytes, and differences of running
 sums are exact because no window has over 255 words. Larger items are fingerprinted all over by windows of 255 words, so that any part
 without edits proposes them wherever the edits are, and verified whole.
 
-Items travel to the tasks in blocks of bounded size, one pass over the documents for each, so a benchmark of any size is handled.
+Items travel to the tasks as texts, in blocks of at most PASS_PRINTS fingerprints, one pass over the documents for each, so a benchmark of
+any size is handled; a worker builds the index of one block at a time, some 2,200 bytes a fingerprint.
 
 Defined cases: null and empty texts and items match nothing; items of fewer than 5 words must be found word for word as a whole;
 repeated items match each on its own; repeated rows repeat their matches; of several places in a document the best is
-reported, of equals the first; a null doc_id is kept, and so is an item with a
-null item_id; further columns are ignored; an empty table gives an empty result.
+reported, of equals the first; very long texts are searched whole, at their own size in memory; a null doc_id is kept, and so is an item with a
+null item_id; further columns are ignored; an empty table, of documents or items, gives an empty result.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from itertools import combinations
 
@@ -41,8 +44,10 @@ STEP, LADDER, MOST = 4, 1.12, 255
 SPREAD = 64
 RADIUS, BLOCKS = 11, 4
 SHINGLE, LEAST = 5, 0.8
-#: Characters of items in one pass.
-PASS_CHARS = 4_000_000
+#: Fingerprints in one pass: bounds a worker's index to about 130 MB.
+PASS_PRINTS = 60_000
+#: Bytes of text handled at a time: their running sums stay in the processor's cache.
+PART = 1 << 18
 
 NOT_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LANES = U(0x0101010101010101)
@@ -120,6 +125,20 @@ class Index:
                         prints.setdefault(size, []).append((int(f), k, int(a)))
         self.sizes = {s: Blocks(p) for s, p in prints.items()}
         self.short = {n: (np.array(sorted(by), U), by) for n, by in short.items()}
+        self.lengths = np.array([len(w) for w in self.words], np.int64)
+        # A bit for each hash of a shingle of any item; others may share it.
+        every = np.concatenate([np.zeros(0, U), *(grams(w, SHINGLE, 47) for w in self.words)])
+        self.shift = U(64 - min(26, max(16, 4 + len(every).bit_length())))
+        self.held = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.held[every >> self.shift] = True
+
+    def shingles_up_to(self, h: np.ndarray) -> np.ndarray:
+        """Running count of the places where a shingle begins that an item may hold."""
+        out = np.zeros(len(h) + 1, np.int64)
+        found = self.held[grams(h, SHINGLE, 47) >> self.shift]
+        np.cumsum(found, out=out[1 : len(found) + 1])
+        out[len(found) + 1 :] = out[len(found)]
+        return out
 
 
 class Blocks:
@@ -129,31 +148,29 @@ class Blocks:
         self.offset = np.array([p[2] for p in prints])
         width = 64 // BLOCKS
         flips = [0, *(sum(1 << b for b in bits) for n in range(1, RADIUS // BLOCKS + 1) for bits in combinations(range(width), n))]
-        self.hit, self.lists = [], []
+        self.first, self.lists = [], []
         for b in range(BLOCKS):
             value = ((self.prints >> U(b * width)) & U((1 << width) - 1)).astype(np.int64)
             key = (value[:, None] ^ np.array(flips)[None, :]).ravel()
-            which = np.repeat(np.arange(len(self.prints)), len(flips))
-            order = np.argsort(key, kind="stable")
-            table = np.zeros(1 << width, bool)
-            table[key] = True
-            self.hit.append(table)
-            self.lists.append((key[order], which[order]))
+            which = np.repeat(np.arange(len(self.prints), dtype=np.int32), len(flips))
+            self.lists.append(which[np.argsort(key, kind="stable")])
+            self.first.append(np.concatenate([[0], np.cumsum(np.bincount(key, minlength=1 << width))]).astype(np.int32))
 
     def near(self, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in f, number of the item window) of every pair within RADIUS bits."""
         width, at, found = 64 // BLOCKS, [], []
         for b in range(BLOCKS):
             value = ((f >> U(b * width)) & U((1 << width) - 1)).astype(np.int64)
-            some = np.flatnonzero(self.hit[b][value])
-            key, which = self.lists[b]
-            lo, hi = np.searchsorted(key, value[some], "left"), np.searchsorted(key, value[some], "right")
-            n = hi - lo
+            first = self.first[b]
+            lo = first[value]
+            n = first[value + 1] - lo
+            some = np.flatnonzero(n)
+            lo, n = lo[some], n[some]
             a = np.repeat(some, n)
-            w = which[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())] if len(n) else np.zeros(0, np.int64)
+            w = self.lists[b][np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
             close = np.bitwise_count(f[a] ^ self.prints[w]) <= RADIUS
             at.append(a[close])
-            found.append(w[close])
+            found.append(w[close].astype(np.int64))
         pair = np.unique(np.concatenate(at) * len(self.prints) + np.concatenate(found))
         return pair // len(self.prints), pair % len(self.prints)
 
@@ -172,11 +189,11 @@ def similarity(a: Counter, b: Counter) -> float:
 
 def matches(index: Index, column: pa.Array):
     """(row, number of the item, similarity, first word) of the best place of each item in each text."""
-    for c in chunks(pc.utf8_lower(column), separator=NOT_WORD):
+    for c in chunks(pc.utf8_lower(column), PART, NOT_WORD):
         h = c.hashes(seed=41)
         if not len(h):
             continue
-        sums = running(h)
+        sums, held = running(h), index.shingles_up_to(h)
         row = np.repeat(np.arange(c.rows), np.diff(c.first))
         place = np.arange(len(h)) - c.first[row]
         strided = np.flatnonzero(place % STEP == 0)
@@ -188,10 +205,13 @@ def matches(index: Index, column: pa.Array):
             if not len(at):
                 continue
             where, which = blocks.near(fingerprints(sums, at, size))
-            for w, k in zip(at[where].tolist(), which.tolist(), strict=True):
-                item, r = int(blocks.owner[k]), int(row[w])
-                low, high = int(c.first[r]), int(c.first[r + 1])
-                start = min(max(low, w - int(blocks.offset[k])), high)
+            item, own = blocks.owner[which], row[at[where]]
+            low, high = c.first[own], c.first[own + 1]
+            start = np.clip(at[where] - blocks.offset[which], low, high)
+            last = np.maximum(start, np.minimum(high, start + index.lengths[item]) - SHINGLE + 1)
+            enough = held[last] - held[start] >= LEAST * (index.lengths[item] - SHINGLE + 1) - 1e-9
+            enough |= index.lengths[item] < SHINGLE
+            for r, item, start, high in zip(*(x[enough].tolist() for x in (own, item, start, high)), strict=True):
                 if (r, item, start) in seen:
                     continue
                 seen.add((r, item, start))
@@ -213,25 +233,36 @@ def matches(index: Index, column: pa.Array):
 
 
 def passes(benchmark: DataFrame) -> list[DataFrame]:
-    """The benchmark in blocks whose size is bounded."""
-    chars = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = 1 + int(chars) // PASS_CHARS
+    """The benchmark in blocks whose fingerprints are bounded: STEP windows an item, of long ones two groups and one more for every SPREAD words of at least two characters."""
+    prints = benchmark.where("text is not null").agg(F.sum(3 * STEP + F.length("text") * STEP / (2 * SPREAD))).first()[0] or 0
+    n = 1 + int(prints) // PASS_PRINTS
     return [benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)]
 
 
-def index_of(block: DataFrame) -> Index:
+def items_of(block: DataFrame) -> list[tuple[int | None, str]]:
     rows = block.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").collect()
-    return Index(sorted(((r.item_id, r.text) for r in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
+    return sorted(((r.item_id, r.text) for r in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+
+
+_latest: list = ["", None]
+
+
+def index_of(block: tuple[str, list[tuple[int | None, str]]]) -> Index:
+    """The index of a block (name, items); a worker holds the one it used last."""
+    if _latest[0] != block[0]:
+        _latest[:] = ["", None]
+        _latest[:] = [block[0], Index(block[1])]
+    return _latest[1]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, similarity, first_word of every item that a document holds."""
     spark, texts, out = docs.sparkSession, texts_of(docs), None
     for block in passes(benchmark):
-        shared = spark.sparkContext.broadcast(index_of(block))
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, items_of(block)))
 
         def run(batches, shared=shared):
-            index = shared.value
+            index = index_of(shared.value)
             for batch in batches:
                 found = list(matches(index, batch.column("text")))
                 yield pa.RecordBatch.from_pydict({
@@ -247,12 +278,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no item, all columns as they are."""
     for block in passes(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index_of(block))
+        shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, items_of(block)))
 
         def run(batches, shared=shared):
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                keep[[f[0] for f in matches(shared.value, batch.column("text"))]] = False
+                keep[[f[0] for f in matches(index_of(shared.value), batch.column("text"))]] = False
                 yield batch.filter(pa.array(keep))
 
         docs = map_batches(docs, run, docs.schema)

@@ -235,3 +235,45 @@ def test_decontamination_finds_short_items_at_every_place_and_keeps_null_ids(spa
     got = [(r.doc_id, r.item_id, r.similarity, r.first_word) for r in decontaminate.find_leaks(frame, bench).collect()]
     assert len(got) == len(want) and set(got) == want
     assert {r.doc_id for r in decontaminate.without_leaks(frame, bench).collect()} == {97, 98, 99, 100}
+
+
+def test_decontamination_against_all_windows():
+    """Items of 5 to 320 words, edited at random places, against brute force over every window; the recall is measured."""
+    rng = random.Random(12)
+    pool = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
+    items = [(i, " ".join(rng.choices(pool, k=rng.choice((5, 8, 15, 40, 90, 150, 320))))) for i in range(40)]
+    docs = []
+    for i in range(160):
+        w = items[i % 40][1].split()
+        for _ in range(rng.randint(0, max(1, len(w) // 25))):
+            k = rng.randrange(len(w))
+            w[k : k + rng.randint(0, 1)] = rng.choices(pool, k=rng.randint(0, 1))
+        docs.append(" ".join(rng.choices(pool, k=rng.randint(0, 40)) + w + rng.choices(pool, k=rng.randint(0, 40))))
+    index = decontaminate.Index(items)
+    found = {(r, index.ids[k]): s for r, k, s, _ in decontaminate.matches(index, pa.array(docs))}
+    want = {}
+    for r, text in enumerate(docs):
+        w = text.split()
+        for i, item in items:
+            v = item.split()
+            mine = decontaminate.Counter(zip(*(v[j:] for j in range(5)), strict=False))
+            for a in range(len(w)):
+                s = decontaminate.similarity(mine, decontaminate.Counter(zip(*(w[a : a + len(v)][j:] for j in range(5)), strict=False)))
+                if s >= 0.8:
+                    want[r, i] = max(s, want.get((r, i), 0))
+    assert found.keys() <= want.keys() and all(s <= want[k] for k, s in found.items())
+    assert len(want) > 100 and len(found) >= 0.98 * len(want)
+
+
+def test_decontamination_in_several_passes_and_on_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PASS_PRINTS", 60)
+    rng = random.Random(13)
+    pool = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
+    items = [(i, " ".join(rng.choices(pool, k=30))) for i in range(25)] + [(3, None), (4, "")]
+    long = " ".join([*rng.choices(pool, k=150_000), items[7][1], *rng.choices(pool, k=150_000)])
+    frame = spark.createDataFrame([(1, items[3][1]), (2, long), (3, None), (4, "no item"), (5, items[3][1] + " x " + items[3][1])], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert len(decontaminate.passes(bench)) > 3
+    assert {(r.doc_id, r.item_id, r.similarity, r.first_word) for r in decontaminate.find_leaks(frame, bench).collect()} == {(1, 3, 1.0, 0), (2, 7, 1.0, 150_000), (5, 3, 1.0, 0)}
+    assert {r.doc_id for r in decontaminate.without_leaks(frame, bench).collect()} == {3, 4}
+    assert decontaminate.find_leaks(frame.limit(0), bench).count() == 0 and decontaminate.without_leaks(frame.limit(0), bench).count() == 0
