@@ -13,9 +13,14 @@ that isn't linked to the hub can only be linked to one that shares over p / (p +
 are listed, and a prefix and positional filter leaves pairs that may share enough; members with a common passage only, or with edits of
 their own, drop out, and no link is lost.
 
+Nodes of the graph are distinct sets, named by their least doc_id; where a doc_id is the least of several sets, the others have
+names from 2**62 on, and all sets of one doc_id are linked. A hub's pairs are dealt into shares of HOT, each with its own copy of
+the hub's set, so a group of copies that holds a third of all documents meets in no task.
+
 Defined cases: a document without words (null or empty text) has an empty set, links with nothing and is its own component;
 one with fewer words than a shingle has its whole sequence as one shingle; equal texts, and equal sets, link (similarity 1);
-ties keep the least doc_id; repeated rows of one doc_id share its component; rows with a null doc_id are left out of the
+ties keep the least doc_id; rows of one doc_id share its component, also with different texts, and link what each of them links;
+doc_ids are below 2**62; a very long text is one set of all its shingles; rows with a null doc_id are left out of the
 groups and returned alone with a null component; further columns are ignored; an empty table gives an empty result.
 """
 
@@ -35,6 +40,10 @@ from inkstone.llm.words import U, chunks, grams, mix, stream
 COORDINATES, MATCHES = 64, 36
 #: Hub rounds, and the longest list whose members are compared directly afterwards.
 HUB_ROUNDS, SHORT_LIST = 1, 8
+#: Pairs of one document that meet in a task.
+HOT = 512
+#: Names of the further sets of a doc_id begin here.
+FURTHER = 1 << 62
 
 SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, signature array<int>"
 
@@ -57,6 +66,11 @@ def shingle_sets(column: pa.Array, k: int):
                 yield c.row + r, np.zeros(0, U)
 
 
+def set_sums(flat: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sums that stand for each set; cuts: where the sets begin in flat."""
+    return np.add.reduceat(mix(flat ^ U(0x1234567)), cuts), np.add.reduceat(mix(flat ^ U(0x89ABCDEF01)), cuts)
+
+
 def signatures(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, two sums that stand for the set, and the signature (null for an empty set)."""
 
@@ -70,8 +84,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
             cuts = np.concatenate([[0], np.cumsum(sizes)])[:-1][full]
             a, b, sig = np.zeros(len(sets), U), np.zeros(len(sets), U), np.zeros((len(full), COORDINATES), np.int32)
             if len(full):
-                a[full] = np.add.reduceat(mix(flat ^ U(0x1234567)), cuts)
-                b[full] = np.add.reduceat(mix(flat ^ U(0x89ABCDEF01)), cuts)
+                a[full], b[full] = set_sums(flat, cuts)
                 for j in range(COORDINATES):
                     sig[:, j] = (np.minimum.reduceat((flat ^ flips[j]) * factors[j], cuts) >> U(32)).astype(np.uint32).view(np.int32)
             bounds = np.concatenate([[0], np.cumsum(np.where(sizes > 0, COORDINATES, 0))]).astype(np.int32)
@@ -90,13 +103,24 @@ def postings(reps: DataFrame) -> DataFrame:
     return held.select("doc", weight.alias("weight"), F.explode(F.slice("held", F.lit(1), F.size("held") - (MATCHES - 1))).alias("x")).select("x.token", "doc", "weight")
 
 
+def shared_out(pairs: DataFrame, values: DataFrame, key: str, other: str) -> DataFrame:
+    """pairs with the columns of values (one row for each key), without more than about HOT pairs of a key in a task. pairs are materialised."""
+    crowded = pairs.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > HOT).select(key, F.ceil(F.col("n") / HOT).alias("shares"))
+    shares = F.coalesce("shares", F.lit(1).cast("long"))
+    left = pairs.join(crowded, key, "left").withColumn("share", F.pmod(F.xxhash64(other), shares)).drop("shares")
+    right = values.join(crowded, key, "left").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1))).drop("shares")
+    return left.join(right, [key, "share"]).drop("share")
+
+
 def confirm(pairs: DataFrame, signed: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b, inter, total: exact sizes of pairs whose signatures agree in MATCHES places. signed: doc, signature; sets: doc, hashes."""
     agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     left = signed.select(F.col("doc").alias("a"), F.col("signature").alias("sa"))
     right = signed.select(F.col("doc").alias("b"), F.col("signature").alias("sb"))
-    near = pairs.join(left, "a").join(right, "b").where(agree >= MATCHES).select("a", "b")
-    full = near.join(sets.select(F.col("doc").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("doc").alias("b"), F.col("hashes").alias("hb")), "b")
+    pairs = cut(pairs)
+    near = cut(shared_out(shared_out(pairs, left, "a", "b"), right, "b", "a").where(agree >= MATCHES).select("a", "b"))
+    full = shared_out(near, sets.select(F.col("doc").alias("a"), F.col("hashes").alias("ha")), "a", "b")
+    full = shared_out(full, sets.select(F.col("doc").alias("b"), F.col("hashes").alias("hb")), "b", "a")
 
     def run(batches):
         for batch in batches:
@@ -113,15 +137,18 @@ def confirm(pairs: DataFrame, signed: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def set_table(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """doc, hashes (packed 64-bit shingle hashes, sorted) of the documents in wanted (doc)."""
+    """doc, hashes (packed 64-bit shingle hashes, sorted) of the sets in wanted (doc, owner, set_a, set_b); owner: a doc_id with that set."""
 
     def run(batches):
         for batch in batches:
-            packed = [s.tobytes() for _, s in shingle_sets(batch.column("text"), k)]
-            yield pa.RecordBatch.from_pydict({"doc": batch.column("doc_id"), "hashes": pa.array(packed, pa.binary())})
+            found = [s for _, s in shingle_sets(batch.column("text"), k)]
+            sums = [[x[0] for x in set_sums(s, np.zeros(1, np.int64))] if len(s) else [U(0), U(0)] for s in found]
+            a, b = (np.array([x[i] for x in sums], U).view(np.int64) for i in (0, 1))
+            yield pa.RecordBatch.from_pydict({"owner": batch.column("doc_id"), "set_a": pa.array(a), "set_b": pa.array(b), "hashes": pa.array([s.tobytes() for s in found], pa.binary())})
 
-    found = map_batches(texts_of(docs).join(wanted.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi"), run, "doc long, hashes binary")
-    return found.dropDuplicates(["doc"])
+    owners = wanted.select(F.col("owner").alias("doc_id")).distinct()
+    found = map_batches(texts_of(docs).join(owners, "doc_id", "left_semi"), run, "owner long, set_a long, set_b long, hashes binary")
+    return found.join(wanted, ["owner", "set_a", "set_b"]).select("doc", "hashes").dropDuplicates(["doc"])
 
 
 def alike_sizes(a: str, b: str, least: tuple[int, int]) -> Column:
@@ -133,13 +160,20 @@ def near_groups(docs: DataFrame, k: int = 5, least: tuple[int, int] = (80, 100))
     """doc_id, n_shingles, component_id for each row of docs. Linked: least[1] * |intersection| >= least[0] * |union|."""
     signed = cut(signatures(docs, k))
     key = ["set_a", "set_b", "n_shingles"]
-    reps = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("doc"), F.min("signature").alias("signature"))
-    reps = cut(reps)
+    reps = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("owner"), F.min("signature").alias("signature"))
+    several = reps.groupBy("owner").agg(F.min(F.struct(*key)).alias("first"), F.count("*").alias("n")).where("n > 1").select("owner", "first")
+    further = F.lit(FURTHER).bitwiseOR(F.shiftrightunsigned(F.xxhash64(*key, "owner"), 2))
+    reps = cut(reps.join(several, "owner", "left").withColumn("doc", F.when(F.struct(*key) != F.col("first"), further).otherwise(F.col("owner"))).drop("first"))
+    # The sets that one doc_id holds are linked.
+    mixed = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*key)).alias("low"), F.max(F.struct(*key)).alias("high")).where("low <> high").select("doc_id")
+    mixed = cut(signed.join(mixed, "doc_id").select("doc_id", *key).distinct().join(reps, key).select("doc_id", "doc"))
+    same = mixed.join(mixed.groupBy("doc_id").agg(F.min("doc").alias("a")), "doc_id").select("a", F.col("doc").alias("b")).where("a <> b")
     posts = cut(postings(reps))
     wanted = posts.select("doc").distinct()
-    mine = cut(reps.select("doc", "signature", "n_shingles").join(wanted, "doc", "left_semi"))
+    mine = cut(reps.join(wanted, "doc", "left_semi"))
     posts = cut(posts.join(mine.select("doc", "n_shingles"), "doc"))
-    sets = cut(set_table(docs, wanted, k))
+    sets = cut(set_table(docs, mine.select("doc", "owner", "set_a", "set_b"), k))
+    mine = mine.select("doc", "signature")
     spark = docs.sparkSession
     tested = spark.createDataFrame([], "a long, b long, inter long, total long")
     labels = spark.createDataFrame([], "node long, component long")
@@ -157,10 +191,11 @@ def near_groups(docs: DataFrame, k: int = 5, least: tuple[int, int] = (80, 100))
         pairs = pairs.distinct().join(tested, ["a", "b"], "left_anti")
         found = cut(confirm(pairs, mine, sets))
         tested = found if turn == 0 else tested.unionByName(found)
-        labels = components(tested.where(linked).select("a", "b"))
-    by_set = reps.join(labels, reps.doc == labels.node, "left").select(*key, F.coalesce("component", "doc").alias("component_id"))
-    found = signed.join(by_set, key, "left")
-    return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+        labels = components(tested.where(linked).select("a", "b").unionByName(same))
+    by_set = reps.join(labels, reps.doc == labels.node, "left").select("doc", *key, F.coalesce("component", "doc").alias("component_id"))
+    by_doc = mixed.join(by_set, "doc").groupBy("doc_id").agg(F.min("component_id").alias("of_doc"))
+    found = signed.join(by_set, key, "left").join(by_doc, "doc_id", "left")
+    return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("of_doc", "component_id", "doc_id")).alias("component_id"))
 
 
 def difference_pairs(members: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
