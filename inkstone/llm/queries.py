@@ -91,7 +91,7 @@ OP4 = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS.replace("{t}", LOWER.replace("{t}", "text"))} AS ws FROM documents),
 p AS (SELECT r, unnest(range(1, len(ws) + 1)) AS i, ws FROM d),
 g AS (SELECT r, i, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS v FROM p),
-c1 AS (SELECT w, count(*) AS n FROM g GROUP BY w), c2 AS (SELECT v, w, count(*) AS n FROM g WHERE v IS NOT NULL GROUP BY v, w HAVING count(*) >= 2), t AS (SELECT count(*) AS n FROM g),
+c1 AS (SELECT w, count(*) AS n FROM g GROUP BY w), c2 AS (SELECT v, w, count(*) AS n FROM g WHERE v IS NOT NULL GROUP BY v, w), t AS (SELECT count(*) AS n FROM g),
 s AS (SELECT g.r, CASE WHEN c2.n IS NOT NULL THEN ln(c2.n) - ln(cv.n) ELSE ln(c1.n) - ln(t.n) + CASE WHEN g.v IS NULL THEN 0 ELSE ln(0.4) END END AS s
   FROM g JOIN c1 ON g.w = c1.w CROSS JOIN t LEFT JOIN c2 ON c2.v = g.v AND c2.w = g.w LEFT JOIN c1 cv ON cv.w = g.v),
 z AS (SELECT r, sum(s) AS s FROM s GROUP BY r)

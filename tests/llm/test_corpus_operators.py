@@ -113,6 +113,23 @@ def test_near_groups_equal_brute_force(corpus, k, least):
     assert minhash.near_groups(df.limit(0), k, least).count() == 0
 
 
+def test_rows_of_one_id_link_what_each_of_them_links(spark):
+    """Groups of (0, A), (5, A edited), (5, B edited), (7, B): one component; an id with an empty row; a long text and its copy."""
+    rng = random.Random(21)
+    pool = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
+    rows, want = [(9000, ""), (9000, "only this text here"), (9100, "x y z " * 40_000), (9101, "x y z " * 40_000), (9200, None)], {9000: 9000, 9100: 9100, 9101: 9100, 9200: 9200}
+    for g in range(20):
+        a, b = (rng.choices(pool, k=120) for _ in range(2))
+        edit = lambda w: " ".join([*w[:60], "edited", *w[61:]])
+        base = 10 * g
+        rows += [(base, " ".join(a)), (base + 5, edit(a)), (base + 5, edit(b)), (base + 7, " ".join(b))]
+        want |= {base: base, base + 5: base, base + 7: base}
+    rng.shuffle(rows)
+    got = minhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, (85, 100)).collect()
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.component_id) for r in got} == set(want.items())
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, j) for j in range(101, 140)] + [(7, 7)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -133,13 +150,25 @@ def test_backoff_equals_brute_force(corpus, order):
         if n == 1:
             return math.log(counts[1][(w[j],)] / total)
         g = tuple(w[j - n + 1 : j + 1])
-        return math.log(counts[n][g] / counts[n - 1][g[:-1]]) if counts[n][g] >= 2 else math.log(0.4) + score(w, j, n - 1)
+        return math.log(counts[n][g] / counts[n - 1][g[:-1]]) if counts[n][g] else math.log(0.4) + score(w, j, n - 1)
 
     want = sorted((len(w), round(sum(score(w, j, min(order, j + 1)) for j in range(len(w))), 4)) for w in texts)
     assert sorted((r.n_tokens, round(r.score, 4)) for r in backoff.score_documents(df, order).collect()) == want
+    if order == 2:
+        assert sorted((r.n_tokens, round(r.score, 4)) for r in backoff.score_relational(df).collect()) == want
+        assert backoff.score_relational(df.limit(0)).count() == 0
     assert backoff.score_documents(df.limit(0)).count() == 0
 
 
+def test_backoff_leaves_out_rare_pairs_only_when_asked(spark):
+    """least=2 scores pairs that occur once by the shorter context; a long text is scored whole."""
+    rows = [(1, "a b a b"), (2, "b a"), (3, "x " * 50_000 + "y")]
+    got = {r.doc_id: r.score for r in backoff.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), least=2).collect()}
+    total = 50_007
+    assert got[2] == pytest.approx(math.log(3 / total) + math.log(2 / 3))
+    assert got[3] == pytest.approx(math.log(50_000 / total) + 49_999 * math.log(49_999 / 50_000) + math.log(0.4 / total))
+
+
 PAGES = [
     "https://a.net/x", "http://EXAMPLE.net/en/1", "http://www.example.com/de/2?q=1", "http://b.org/fr/", "http://b.org/frx", "http://other.org/de/3", "nourl", None, "", "http://net", "http://xnet/", "http://example.net?x#y", "ftp://h/p#f", "http://a.b.c.d.e.f.org/fr/#z",
 ]
@@ -294,6 +323,7 @@ def test_pipeline_stages_equal_brute_force(spark):
 def test_long_lists_lose_no_link(spark, monkeypatch):
     """Groups of edited copies of copies, with most lists over the limit of direct comparison."""
     monkeypatch.setattr(minhash, "SHORT_LIST", 3)
+    monkeypatch.setattr(minhash, "HOT", 4)
     rng = random.Random(4)
     pool = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
     rows = []
