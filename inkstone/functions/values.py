@@ -11,6 +11,10 @@ FILETIME_EPOCH = 116444736000000000
 # Line widths in mm by code, names of header flags and control bits.
 BORDER_MM = (0.10, 0.12, 0.15, 0.20, 0.25, 0.30, 0.40, 0.50, 0.60, 0.70, 1.00, 1.50, 2.00, 3.00, 4.00, 5.00)
 DOCUMENT_FLAGS = ("compressed", "encrypted", "distribution", "script", "drm", "xml_template", "history", "sign", "certificate_encrypt", "sign_spare", "certificate_drm", "ccl", "mobile", "privacy", "track_change", "kogl", "video_control", "table_of_contents")
+LICENSE_FLAGS = ("ccl_kogl", "copy_restricted", "copy_allowed_same_condition")
+CONTROL_MARKS = {2: "section_column_definition", 3: "field_start", 4: "field_end", 8: "title_mark", 9: "tab", 10: "line_break", 11: "gso_table", 13: "paragraph_break", 15: "hidden_comment", 16: "header_footer", 17: "footnote_endnote", 18: "auto_number", 21: "page_control", 22: "bookmark", 23: "additional_text_overlapping_letter", 24: "hyphen", 30: "bundle_blank", 31: "fix_width_blank"}
+DIVIDE_FLAGS = {0: "section", 1: "multi_column", 2: "page", 3: "column"}
+LANGUAGES = ("korean", "english", "chinese", "japanese", "other", "symbol", "user")
 SEGMENT_FLAGS = {0: "first_in_page", 1: "first_in_column", 16: "empty", 17: "first_in_line", 18: "last_in_line", 19: "auto_hyphenation", 20: "indentation", 21: "paragraph_head"}
 
 
@@ -75,3 +79,49 @@ def filetime_text(ft: Column) -> Column:
 
 def border_mm(code: Column) -> Column:
     return F.when(code.between(0, len(BORDER_MM) - 1), F.element_at(F.array(*map(F.lit, BORDER_MM)), (code + 1).cast("int"))).otherwise(F.lit(0.12))
+
+
+def border_mm_text(code: Column) -> Column:
+    """The width as a style has it; 0.1mm for an unknown code."""
+    return F.when(code.between(0, len(BORDER_MM) - 1), F.concat(F.format_string("%s", border_mm(code)), F.lit("mm"))).otherwise(F.lit("0.1mm"))
+
+
+def bits_of_names(set_: Column, names: dict[int, str]) -> Column:
+    """The number whose bits are the names in an array of names."""
+    return sum((F.array_contains(set_, n).cast("long") * (1 << b) for b, n in names.items()), F.lit(0).cast("long"))
+
+
+def seven(values: Column) -> Column:
+    """Seven values, one for each group of languages, by name; the last value fills up."""
+    return F.struct(*(F.coalesce(F.get(values, F.lit(k)), F.element_at(values, -1)).alias(n) for k, n in enumerate(LANGUAGES)))
+
+
+def all_seven(values: Column, test) -> Column:
+    """Whether a test holds for all seven values."""
+    return F.forall(values, test) & (F.size(values) == len(LANGUAGES))
+
+
+def page_size(width: Column, height: Column, landscape: Column) -> Column:
+    """width and height as turned."""
+    return F.struct(F.when(landscape, height).otherwise(width).alias("width"), F.when(landscape, width).otherwise(height).alias("height"))
+
+
+def content_box(size: Column, left: Column, right: Column, top: Column, bottom: Column, header: Column, footer: Column) -> Column:
+    """left, top, width and height of what the margins leave: headers and footers are inside the top and bottom margins' sums."""
+    return F.struct(left.alias("left"), (top + header).alias("top"), (size["width"] - left - right).alias("width"), (size["height"] - top - bottom - header - footer).alias("height"))
+
+
+def key_stream(seed: Column, n: int = 256) -> Column:
+    """The n bytes of the format's key schedule: values that last for one to sixteen places, by a linear generator."""
+    step = lambda s: (s * 214013 + 2531011).bitwiseAND(0x7FFFFFFF)
+    start = F.struct(seed.cast("long").alias("state"), F.lit(0).cast("long").alias("value"), F.lit(0).cast("long").alias("left"), F.array().cast("array<bigint>").alias("out"))
+
+    def place(s: Column, _: Column) -> Column:
+        fresh = s["left"] == 0
+        one = step(s["state"])
+        two = step(one)
+        value = F.when(fresh, field(one, 16, 8)).otherwise(s["value"])
+        left = F.when(fresh, field(two, 16, 4) + 1).otherwise(s["left"])
+        return F.struct(F.when(fresh, two).otherwise(s["state"]).alias("state"), value.alias("value"), (left - 1).alias("left"), F.concat(s["out"], F.array(value)).alias("out"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, place, lambda s: s["out"])

@@ -11,34 +11,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.sources import package, records
+from inkstone.sources import elements, package, records
 from inkstone.sources.compound import SIGNATURE, Compound, DecodeError
 from inkstone.sources.layouts import describe
 
 SCHEMAS = {
     "headers": "version string, format string, flags long, license_flags long",
     "meta": "key string, value string",
-    "fonts": "id long, name string",
-    "char_shapes": "id long, height long, italic boolean, bold boolean, underline long, strike long, colour long, font long",
-    "para_shapes": "id long, align long, heading long, level long, left long, right long, indent long, before long, after long, spacing long, numbering long",
+    "settings": "page_start long, footnote_start long, endnote_start long, picture_start long, table_start long, equation_start long",
+    "fonts": "id long, name string, substitute string, standard string, facts string",
+    "char_shapes": "id long, height long, italic boolean, bold boolean, underline long, strike long, colour long, font long, superscript boolean, subscript boolean, shade long, border_fill long, metrics string",
+    "para_shapes": "id long, align long, heading long, level long, left long, right long, indent long, before long, after long, spacing long, numbering long, tab_def long, border_fill long",
     "styles": "id long, name string, english string, para_shape long, char_shape long",
-    "numberings": "id long, formats array<string>",
-    "bullets": "id long, mark string",
-    "border_fills": "id long, bits long",
+    "numberings": "id long, formats array<string>, kinds array<long>, starts array<long>",
+    "bullets": "id long, mark string, image long",
+    "border_fills": "id long, bits long, " + ", ".join(f"{side}_{k} long" for side in records.SIDES for k in ("line", "width", "colour")) + ", fill long",
+    "tab_defs": "id long, bits long, tabs string",
     "bin_items": "id string, format string",
     "paragraphs": "path string, section long, container string, para_shape long, style long, page_break boolean, column_break boolean",
     "runs": "path string, ord long, kind string, text string, char_shape long",
     "line_segments": "path string, segment long, start long, top long, height long, flags long",
     "cells": "path string, table string, row long, col long, row_span long, col_span long, width long, height long, border_fill long",
     "controls": "path string, kind string",
-    "pages": "section long, width long, height long, left long, right long, top long, bottom long, landscape boolean",
+    "pages": "section long, width long, height long, left long, right long, top long, bottom long, header long, footer long, gutter long, landscape boolean",
     "binaries": "id string, format string, data binary",
     "preview": "text string, image string",
     "records": "stream string, seq long, parent long, level long, tag long, name string, fields string",
-    "elements": "part string, seq long, parent long, depth long, name string, attributes string, text string",
+    "elements": "part string, seq long, parent long, depth long, name string, attributes string, text string, fields string",
     "errors": "error string",
 }
-DIMENSIONS = ("fonts", "char_shapes", "para_shapes", "styles", "numberings", "bullets", "border_fills", "bin_items")
+DIMENSIONS = ("settings", "tab_defs", "fonts", "char_shapes", "para_shapes", "styles", "numberings", "bullets", "border_fills", "bin_items")
 BODY = ("paragraphs", "runs", "line_segments", "cells", "controls", "pages")
 #: Property numbers of summary information.
 SUMMARY = {2: "title", 3: "subject", 4: "creator", 5: "keywords", 6: "description", 8: "last_saved_by", 9: "revision", 12: "created", 13: "modified", 14: "pages"}
@@ -102,7 +104,7 @@ def element_rows(part: str, root) -> list[dict]:
     while todo:
         e, parent, depth = todo.pop()
         seq = len(out)
-        out.append({"part": part, "seq": seq, "parent": parent, "depth": depth, "name": package.local(e.tag), "attributes": json.dumps({package.local(k): v for k, v in e.attrib.items()}, ensure_ascii=False), "text": (e.text or "").strip() or None})
+        out.append({"part": part, "seq": seq, "parent": parent, "depth": depth, "name": elements.local(e.tag), "attributes": json.dumps({elements.local(k): v for k, v in e.attrib.items()}, ensure_ascii=False), "text": (e.text or "").strip() or None, "fields": None if (f := elements.typed(e)) is None else json.dumps(f, ensure_ascii=False)})
         todo += [(c, seq, depth + 1) for c in reversed(e)]
     return out
 
@@ -184,7 +186,7 @@ def read_table(files: DataFrame, table: str) -> DataFrame:
     schema = SCHEMAS[table]
     names = [c.split(" ")[0] for c in schema.split(", ")]
     source = files.select(F.col("path").alias("file"), "content")
-    arrow = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<string>": pa.list_(pa.string())}
+    arrow = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64())}
     types = pa.schema([("file", pa.string()), *((c.split(" ")[0], arrow[c.split(" ")[1]]) for c in schema.split(", "))])
 
     def run(batches):

@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import io
+import json
 import re
 import zipfile
 import zlib
 from xml.etree import ElementTree
 
+from inkstone.functions.values import BORDER_MM
 from inkstone.sources.compound import DecodeError
-
-
-def local(tag: str) -> str:
-    return tag.rsplit("}", 1)[-1].rsplit(":", 1)[-1]
+from inkstone.sources.elements import ENUMS, local, names_of, typed
 
 
 def number(e: ElementTree.Element, name: str, default: int = 0) -> int:
@@ -49,12 +48,16 @@ class Package:
         except ElementTree.ParseError as e:
             raise DecodeError(f"part {name} isn't well-formed: {e}") from e
 
-    def manifest(self) -> tuple[dict, list[dict]]:
-        """Metadata, and items (id, src, format)."""
+    def root(self) -> str:
+        """The manifest's name."""
         root = "Contents/content.hpf"
         if (box := self.xml("META-INF/container.xml")) is not None:
             root = next((e.get("full-path", root) for e in box.iter() if local(e.tag) == "rootfile" and e.get("media-type", "application/hwpml-package+xml") == "application/hwpml-package+xml"), root)
-        opf = self.xml(root)
+        return root
+
+    def manifest(self) -> tuple[dict, list[dict]]:
+        """Metadata, and items (id, src, format)."""
+        opf = self.xml(self.root())
         meta: dict = {}
         items: list[dict] = []
         for e in opf.iter() if opf is not None else ():
@@ -69,47 +72,84 @@ class Package:
         return meta, items
 
     def sections(self) -> list[tuple[int, str]]:
-        found = ((int(m[1]), n) for n in self.names if (m := re.fullmatch(r"Contents/section(\d+)\.xml", n)))
-        return sorted(found)
+        """Section parts by number; where there are none, those parts of the manifest that its spine names, in the spine's order."""
+        found = sorted((int(m[1]), n) for n in self.names if (m := re.fullmatch(r"Contents/section(\d+)\.xml", n)))
+        if found:
+            return found
+        opf = self.xml(self.root())
+        parts = {e.get("id"): e.get("href", "") for e in opf.iter() if local(e.tag) == "item"} if opf is not None else {}
+        spine = [parts.get(e.get("idref"), "") for e in opf.iter() if local(e.tag) == "itemref"] if opf is not None else []
+        return list(enumerate(n for n in spine if n.endswith(".xml") and "header" not in n and n in self.names))
 
     def version(self) -> str:
         e = self.xml("version.xml")
         return "" if e is None else ".".join(e.get(k, "0") for k in ("major", "minor", "micro", "buildNumber"))
 
 
+# Codes of the binary format for the names of this one, by place.
+ALIGNS, HEADINGS, UNDERLINES, LINE_CODES = (tuple(names_of(k)[1].values()) for k in ("align", "heading", "underline", "wavy_line"))
+NUMBER_CODES = tuple(ENUMS["number"].split(" "))
+SIDES = (("left", "leftBorder"), ("right", "rightBorder"), ("top", "topBorder"), ("bottom", "bottomBorder"))
+
+
+def width_code(text: str | None) -> int:
+    """The code of a line width like 0.12 mm."""
+    m = re.match(r"[0-9.]+", text or "")
+    return BORDER_MM.index(float(m[0])) if m and float(m[0]) in BORDER_MM else 1
+
+
+def bgr(rgb: int | None) -> int | None:
+    return None if rgb is None else (rgb & 255) << 16 | rgb & 0xFF00 | rgb >> 16
+
+
+def margins(e: ElementTree.Element) -> dict:
+    """Margins of a paragraph shape, which newer files wrap in a choice of layouts; the first counts."""
+    found = next((x for x in e.iter() if local(x.tag) == "margin"), None)
+    f = typed(found) if found is not None else {}
+    return {name: f.get(f"{side}.value", 0) for name, side in (("left", "left"), ("right", "right"), ("indent", "intent"), ("before", "prev"), ("after", "next"))}
+
+
 def head(root: ElementTree.Element | None) -> dict[str, list[dict]]:
-    """Dimension rows of header.xml."""
-    out: dict[str, list[dict]] = {k: [] for k in ("fonts", "char_shapes", "para_shapes", "styles", "numberings", "bullets", "border_fills", "bin_items")}
+    """Dimension rows of header.xml, in the codes of the binary format. Numberings and bullets count from 1, as paragraphs name them."""
+    out: dict[str, list[dict]] = {k: [] for k in ("fonts", "char_shapes", "para_shapes", "styles", "numberings", "bullets", "border_fills", "bin_items", "tab_defs", "settings")}
     for e in root.iter() if root is not None else ():
         name = local(e.tag)
-        inner = {local(c.tag): c for c in e}
-        if name == "font":
-            out["fonts"].append({"id": number(e, "id"), "name": e.get("face", "")})
+        if name not in ("beginNum", "font", "charPr", "paraPr", "style", "numbering", "bullet", "borderFill", "tabPr"):
+            continue
+        f, inner = typed(e) or {}, {local(c.tag): c for c in e}
+        if name == "beginNum":
+            out["settings"].append({k: f[v] for k, v in (("page_start", "page"), ("footnote_start", "footnote"), ("endnote_start", "endnote"), ("picture_start", "pic"), ("table_start", "tbl"), ("equation_start", "equation"))})
+        elif name == "font":
+            out["fonts"].append({"id": f["id"], "name": f.get("face", ""), "substitute": f.get("substFont.face"), "standard": None, "facts": f.get("typeInfo.familyType")})
         elif name == "charPr":
-            under, strike = inner.get("underline"), inner.get("strikeout")
             colour = e.get("textColor", "#000000")
-            refs = inner.get("fontRef")
+            metrics = {k: [f.get(f"{part}.{g}", default) for g in ("hangul", "latin", "hanja", "japanese", "other", "symbol", "user")] for k, part, default in (("fonts", "fontRef", 0), ("ratios", "ratio", 100), ("spacings", "spacing", 0), ("sizes", "relSz", 100), ("offsets", "offset", 0))}
             out["char_shapes"].append({
-                "id": number(e, "id"), "height": number(e, "height", 1000), "italic": "italic" in inner, "bold": "bold" in inner,
-                "underline": {"BOTTOM": 1, "CENTER": 2, "TOP": 3}.get(under.get("type", "NONE") if under is not None else "NONE", 0),
-                "strike": int(strike is not None and strike.get("shape", "NONE") not in ("NONE", "3D")),
-                "colour": int(colour[1:], 16) if re.fullmatch("#[0-9A-Fa-f]{6}", colour) else 0, "font": number(refs, "hangul") if refs is not None else 0,
+                "id": f["id"], "height": f["height"], "italic": "italic" in inner, "bold": "bold" in inner, "underline": {"BOTTOM": 1, "CENTER": 2, "TOP": 3}.get(f.get("underline.type", "NONE"), 0),
+                "strike": int("strikeout" in inner and inner["strikeout"].get("shape", "NONE") not in ("NONE", "3D")), "colour": bgr(int(colour[1:], 16)) if re.fullmatch("#[0-9A-Fa-f]{6}", colour) else 0, "font": metrics["fonts"][0],
+                "superscript": "supscript" in inner, "subscript": "subscript" in inner, "shade": bgr(f.get("shadeColor")), "border_fill": f.get("borderFillIDRef"), "metrics": json.dumps(metrics),
             })
         elif name == "paraPr":
-            heading, align = inner.get("heading"), inner.get("align")
+            heading = HEADINGS.index(f.get("heading.type", "NONE"))
             out["para_shapes"].append({
-                "id": number(e, "id"), "align": {"JUSTIFY": 0, "LEFT": 1, "RIGHT": 2, "CENTER": 3, "DISTRIBUTE": 4}.get(align.get("horizontal", "JUSTIFY") if align is not None else "JUSTIFY", 0),
-                "heading": {"OUTLINE": 1, "NUMBER": 2, "BULLET": 3}.get(heading.get("type", "NONE") if heading is not None else "NONE", 0), "level": (number(heading, "level") if heading is not None else 0) + 1,
-                "left": 0, "right": 0, "indent": 0, "before": 0, "after": 0, "spacing": 0, "numbering": number(heading, "idRef") if heading is not None else 0,
+                "id": f["id"], "align": ALIGNS.index(f.get("align.horizontal", "JUSTIFY")), "heading": heading, "level": min(f.get("heading.level", 0), 6) + 1, **margins(e),
+                "spacing": next((number(x, "value", 160) for x in e.iter() if local(x.tag) == "lineSpacing"), 0), "numbering": f.get("heading.idRef", 0) + 1 if heading else 0, "tab_def": f.get("tabPrIDRef", 0), "border_fill": f.get("border.borderFillIDRef", 0),
             })
         elif name == "style":
-            out["styles"].append({"id": number(e, "id"), "name": e.get("name", ""), "english": e.get("engName", ""), "para_shape": number(e, "paraPrIDRef"), "char_shape": number(e, "charPrIDRef")})
+            out["styles"].append({"id": f["id"], "name": f.get("name", ""), "english": f.get("engName", ""), "para_shape": f["paraPrIDRef"], "char_shape": f["charPrIDRef"]})
         elif name == "numbering":
-            out["numberings"].append({"id": number(e, "id"), "formats": [(c.text or "") for c in e if local(c.tag) == "paraHead"]})
+            levels = f["paraHead"]
+            out["numberings"].append({"id": len(out["numberings"]) + 1, "formats": [x.get("text", "") for x in levels], "kinds": [NUMBER_CODES.index(x["numFormat"]) for x in levels], "starts": [x["start"] for x in levels]})
         elif name == "bullet":
-            out["bullets"].append({"id": number(e, "id"), "mark": e.get("char", "")})
+            out["bullets"].append({"id": len(out["bullets"]) + 1, "mark": f.get("char", ""), "image": int(f["useImg"])})
         elif name == "borderFill":
-            out["border_fills"].append({"id": number(e, "id"), "bits": 0})
+            bits = int(f["threeD"]) | int(f["shadow"]) << 1 | int(f["centerLine"] != "NONE") << 13
+            fill = next((typed(x).get("faceColor") for x in e.iter() if local(x.tag) == "winBrush"), None)
+            sides = {f"{side}_{k}": v for side, part in SIDES for k, v in (("line", LINE_CODES.index(f.get(f"{part}.type", "NONE"))), ("width", width_code(f.get(f"{part}.width"))), ("colour", bgr(f.get(f"{part}.color"))))}
+            out["border_fills"].append({"id": f["id"], "bits": bits, **sides, "fill": bgr(fill)})
+        elif name == "tabPr":
+            tabs = [{"position": t["pos"], "kind": ("LEFT", "RIGHT", "CENTER", "DECIMAL").index(t["type"]), "fill": names_of("line")[1] and tuple(names_of("line")[1]).index(t["leader"])} for t in f["tabItem"]]
+            out["tab_defs"].append({"id": f["id"], "bits": int(f["autoTabLeft"]) | int(f["autoTabRight"]) << 1, "tabs": json.dumps(tabs)})
     return out
 
 
@@ -152,7 +192,7 @@ def body(root: ElementTree.Element, section: int) -> dict[str, list[dict]]:
             if kind == "secd":
                 for page in (x for x in e.iter() if local(x.tag) == "pagePr"):
                     margin = next((x for x in page if local(x.tag) == "margin"), page)
-                    out["pages"].append({"section": section, "width": number(page, "width"), "height": number(page, "height"), **{k: number(margin, k) for k in ("left", "right", "top", "bottom")}, "landscape": page.get("landscape") == "WIDELY"})
+                    out["pages"].append({"section": section, "width": number(page, "width", 59528), "height": number(page, "height", 84188), **{k: number(margin, k) for k in ("left", "right", "top", "bottom", "header", "footer", "gutter")}, "landscape": page.get("landscape") == "LANDSCAPE"})
             elif kind == "tbl ":
                 for cell in (c for tr in e if local(tr.tag) == "tr" for c in tr if local(c.tag) == "tc"):
                     at = {local(x.tag): x for x in cell}

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+from inkstone.functions.text import CONTROL_INLINE, CONTROL_SINGLE
 from inkstone.sources.compound import Compound, DecodeError
+from inkstone.sources.layouts import describe
 
 HEADER_SIGNATURE = b"HWP Document File"
 # Record tags.
-BIN_DATA, FACE_NAME, BORDER_FILL, CHAR_SHAPE, NUMBERING, BULLET, PARA_SHAPE, STYLE = 0x12, 0x13, 0x14, 0x15, 0x17, 0x18, 0x19, 0x1A
+DOCUMENT_PROPERTIES, BIN_DATA, FACE_NAME, BORDER_FILL, CHAR_SHAPE, TAB_DEF, NUMBERING, BULLET, PARA_SHAPE, STYLE = 0x10, 0x12, 0x13, 0x14, 0x15, 0x16, 0x17, 0x18, 0x19, 0x1A
+SIDES = ("left", "right", "top", "bottom")
 PARA_HEADER, PARA_TEXT, PARA_CHAR_SHAPE, PARA_LINE_SEG, CTRL_HEADER, LIST_HEADER, PAGE_DEF, TABLE = 0x42, 0x43, 0x44, 0x45, 0x47, 0x48, 0x49, 0x4D
 #: Control characters that stand alone; the others below 32 take eight units.
 SINGLE = frozenset((0, 10, 13, 24, 25, 26, 27, 28, 29, 30, 31))
@@ -120,68 +124,78 @@ def text16(raw: bytes, at: int) -> tuple[str, int]:
     return raw[at + 2 : at + 2 + 2 * n].decode("utf-16-le", "replace"), at + 2 + 2 * n
 
 
-def pieces_of_text(raw: bytes) -> list[tuple[int, str, str]]:
-    """(unit offset, kind, text) of a paragraph's text: runs of text and control marks."""
-    units = struct.unpack(f"<{len(raw) // 2}H", raw[: len(raw) // 2 * 2])
-    out, at, run = [], 0, []
+def pieces_of_text(raw: bytes) -> list[tuple[int, str, bytes | str]]:
+    """(unit offset, kind, text) of a paragraph's text: runs of text, still as units, and control marks.
 
-    def flush(end: int) -> None:
-        if run:
-            out.append((end - len(run), "text", struct.pack(f"<{len(run)}H", *run).decode("utf-16-le", "replace")))
-            run.clear()
-
-    while at < len(units):
+    Marks hold what they carry: a tab its width, other inline marks their letters, the rest the control's four letters."""
+    n = len(raw) // 2
+    units = struct.unpack(f"<{n}H", raw[: 2 * n])
+    out: list = []
+    at = begin = 0
+    while at < n:
         u = units[at]
         if u >= 32:
-            run.append(u)
             at += 1
             continue
-        flush(at)
+        if at > begin:
+            out.append((begin, "text", raw[2 * begin : 2 * at]))
+        data = raw[2 * at + 2 : 2 * at + 6]
         if u in SHOWN:
-            out.append((at, "text", SHOWN[u]))
-        elif u not in SINGLE:
-            control = struct.pack("<2H", *units[at + 1 : at + 3])[::-1].decode("latin-1") if at + 3 <= len(units) else ""
-            out.append((at, f"control:{u}", control))
-        at += 1 if u in SINGLE else 8
-    flush(at)
+            out.append((at, "text", SHOWN[u].encode("utf-16-le")))
+        elif u in CONTROL_INLINE:
+            out.append((at, f"control:{u}", data.rstrip(b"\0").decode("ascii") if all(b == 0 or 32 <= b < 127 for b in data) else ""))
+        elif u not in CONTROL_SINGLE:
+            out.append((at, f"control:{u}", data[::-1].decode("latin-1") if len(data) == 4 else ""))
+        at += 1 if u in CONTROL_SINGLE else 8
+        begin = at
+    if n > begin:
+        out.append((begin, "text", raw[2 * begin : 2 * n]))
     return out
 
 
 def doc_info(raw: bytes) -> dict[str, list[dict]]:
     """Dimension rows by table; ids count from 0 in stream order, those of border fills, numberings and bullets from 1."""
-    out: dict[str, list[dict]] = {k: [] for k in ("fonts", "char_shapes", "para_shapes", "styles", "numberings", "bullets", "border_fills", "bin_items")}
+    out: dict[str, list[dict]] = {k: [] for k in ("fonts", "char_shapes", "para_shapes", "styles", "numberings", "bullets", "border_fills", "bin_items", "tab_defs", "settings")}
     for r in records(raw):
         d = r.data
-        if r.tag == FACE_NAME and len(d) >= 3:
-            out["fonts"].append({"id": len(out["fonts"]), "name": text16(d, 1)[0]})
+        if r.tag == DOCUMENT_PROPERTIES:
+            f = describe(r.tag, d)[1]
+            out["settings"].append({k: f.get(k) for k in ("page_start", "footnote_start", "endnote_start", "picture_start", "table_start", "equation_start")})
+        elif r.tag == FACE_NAME and len(d) >= 3:
+            f = describe(r.tag, d)[1]
+            out["fonts"].append({"id": len(out["fonts"]), "name": f.get("name", ""), "substitute": f.get("substitute"), "standard": f.get("standard"), "facts": json.dumps(f["facts"]) if f.get("facts") else None})
         elif r.tag == CHAR_SHAPE and len(d) >= 56:
-            size, bits = struct.unpack_from("<iI", d, 42)
-            out["char_shapes"].append({"id": len(out["char_shapes"]), "height": size, "italic": bool(bits & 1), "bold": bool(bits >> 1 & 1), "underline": bits >> 2 & 3, "strike": bits >> 18 & 7, "colour": struct.unpack_from("<I", d, 52)[0], "font": struct.unpack_from("<H", d, 0)[0]})
+            f = describe(r.tag, d)[1]
+            bits = f["attribute"]
+            out["char_shapes"].append({
+                "id": len(out["char_shapes"]), "height": f["height"], "italic": bool(bits & 1), "bold": bool(bits >> 1 & 1), "underline": bits >> 2 & 3, "strike": bits >> 18 & 7, "colour": f["colour"], "font": f["fonts"][0],
+                "superscript": bool(bits >> 15 & 1), "subscript": bool(bits >> 16 & 1), "shade": f.get("shade_colour"), "border_fill": f.get("border_fill"), "metrics": json.dumps({k: f[k] for k in ("fonts", "ratios", "spacings", "sizes", "offsets")}),
+            })
         elif r.tag == PARA_SHAPE and len(d) >= 34:
-            bits, left, right, indent, before, after, spacing = struct.unpack_from("<Iiiiiii", d, 0)
-            out["para_shapes"].append({"id": len(out["para_shapes"]), "align": bits >> 2 & 7, "heading": bits >> 23 & 3, "level": (bits >> 25 & 7) + 1, "left": left, "right": right, "indent": indent, "before": before, "after": after, "spacing": spacing, "numbering": struct.unpack_from("<H", d, 30)[0]})
+            f = describe(r.tag, d)[1]
+            bits = f["attribute1"]
+            out["para_shapes"].append({"id": len(out["para_shapes"]), "align": bits >> 2 & 7, "heading": bits >> 23 & 3, "level": (bits >> 25 & 7) + 1, **{k: f[k] for k in ("left", "right", "indent", "before", "after")}, "spacing": f.get("spacing", f["spacing_old"]), "numbering": f["numbering"], "tab_def": f["tab_def"], "border_fill": f.get("border_fill", 0)})
         elif r.tag == STYLE and len(d) >= 4:
-            name, at = text16(d, 0)
-            english, at = text16(d, at)
-            para, char = struct.unpack_from("<HH", d, at + 4) if len(d) >= at + 8 else (0, 0)
-            out["styles"].append({"id": len(out["styles"]), "name": name, "english": english, "para_shape": para, "char_shape": char})
+            f = describe(r.tag, d)[1]
+            out["styles"].append({"id": len(out["styles"]), "name": f.get("name", ""), "english": f.get("english", ""), "para_shape": f.get("para_shape", 0), "char_shape": f.get("char_shape", 0)})
         elif r.tag == NUMBERING:
-            at, formats = 0, []
-            for _ in range(7):
-                if len(d) < at + 14:
-                    break
-                text, at = text16(d, at + 12)
-                formats.append(text)
-            out["numberings"].append({"id": len(out["numberings"]) + 1, "formats": formats})
+            f = describe(r.tag, d)[1]
+            levels = f.get("levels", [])
+            out["numberings"].append({"id": len(out["numberings"]) + 1, "formats": [x["format"] for x in [*levels, *f.get("further", [])]], "kinds": [x["attribute"] >> 5 & 15 for x in levels], "starts": f.get("level_starts", f.get("starts", []))})
         elif r.tag == BULLET and len(d) >= 14:
-            out["bullets"].append({"id": len(out["bullets"]) + 1, "mark": d[12:14].decode("utf-16-le", "replace")})
+            f = describe(r.tag, d)[1]
+            out["bullets"].append({"id": len(out["bullets"]) + 1, "mark": d[12:14].decode("utf-16-le", "replace"), "image": f.get("image", 0)})
         elif r.tag == BORDER_FILL and len(d) >= 2:
-            out["border_fills"].append({"id": len(out["border_fills"]) + 1, "bits": struct.unpack_from("<H", d)[0]})
+            f = describe(r.tag, d)[1]
+            sides = {f"{side}_{k}": b[k] for side, b in zip(SIDES, f.get("borders", []), strict=False) for k in ("line", "width", "colour")}
+            out["border_fills"].append({"id": len(out["border_fills"]) + 1, "bits": f["attribute"], **sides, "fill": f.get("background")})
+        elif r.tag == TAB_DEF and len(d) >= 4:
+            f = describe(r.tag, d)[1]
+            out["tab_defs"].append({"id": len(out["tab_defs"]), "bits": f["attribute"], "tabs": json.dumps([{k: t[k] for k in ("position", "kind", "fill")} for t in f.get("tabs", [])])})
         elif r.tag == BIN_DATA and len(d) >= 2:
-            bits = struct.unpack_from("<H", d)[0]
-            if bits & 0xF and len(d) >= 6:
-                extension = text16(d, 4)[0]
-                out["bin_items"].append({"id": f"BIN{struct.unpack_from('<H', d, 2)[0]:04X}", "format": extension.lower()})
+            f = describe(r.tag, d)[1]
+            if f.get("bin_item") is not None:
+                out["bin_items"].append({"id": f"BIN{f['bin_item']:04X}", "format": f.get("extension", "").lower()})
     return out
 
 
@@ -205,9 +219,10 @@ def body(raw: bytes, section: int) -> dict[str, list[dict]]:
                 out["runs"].append({"path": pending["path"], "ord": ord_, "kind": kind, "text": text, "char_shape": shape_at(shapes, at)})
                 ord_ += 1
                 continue
-            cuts = sorted({at, *(p for p, _ in shapes if at < p < at + len(text))})
-            for a, b in zip(cuts, [*cuts[1:], at + len(text)], strict=True):
-                out["runs"].append({"path": pending["path"], "ord": ord_, "kind": "text", "text": text[a - at : b - at], "char_shape": shape_at(shapes, a)})
+            # Positions count units, so units are cut and then decoded.
+            cuts = sorted({at, *(p for p, _ in shapes if at < p < at + len(text) // 2)})
+            for a, b in zip(cuts, [*cuts[1:], at + len(text) // 2], strict=True):
+                out["runs"].append({"path": pending["path"], "ord": ord_, "kind": "text", "text": text[2 * (a - at) : 2 * (b - at)].decode("utf-16-le", "replace"), "char_shape": shape_at(shapes, a)})
                 ord_ += 1
         pending = None
 
@@ -248,7 +263,7 @@ def body(raw: bytes, section: int) -> dict[str, list[dict]]:
             holders.append((r.level - 1, path))
         elif r.tag == PAGE_DEF and len(d) >= 40:
             v = struct.unpack_from("<10I", d)
-            out["pages"].append({"section": section, "width": v[0], "height": v[1], "left": v[2], "right": v[3], "top": v[4], "bottom": v[5], "landscape": bool(v[9] & 1)})
+            out["pages"].append({"section": section, "width": v[0], "height": v[1], "left": v[2], "right": v[3], "top": v[4], "bottom": v[5], "header": v[6], "footer": v[7], "gutter": v[8], "landscape": bool(v[9] & 1)})
     close()
     return out
 

@@ -117,10 +117,11 @@ def test_record_and_element_tables(files):
 
 def test_layouts_read_as_far_as_the_data_go():
     assert layouts.describe(0x4E, struct.pack("<iiii", 1, 2, 3, 4)) == ("line", {"start_x": 1, "start_y": 2, "end_x": 3, "end_y": 4})
-    assert layouts.describe(0x52, struct.pack("<hiiii", 2, 1, 2, 3, 4))[1]["points"] == [{"x": 1, "y": 2}, {"x": 3, "y": 4}]
+    assert layouts.describe(0x52, struct.pack("<hiiii", 2, 1, 2, 3, 4))[1] == {"n": 2, "x": [1, 2], "y": [3, 4]}
     script = "x over y".encode("utf-16-le")
     assert layouts.describe(0x58, struct.pack("<IH", 0, 8) + script)[1] == {"attribute": 0, "script": "x over y"}
-    assert layouts.describe(0x47, b"mkob" + struct.pack("<H", 2) + "ab".encode("utf-16-le")) == ("bookmark", {"control": "bokm", "name": "ab"})
+    assert layouts.describe(0x47, b"mkob" + struct.pack("<H", 2) + "ab".encode("utf-16-le")) == ("bookmark", {"control": "bokm", "name": "ab"}) == layouts.describe(0x47, b"mkob" + struct.pack("<H", 2) + "ab".encode("utf-16-le"))
+    assert layouts.describe(0x47, b"ntua" + struct.pack("<I", 4))[0] == layouts.describe(0x47, b"onta" + struct.pack("<I", 4))[0] == "auto_number"
     assert layouts.describe(0x47, b"klh%" + struct.pack("<IBH", 0, 0, 1) + "u".encode("utf-16-le"))[1]["command"] == "u"
     assert layouts.describe(0x3FF, b"\x01")[0] == "unknown"
     for name, spec in [*layouts.RECORDS.values(), *layouts.CONTROLS.values()]:
@@ -179,3 +180,46 @@ def test_format_counts_in_event_time(spark):
     rows = spark.createDataFrame([("2024-01-01 00:01:00", binary_file(0)), ("2024-01-01 00:02:00", b"PK\x03\x04"), ("2024-01-01 00:20:00", b"x")], "t string, content binary")
     got = format_counts(rows.selectExpr("cast(t as timestamp) as modificationTime", "content")).collect()
     assert {(r.window.start.minute, r.format, r.n) for r in got} == {(0, "compound", 1), (0, "package", 1), (20, "unknown", 1)}
+
+
+def test_marks_of_eight_units_and_positions_in_units():
+    """Codes 25 to 29 take eight units, as in the table of control characters; shape positions count units, so an astral character counts two."""
+    mark = "\x1aABCDEF\x1a"
+    got = records.body(C.paragraph(f"x{mark}y") + C.paragraph("a\U0001f600bc", 0, ((0, 0), (3, 1))), 0)["runs"]
+    assert [(r["kind"], r["text"], r["char_shape"]) for r in got] == [("text", "x", 0), ("control:26", "\0B\0A", 0), ("text", "y", 0), ("text", "a\U0001f600", 0), ("text", "bc", 1)]
+    inline = records.body(C.paragraph("\x04abcdef\x04z"), 0)["runs"]
+    assert [(r["kind"], r["text"]) for r in inline] == [("control:4", ""), ("text", "z")]
+
+
+def test_borders_in_either_order():
+    """Four lines, four widths, four colours apart score higher than read together, and the other way round."""
+    together = struct.pack("<H", 0) + b"".join(struct.pack("<BBI", 1, k, 0x101010) for k in range(4)) + bytes(10)
+    apart = struct.pack("<H4B4B4I", 0, 1, 1, 1, 1, 0, 1, 2, 3, *[0xC0C0C0] * 4) + bytes(10)
+    for raw in (together, apart):
+        assert [(b["line"], b["width"]) for b in layouts.describe(0x14, raw)[1]["borders"]] == [(1, 0), (1, 1), (1, 2), (1, 3)]
+    assert layouts.caption(struct.pack("<HHIIIhI", 1, 0, 1 << 5, 6, 900, 85, 700)) == {"align": "top", "with_margin": True, "width": 900, "gap": 85, "last_width": 700, "vertical": "middle"}
+
+
+PACKAGE_HEAD = """<head xmlns:h="urn:h"><beginNum page="2" tbl="5"/><borderFill id="3" threeD="1"><leftBorder type="SOLID" width="0.4 mm" color="#0000FF"/><fillBrush><winBrush faceColor="#112233"/></fillBrush></borderFill>
+<charPr id="0" textColor="#0000FF"><fontRef hangul="4" latin="5"/><ratio hangul="90"/></charPr><tabPr id="1" autoTabLeft="1"><tabItem pos="700" type="RIGHT" leader="DOT"/></tabPr>
+<numbering id="1" start="0"><paraHead level="1" start="3" numFormat="LATIN_SMALL">^1)</paraHead></numbering>
+<paraPr id="7" tabPrIDRef="1"><align horizontal="CENTER"/><heading type="NUMBER" idRef="0" level="2"/><switch><case><margin><intent value="-10"/><left value="20"/><right value="30"/><prev value="40"/><next value="50"/></margin></case></switch><lineSpacing value="180"/></paraPr></head>"""
+
+
+def test_package_dimensions(spark):
+    df = spark.createDataFrame([("p", C.package(["<sec/>"], PACKAGE_HEAD))], "path string, content binary")
+    row = lambda t: documents.read_table(df, t).first()
+    p, b, c = row("para_shapes"), row("border_fills"), row("char_shapes")
+    assert (p.left, p.right, p.indent, p.before, p.after, p.spacing, p.align, p.heading, p.level, p.numbering) == (20, 30, -10, 40, 50, 180, 3, 2, 3, 1)
+    assert (b.bits, b.left_line, b.left_width, b.left_colour, b.right_line, b.fill) == (1, 1, 6, 0xFF0000, 0, 0x332211)
+    assert (c.colour, c.font) == (0xFF0000, 4) and '"ratios": [90, 100' in c.metrics
+    assert row("tab_defs").tabs == '[{"position": 700, "kind": 1, "fill": 2}]' and row("numberings").starts == [3] and row("numberings").kinds == [5]
+    assert (row("settings").page_start, row("settings").table_start, row("settings").footnote_start) == (2, 5, 1)
+
+
+def test_large_compound_files_round_trip():
+    from inkstone.sources.writer import compound_bytes
+
+    streams = {"FileHeader": b"h", "BinData/BIN0001.bin": bytes(range(256)) * 40_000, "BodyText/Section0": b"s" * 5000, "BodyText/Section10": b"", "a/b/c": b"deep"}
+    c = Compound(compound_bytes(streams))
+    assert {p: c.read(p) for p in c.paths} == streams
