@@ -188,7 +188,7 @@ def test_marks_of_eight_units_and_positions_in_units():
     got = records.body(C.paragraph(f"x{mark}y") + C.paragraph("a\U0001f600bc", 0, ((0, 0), (3, 1))), 0)["runs"]
     assert [(r["kind"], r["text"], r["char_shape"]) for r in got] == [("text", "x", 0), ("control:26", "\0B\0A", 0), ("text", "y", 0), ("text", "a\U0001f600", 0), ("text", "bc", 1)]
     inline = records.body(C.paragraph("\x04abcdef\x04z"), 0)["runs"]
-    assert [(r["kind"], r["text"]) for r in inline] == [("control:4", ""), ("text", "z")]
+    assert [(r["kind"], r["text"]) for r in inline] == [("control:4", "a\0b"), ("text", "z")]
 
 
 def test_borders_in_either_order():
