@@ -14,8 +14,8 @@ are listed, and a prefix and positional filter leaves pairs that may share enoug
 their own, drop out, and no link is lost.
 
 Nodes of the graph are distinct sets, named by their least doc_id; where a doc_id is the least of several sets, the others have
-names from 2**62 on, and all sets of one doc_id are linked. A hub's pairs are dealt into shares of HOT, each with its own copy of
-the hub's set, so a group of copies that holds a third of all documents meets in no task.
+names from 2**62 on, and all sets of one doc_id are linked. Copies of one set are one node, so only near copies share a hub; where
+these hold a third of all documents, the hub's pairs are two numbers each and are split among tasks by the adaptive skew join.
 
 Defined cases: a document without words (null or empty text) has an empty set, links with nothing and is its own component;
 one with fewer words than a shingle has its whole sequence as one shingle; equal texts, and equal sets, link (similarity 1);
@@ -40,8 +40,6 @@ from inkstone.llm.words import U, chunks, grams, mix, stream
 COORDINATES, MATCHES = 64, 36
 #: Hub rounds, and the longest list whose members are compared directly afterwards.
 HUB_ROUNDS, SHORT_LIST = 1, 8
-#: Pairs of one document that meet in a task.
-HOT = 512
 #: Names of the further sets of a doc_id begin here.
 FURTHER = 1 << 62
 
@@ -103,24 +101,13 @@ def postings(reps: DataFrame) -> DataFrame:
     return held.select("doc", weight.alias("weight"), F.explode(F.slice("held", F.lit(1), F.size("held") - (MATCHES - 1))).alias("x")).select("x.token", "doc", "weight")
 
 
-def shared_out(pairs: DataFrame, values: DataFrame, key: str, other: str) -> DataFrame:
-    """pairs with the columns of values (one row for each key), without more than about HOT pairs of a key in a task. pairs are materialised."""
-    crowded = pairs.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > HOT).select(key, F.ceil(F.col("n") / HOT).alias("shares"))
-    shares = F.coalesce("shares", F.lit(1).cast("long"))
-    left = pairs.join(crowded, key, "left").withColumn("share", F.pmod(F.xxhash64(other), shares)).drop("shares")
-    right = values.join(crowded, key, "left").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1))).drop("shares")
-    return left.join(right, [key, "share"]).drop("share")
-
-
 def confirm(pairs: DataFrame, signed: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b, inter, total: exact sizes of pairs whose signatures agree in MATCHES places. signed: doc, signature; sets: doc, hashes."""
     agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     left = signed.select(F.col("doc").alias("a"), F.col("signature").alias("sa"))
     right = signed.select(F.col("doc").alias("b"), F.col("signature").alias("sb"))
-    pairs = cut(pairs)
-    near = cut(shared_out(shared_out(pairs, left, "a", "b"), right, "b", "a").where(agree >= MATCHES).select("a", "b"))
-    full = shared_out(near, sets.select(F.col("doc").alias("a"), F.col("hashes").alias("ha")), "a", "b")
-    full = shared_out(full, sets.select(F.col("doc").alias("b"), F.col("hashes").alias("hb")), "b", "a")
+    near = pairs.join(left, "a").join(right, "b").where(agree >= MATCHES).select("a", "b")
+    full = near.join(sets.select(F.col("doc").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("doc").alias("b"), F.col("hashes").alias("hb")), "b")
 
     def run(batches):
         for batch in batches:
@@ -161,19 +148,26 @@ def near_groups(docs: DataFrame, k: int = 5, least: tuple[int, int] = (80, 100))
     signed = cut(signatures(docs, k))
     key = ["set_a", "set_b", "n_shingles"]
     reps = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("owner"), F.min("signature").alias("signature"))
-    several = reps.groupBy("owner").agg(F.min(F.struct(*key)).alias("first"), F.count("*").alias("n")).where("n > 1").select("owner", "first")
-    further = F.lit(FURTHER).bitwiseOR(F.shiftrightunsigned(F.xxhash64(*key, "owner"), 2))
-    reps = cut(reps.join(several, "owner", "left").withColumn("doc", F.when(F.struct(*key) != F.col("first"), further).otherwise(F.col("owner"))).drop("first"))
-    # The sets that one doc_id holds are linked.
-    mixed = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*key)).alias("low"), F.max(F.struct(*key)).alias("high")).where("low <> high").select("doc_id")
-    mixed = cut(signed.join(mixed, "doc_id").select("doc_id", *key).distinct().join(reps, key).select("doc_id", "doc"))
-    same = mixed.join(mixed.groupBy("doc_id").agg(F.min("doc").alias("a")), "doc_id").select("a", F.col("doc").alias("b")).where("a <> b")
+    # doc_ids with several sets, as a rule none.
+    spans = [F.min(c) != F.max(c) for c in key]
+    mixed = cut(signed.where("doc_id is not null").groupBy("doc_id").agg((spans[0] | spans[1] | spans[2]).alias("several")).where("several").select("doc_id"))
+    some = mixed.limit(1).count() > 0
+    if some:
+        several = reps.groupBy("owner").agg(F.min(F.struct(*key)).alias("first"))
+        further = F.lit(FURTHER).bitwiseOR(F.shiftrightunsigned(F.xxhash64(*key, "owner"), 2))
+        reps = reps.join(several, "owner").withColumn("doc", F.when(F.struct(*key) != F.col("first"), further).otherwise(F.col("owner"))).drop("first")
+    else:
+        reps = reps.withColumn("doc", F.col("owner"))
+    reps = cut(reps)
     posts = cut(postings(reps))
     wanted = posts.select("doc").distinct()
     mine = cut(reps.join(wanted, "doc", "left_semi"))
     posts = cut(posts.join(mine.select("doc", "n_shingles"), "doc"))
     sets = cut(set_table(docs, mine.select("doc", "owner", "set_a", "set_b"), k))
     mine = mine.select("doc", "signature")
+    if some:  # the sets that one doc_id holds are linked
+        held = cut(signed.join(mixed, "doc_id").select("doc_id", *key).distinct().join(reps, key).select("doc_id", "doc"))
+        same = held.join(held.groupBy("doc_id").agg(F.min("doc").alias("a")), "doc_id").select("a", F.col("doc").alias("b")).where("a <> b")
     spark = docs.sparkSession
     tested = spark.createDataFrame([], "a long, b long, inter long, total long")
     labels = spark.createDataFrame([], "node long, component long")
@@ -191,11 +185,14 @@ def near_groups(docs: DataFrame, k: int = 5, least: tuple[int, int] = (80, 100))
         pairs = pairs.distinct().join(tested, ["a", "b"], "left_anti")
         found = cut(confirm(pairs, mine, sets))
         tested = found if turn == 0 else tested.unionByName(found)
-        labels = components(tested.where(linked).select("a", "b").unionByName(same))
+        links = tested.where(linked).select("a", "b")
+        labels = components(links.unionByName(same) if some else links)
     by_set = reps.join(labels, reps.doc == labels.node, "left").select("doc", *key, F.coalesce("component", "doc").alias("component_id"))
-    by_doc = mixed.join(by_set, "doc").groupBy("doc_id").agg(F.min("component_id").alias("of_doc"))
-    found = signed.join(by_set, key, "left").join(by_doc, "doc_id", "left")
-    return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("of_doc", "component_id", "doc_id")).alias("component_id"))
+    found = signed.join(by_set, key, "left")
+    if some:
+        of_doc = held.join(by_set, "doc").groupBy("doc_id").agg(F.min("component_id").alias("of_doc"))
+        found = found.join(of_doc, "doc_id", "left").withColumn("component_id", F.coalesce("of_doc", "component_id"))
+    return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def difference_pairs(members: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:

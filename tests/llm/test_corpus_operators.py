@@ -323,7 +323,6 @@ def test_pipeline_stages_equal_brute_force(spark):
 def test_long_lists_lose_no_link(spark, monkeypatch):
     """Groups of edited copies of copies, with most lists over the limit of direct comparison."""
     monkeypatch.setattr(minhash, "SHORT_LIST", 3)
-    monkeypatch.setattr(minhash, "HOT", 4)
     rng = random.Random(4)
     pool = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
     rows = []
