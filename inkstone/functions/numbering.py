@@ -124,6 +124,15 @@ def outline_format(level: Column, n: Column) -> Column:
     return F.when(level == 2, text(h, ".")).when(level == 3, text(d, ")")).when(level == 4, text(h, ")")).when(level == 5, text("(", d, ")")).when(level == 6, text("(", h, ")")).when(level == 7, circled_outline(n)).otherwise(text(d, "."))
 
 
+def narrow_kind(kind: Column) -> Column:
+    """The eight types of list numbers of the nineteen that automatic numbers know; any other is arabic."""
+    names = {1: "circled", 2: "roman_upper", 3: "roman_lower", 4: "alpha_upper", 5: "alpha_lower", 8: "hangul", 10: "hangul_cycle"}
+    out = F.when(kind == 1, F.lit(names[1]))
+    for code, name in names.items():
+        out = out.when(kind == code, F.lit(name))
+    return out.otherwise(F.lit("arabic"))
+
+
 def list_format(kind: Column, n: Column) -> Column:
     """The eight number types of lists, by name."""
     return (

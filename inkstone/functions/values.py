@@ -106,9 +106,9 @@ def page_size(width: Column, height: Column, landscape: Column) -> Column:
     return F.struct(F.when(landscape, height).otherwise(width).alias("width"), F.when(landscape, width).otherwise(height).alias("height"))
 
 
-def content_box(size: Column, left: Column, right: Column, top: Column, bottom: Column, header: Column, footer: Column) -> Column:
-    """left, top, width and height of what the margins leave: headers and footers are inside the top and bottom margins' sums."""
-    return F.struct(left.alias("left"), (top + header).alias("top"), (size["width"] - left - right).alias("width"), (size["height"] - top - bottom - header - footer).alias("height"))
+def content_box(size: Column, left: Column, right: Column, top: Column, bottom: Column, header: Column, footer: Column, gutter: Column) -> Column:
+    """left, top, width and height of what margins, header, footer and gutter leave of a page."""
+    return F.struct((left + gutter).alias("left"), (top + header).alias("top"), (size["width"] - left - right - gutter).alias("width"), (size["height"] - top - bottom - header - footer).alias("height"))
 
 
 def key_stream(seed: Column, n: int = 256) -> Column:

@@ -9,7 +9,11 @@ END, FREE = 0xFFFFFFFE, 0xFFFFFFFF
 
 
 class DecodeError(ValueError):
-    """A file that can't be decoded; the message says why."""
+    """A file that can't be decoded; the message says why, and the kind in one word."""
+
+    def __init__(self, message: str, kind: str = "format"):
+        super().__init__(message)
+        self.kind = kind
 
 
 class Compound:
@@ -17,10 +21,10 @@ class Compound:
 
     def __init__(self, data: bytes):
         if len(data) < 512 or data[:8] != SIGNATURE:
-            raise DecodeError("not a compound file")
+            raise DecodeError("not a compound file", "signature")
         shift, mini_shift = struct.unpack_from("<HH", data, 30)
         if shift not in (9, 12) or mini_shift > shift:
-            raise DecodeError("unknown sector size")
+            raise DecodeError("unknown sector size", "container")
         self.data, self.size, self.mini = data, 1 << shift, 1 << mini_shift
         _, first_dir, _, self.cutoff, first_mini_fat, _, first_difat, n_difat = struct.unpack_from("<IIIIIIII", data, 44)
         fat_sectors = [s for s in struct.unpack_from("<109I", data, 76) if s < END]
@@ -44,14 +48,14 @@ class Compound:
         at = (n + 1) * self.size
         part = self.data[at : at + self.size]
         if not part:
-            raise DecodeError("sector outside the file")
+            raise DecodeError("sector outside the file", "cut_off")
         return part.ljust(self.size, b"\0")
 
     def chain(self, n: int) -> bytes:
         out, seen = [], set()
         while n < END:
             if n in seen or n >= len(self.fat):
-                raise DecodeError("broken sector chain")
+                raise DecodeError("broken sector chain", "container")
             seen.add(n)
             out.append(self.sector(n))
             n = self.fat[n]
@@ -82,8 +86,16 @@ class Compound:
             elif kind == 1:
                 todo.append((child, f"{prefix}{name}/"))
 
+    def find(self, path: str) -> int | None:
+        """The entry of a stream: by its path, also below the root's name; else by its name among the entries that no folder links, as broken writers leave them."""
+        for known in (path, path.removeprefix("Root Entry/"), f"Root Entry/{path}"):
+            if known in self.paths:
+                return self.paths[known]
+        linked, name = set(self.paths.values()), path.split("/")[-1]
+        return next((n for n, e in enumerate(self.entries) if e[1] == 2 and e[0] == name and n not in linked), None)
+
     def read(self, path: str) -> bytes | None:
-        if (n := self.paths.get(path)) is None:
+        if (n := self.find(path)) is None:
             return None
         start, size = self.entries[n][5:7]
         if size >= self.cutoff:
@@ -91,7 +103,7 @@ class Compound:
         out, seen = [], set()
         while start < END and len(out) * self.mini < size:
             if start in seen or start >= len(self.mini_fat):
-                raise DecodeError("broken small-sector chain")
+                raise DecodeError("broken small-sector chain", "container")
             seen.add(start)
             out.append(self.mini_data[start * self.mini : (start + 1) * self.mini])
             start = self.mini_fat[start]

@@ -12,6 +12,7 @@ from xml.etree import ElementTree
 from inkstone.functions.values import BORDER_MM
 from inkstone.sources.compound import DecodeError
 from inkstone.sources.elements import ENUMS, local, names_of, typed
+from inkstone.sources.records import BODY_TABLES
 
 
 def number(e: ElementTree.Element, name: str, default: int = 0) -> int:
@@ -26,7 +27,7 @@ class Package:
         try:
             self.zip = zipfile.ZipFile(io.BytesIO(data))
         except (zipfile.BadZipFile, ValueError) as e:
-            raise DecodeError(f"not a package: {e}") from e
+            raise DecodeError(f"not a package: {e}", "container") from e
         self.names = set(self.zip.namelist())
 
     def part(self, name: str) -> bytes | None:
@@ -35,18 +36,18 @@ class Package:
         try:
             return self.zip.read(name)
         except (zipfile.BadZipFile, RuntimeError, NotImplementedError, zlib.error) as e:
-            raise DecodeError(f"part {name} is broken: {e}") from e
+            raise DecodeError(f"part {name} is broken: {e}", "compression") from e
 
     def xml(self, name: str) -> ElementTree.Element | None:
         raw = self.part(name)
         if raw is None:
             return None
         if b"<!DOCTYPE" in raw or b"<!ENTITY" in raw:
-            raise DecodeError(f"part {name} declares entities")
+            raise DecodeError(f"part {name} declares entities", "entities")
         try:
             return ElementTree.fromstring(raw)
         except ElementTree.ParseError as e:
-            raise DecodeError(f"part {name} isn't well-formed: {e}") from e
+            raise DecodeError(f"part {name} isn't well-formed: {e}", "xml") from e
 
     def root(self) -> str:
         """The manifest's name."""
@@ -154,12 +155,41 @@ def head(root: ElementTree.Element | None) -> dict[str, list[dict]]:
 
 
 MARKS = {"tab": "\t", "lineBreak": "\n", "hyphen": "-", "nbSpace": " ", "fwSpace": " "}
-CONTROLS = {"footNote": "fn  ", "endNote": "en  ", "header": "head", "footer": "foot", "tbl": "tbl ", "pic": "gso ", "rect": "gso ", "fieldBegin": "%hlk", "autoNum": "atno", "secPr": "secd", "colPr": "cold", "equation": "eqed"}
+# The binary format's letters for controls and drawn objects.
+CONTROLS = {
+    "footNote": "fn  ", "endNote": "en  ", "header": "head", "footer": "foot", "tbl": "tbl ", "fieldBegin": "%", "fieldEnd": "%end", "autoNum": "atno", "newNum": "nwno", "secPr": "secd", "colPr": "cold", "equation": "eqed", "bookmark": "bokm",
+    "dutmal": "tdut", "compose": "tcps", "pageHiding": "pghd", "pageNum": "pgnp", "hiddenComment": "tcmt", **dict.fromkeys(("pic", "rect", "line", "ellipse", "arc", "polygon", "curve", "container", "ole", "connectLine", "textart", "video"), "gso "),
+}
+NUMBER_KINDS = {"PAGE": "page", "FOOTNOTE": "footnote", "ENDNOTE": "endnote", "PICTURE": "image", "TABLE": "table", "EQUATION": "equation", "TOTAL_PAGE": "total_page"}
+RESTARTS = {"CONTINUOUS": "continue", "ON_SECTION": "section", "ON_PAGE": "page"}
+
+
+def control_row(path: str, e: ElementTree.Element) -> dict:
+    """A control with what links, numbers and notes need of it, like those of the binary format."""
+    name, f = local(e.tag), typed(e) or {}
+    out: dict = {"path": path, "kind": CONTROLS[name], "fields": json.dumps(f, ensure_ascii=False)}
+    if name == "fieldBegin":
+        given = {k.get("name"): "".join(k.itertext()).strip() for k in e.iter() if local(k.tag) in ("stringParam", "integerParam")}
+        out["kind"] = "%hlk" if f["type"] == "HYPERLINK" else "%" + f["type"].lower()
+        out["target"] = given.get("Command") or f.get("name")
+    elif name in ("autoNum", "newNum"):
+        out |= {"number": f["num"], "number_kind": NUMBER_KINDS[f["numType"]], "number_shape": NUMBER_CODES.index(f.get("autoNumFormat.type", "DIGIT"))}
+    elif name in ("footNote", "endNote"):
+        out |= {"number": f.get("number"), "number_kind": name.lower()}
+    elif name in ("header", "footer"):
+        out["target"] = f["applyPageType"].lower()
+    elif name in ("pic", "ole"):
+        out["target"] = f.get("img.binaryItemIDRef") or f.get("binaryItemIDRef")
+    elif name == "equation":
+        out["target"] = f.get("script")
+    elif name == "bookmark":
+        out["target"] = f.get("name")
+    return out
 
 
 def body(root: ElementTree.Element, section: int) -> dict[str, list[dict]]:
     """Rows of a section part."""
-    out: dict[str, list[dict]] = {k: [] for k in ("paragraphs", "runs", "line_segments", "cells", "controls", "pages")}
+    out: dict[str, list[dict]] = {k: [] for k in BODY_TABLES}
 
     def paragraphs(parent: ElementTree.Element, container: str) -> None:
         k = 0
@@ -170,40 +200,65 @@ def body(root: ElementTree.Element, section: int) -> dict[str, list[dict]]:
                 paragraph(p, f"{container}.{k:06d}", container)
                 k += 1
 
+    def section_rows(e: ElementTree.Element) -> None:
+        for x in e.iter():
+            name = local(x.tag)
+            if name == "pagePr":
+                margin = next((m for m in x if local(m.tag) == "margin"), x)
+                out["pages"].append({"section": section, "width": number(x, "width", 59528), "height": number(x, "height", 84188), **{k: number(margin, k) for k in ("left", "right", "top", "bottom", "header", "footer", "gutter")}, "landscape": x.get("landscape") == "LANDSCAPE"})
+            elif name in ("footNotePr", "endNotePr"):
+                f = typed(x)
+                out["note_shapes"].append({"section": section, "ord": len(out["note_shapes"]), "kind": name[:-2].lower(), "restart": RESTARTS[f.get("numbering.type", "CONTINUOUS")], "start": f.get("numbering.newNum", 1), "shape": NUMBER_CODES.index(f.get("autoNumFormat.type", "DIGIT"))})
+
+    def table_rows(e: ElementTree.Element, own: str) -> None:
+        f = typed(e)
+        out["tables"].append({"path": own, "rows": f["rowCnt"], "cols": f["colCnt"], "border_fill": f["borderFillIDRef"]})
+        zones = (z for x in e.iter() if local(x.tag) == "cellzoneList" for z in x) if any(local(x.tag) == "cellzoneList" for x in e) else (x for x in e if local(x.tag) == "cellzone")
+        out["zones"] += [{"path": own, "ord": n, "left": number(z, "startColAddr"), "top": number(z, "startRowAddr"), "right": number(z, "endColAddr"), "bottom": number(z, "endRowAddr"), "fill": number(z, "borderFillIDRef")} for n, z in enumerate(zones)]
+        for cell in (c for tr in e if local(tr.tag) == "tr" for c in tr if local(c.tag) == "tc"):
+            c = typed(cell)
+            row, col = c.get("cellAddr.rowAddr", 0), c.get("cellAddr.colAddr", 0)
+            held = f"{own}.r{row:03d}.k{col:03d}"
+            out["cells"].append({"path": held, "table": own, "row": row, "col": col, "row_span": c.get("cellSpan.rowSpan", 1), "col_span": c.get("cellSpan.colSpan", 1), "width": c.get("cellSz.width", 0), "height": c.get("cellSz.height", 0), "border_fill": c["borderFillIDRef"]})
+            paragraphs(cell, held)
+
     def paragraph(p: ElementTree.Element, path: str, container: str) -> None:
         out["paragraphs"].append({"path": path, "section": section, "container": container, "para_shape": number(p, "paraPrIDRef"), "style": number(p, "styleIDRef"), "page_break": p.get("pageBreak") == "1", "column_break": p.get("columnBreak") == "1"})
         order = [0, 0]
 
-        def emit(kind: str, text: str, shape: int) -> None:
+        def emit(kind: str, text: str, shape: int, control: str | None = None) -> None:
             if text or kind != "text":
-                out["runs"].append({"path": path, "ord": order[0], "kind": kind, "text": text, "char_shape": shape})
+                out["runs"].append({"path": path, "ord": order[0], "kind": kind, "text": text, "char_shape": shape, "control": control})
                 order[0] += 1
 
         def control(e: ElementTree.Element, shape: int) -> None:
-            kind = CONTROLS.get(local(e.tag))
-            if kind is None:
+            name = local(e.tag)
+            if name not in CONTROLS:
                 for inner in e:
                     control(inner, shape)
                 return
             own = f"{path}.c{order[1]:03d}"
             order[1] += 1
-            out["controls"].append({"path": own, "kind": kind})
-            emit(f"control:{local(e.tag)}", kind, shape)
-            if kind == "secd":
-                for page in (x for x in e.iter() if local(x.tag) == "pagePr"):
-                    margin = next((x for x in page if local(x.tag) == "margin"), page)
-                    out["pages"].append({"section": section, "width": number(page, "width", 59528), "height": number(page, "height", 84188), **{k: number(margin, k) for k in ("left", "right", "top", "bottom", "header", "footer", "gutter")}, "landscape": page.get("landscape") == "LANDSCAPE"})
-            elif kind == "tbl ":
-                for cell in (c for tr in e if local(tr.tag) == "tr" for c in tr if local(c.tag) == "tc"):
-                    at = {local(x.tag): x for x in cell}
-                    addr, span, size = (at.get(n, cell) for n in ("cellAddr", "cellSpan", "cellSz"))
-                    row, col = number(addr, "rowAddr"), number(addr, "colAddr")
-                    held = f"{own}.r{row:03d}.k{col:03d}"
-                    out["cells"].append({"path": held, "table": own, "row": row, "col": col, "row_span": number(span, "rowSpan", 1), "col_span": number(span, "colSpan", 1), "width": number(size, "width"), "height": number(size, "height"), "border_fill": number(cell, "borderFillIDRef")})
-                    paragraphs(cell, held)
-            else:
-                for k, sub in enumerate(x for x in e.iter() if local(x.tag) == "subList"):
-                    paragraphs(sub, f"{own}.l{k:03d}")
+            row = control_row(own, e)
+            out["controls"].append(row)
+            emit(f"control:{name}", row["kind"], shape, own)
+            if name == "secPr":
+                section_rows(e)
+                return
+            lists = [x for x in e if local(x.tag) == "caption"]
+            if name == "tbl":
+                table_rows(e, own)
+            for k, held in enumerate(lists):
+                f = typed(held)
+                out["captions"].append({"path": f"{own}.l{k:03d}", "control": own, "side": f["side"].lower(), "width": f["width"], "gap": f["gap"]})
+                paragraphs(held, f"{own}.l{k:03d}")
+            if name == "container":
+                for inner in e:
+                    control(inner, shape)
+            elif name != "tbl":
+                inner_lists = [x for c in e if local(c.tag) not in ("caption",) for x in ([c] if local(c.tag) == "subList" else [y for y in c if local(y.tag) == "subList"])]
+                for k, sub in enumerate(inner_lists):
+                    paragraphs(sub, f"{own}.l{k + len(lists):03d}")
 
         for run in p:
             name = local(run.tag)
@@ -215,8 +270,9 @@ def body(root: ElementTree.Element, section: int) -> dict[str, list[dict]]:
                     else:
                         control(e, shape)
             elif name == "linesegarray":
-                for k, s in enumerate(run):
-                    out["line_segments"].append({"path": path, "segment": k, "start": number(s, "textpos"), "top": number(s, "vertpos"), "height": number(s, "vertsize"), "flags": number(s, "flags")})
+                for k, x in enumerate(run):
+                    f = typed(x) or {}
+                    out["line_segments"].append({"path": path, "segment": k, **{name: f.get(of, 0) for name, of in (("start", "textpos"), ("top", "vertpos"), ("height", "vertsize"), ("gap", "spacing"), ("left", "horzpos"), ("width", "horzsize"), ("flags", "flags"))}})
 
     paragraphs(root, f"{section:04d}")
     return out

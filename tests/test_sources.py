@@ -4,7 +4,7 @@ import struct
 
 import pytest
 
-from inkstone.operators import layout, render, views
+from inkstone.operators import layout, render, renderers, tables as grid, views
 from inkstone.sources import documents, layouts, protected, records
 from inkstone.sources.compound import Compound, DecodeError
 from tests import containers as C
@@ -68,15 +68,15 @@ def test_tables_of_both_formats(spark, files):
 def test_markdown(files):
     text = {r.file: r.text for r in render.document_text(tables(files)).collect()}
     assert text["a.hwp"] == text["b.hwp"] == "# 1. First\n\n## 가. Under\n\nplain **bold**\n\nafter\n\n| a | b |\n| --- | --- |\n| c |  |\n\n# 2. Second"
-    assert text["c.hwpx"].startswith("# 1. Head\ter\n\n**strong**\n\n| x |") and "# 2. Tenth" in text["c.hwpx"] and text["c.hwpx"].endswith("[^1]: note\n\n[^2]: note")
+    assert text["c.hwpx"].startswith("# 1. Head\ter\n\n**strong**[^1]\n\n| x |") and "---\n\n# 2. Tenth" in text["c.hwpx"] and "# 2. Tenth" in text["c.hwpx"] and text["c.hwpx"].endswith("[^1]: note\n\n[^2]: note")
 
 
 def test_html_and_json(files):
     t = tables(files)
     text = {r.file: r.text for r in render.document_text(t, html=True).collect()}
-    assert "<h1>1. First</h1>" in text["a.hwp"] and "<strong>bold</strong>" in text["a.hwp"] and "<table><tr><td>" in text["a.hwp"]
+    assert '<h1 class="outline-1"><span class="outline-number">1.</span> <span class="cs-0">First</span></h1>' in text["a.hwp"] and "<strong>bold</strong>" in text["a.hwp"] and '<table class="table"><tr><td' in text["a.hwp"]
     assert 'colspan="2"' in text["c.hwpx"]
-    assert render.document_json(t).where("file = 'a.hwp'").first().json.count('"path"') == 8
+    assert render.document_json(t).where("file = 'a.hwp'").first().json.count('"path"') == 12
 
 
 def test_protected_body(spark):
@@ -143,7 +143,7 @@ def test_views(spark):
     assert [(x.kind, x.n, x.text) for x in views.automatic_numbers(r).orderBy("seq").collect()] == [("table", 1, "I"), ("table", 9, "IX"), ("image", 1, "1")]
     assert [x.url for x in views.links(r).collect()] == ["a:b"] and [x.script for x in views.equations(r).collect()] == ["x"]
     assert [(x.bin_id, x.mime) for x in views.pictures(r, b).collect()] == [("BIN0001", "image/png")]
-    assert views.page_geometry(documents.read_table(df, "pages")).first()[2:] == (200, 100, 70)
+    assert views.page_geometry(documents.read_table(df, "pages")).first()[2:] == (200, 100, 1, 10, 197, 70)
     assert views.missing_references(documents.read_table(df, "runs"), "char_shape", documents.read_table(df, "char_shapes")).count() == 0
 
 
@@ -169,7 +169,7 @@ def test_layout_pages(spark):
     df = spark.createDataFrame([("l.hwp", C.compound({"FileHeader": C.file_header(0), "DocInfo": INFO, "BodyText/Section0": body}))], "path string, content binary")
     t = {n: documents.read_table(df, n) for n in ("paragraphs", "runs", "line_segments", "pages")}
     html = [r.html for r in layout.layout_html(t).orderBy("page").collect()]
-    assert len(html) == 3 and html[0].count('class="line"') == 3 and ">abcd<" in html[0] and ">efgh<" in html[0]
+    assert len(html) == 3 and html[0].count('class="line ') == 3 and [r.split('<div class="number">')[1][0] for r in html] == ["1", "2", "3"] and ">abcd<" in html[0] and ">efgh<" in html[0]
     assert "top:25.40mm" in html[0] or "top:25.4mm" in html[0]
     assert ">over<" in html[1] and ">&lt;top<" in html[2]
 
@@ -223,3 +223,127 @@ def test_large_compound_files_round_trip():
     streams = {"FileHeader": b"h", "BinData/BIN0001.bin": bytes(range(256)) * 40_000, "BodyText/Section0": b"s" * 5000, "BodyText/Section10": b"", "a/b/c": b"deep"}
     c = Compound(compound_bytes(streams))
     assert {p: c.read(p) for p in c.paths} == streams
+
+
+RICH_HEAD = """<head><beginNum page="1" tbl="4"/><charPr id="0"/><charPr id="1"><italic/></charPr><paraPr id="0"/><paraPr id="1"><heading type="BULLET" idRef="0" level="0"/></paraPr>
+<paraPr id="2"><heading type="NUMBER" idRef="0" level="1"/></paraPr><bullet id="1" char="\uf0a7"/><numbering id="1"><paraHead level="1" numFormat="DIGIT">^1.</paraHead><paraHead level="2" numFormat="ROMAN_SMALL">(^2)</paraHead></numbering>
+<borderFill id="1"><leftBorder type="SOLID" width="0.4 mm" color="#FF0000"/><rightBorder type="NONE"/><topBorder type="DASH" width="0.12 mm"/><bottomBorder type="SOLID" width="1.0 mm"/><fillBrush><winBrush faceColor="#112233"/></fillBrush></borderFill></head>"""
+
+
+def t(text, shape=0):
+    return f'<run charPrIDRef="{shape}"><t>{text}</t></run>'
+
+
+def field(url, name=""):
+    return f'<run charPrIDRef="0"><ctrl><fieldBegin type="HYPERLINK" name="{name}"><parameters><stringParam name="Command">{url}|;1;0;</stringParam></parameters></fieldBegin></ctrl></run>'
+
+
+END = '<run charPrIDRef="0"><ctrl><fieldEnd/></ctrl></run>'
+NUM = '<run charPrIDRef="0"><ctrl><autoNum num="9" numType="TABLE"><autoNumFormat type="ROMAN_CAPITAL"/></autoNum></ctrl></run>'
+NOTE = '<run charPrIDRef="0"><ctrl><footNote><subList><p paraPrIDRef="0"><run charPrIDRef="0"><ctrl><autoNum numType="FOOTNOTE"/></ctrl></run>' + t(" inner") + "</p></subList></footNote></ctrl></run>"
+CELL = '<tc borderFillIDRef="1"><subList><p paraPrIDRef="0">' + t("x") + '</p></subList><cellAddr colAddr="0" rowAddr="0"/><cellSpan colSpan="1" rowSpan="1"/><cellSz width="7200" height="720"/></tc>'
+TABLE = f'<run charPrIDRef="0"><tbl rowCnt="1" colCnt="1" borderFillIDRef="1"><caption side="TOP" width="5"><subList><p paraPrIDRef="0">{t("Tab ")}{NUM}{t(" of things")}</p></subList></caption><tr>{CELL}</tr></tbl></run>'
+BOX = '<run charPrIDRef="0"><rect><drawText><subList><p paraPrIDRef="0">' + t("x") + "</p></subList></drawText></rect></run>"
+PICTURE = '<run charPrIDRef="0"><pic><img binaryItemIDRef="image1"/></pic></run>'
+
+
+def rich_section(body):
+    notes = '<run charPrIDRef="0"><secPr><pagePr width="59528" height="84188"><margin left="8504"/></pagePr><footNotePr><numbering type="ON_SECTION" newNum="1"/></footNotePr></secPr></run>'
+    return f'<sec><p paraPrIDRef="0">{notes}</p>{body}</sec>'
+
+
+@pytest.fixture(scope="module")
+def rich(spark):
+    p = lambda inner, shape=0, more="": f'<p paraPrIDRef="{shape}"{more}>{inner}</p>'
+    one = p(t("see ") + field("http://a.b") + t("the ") + t("place", 1) + END + t(" or") + field("http://c.d") + t("x") + END + " ") + p(field("http://open.e")) + p(t("item"), 1) + p(t("deep"), 2) + p(t("deeper"), 2) + p(NOTE + t("noted"))
+    two = p(t("T") + TABLE + BOX) + p(PICTURE, 0, ' pageBreak="1"') + p(NOTE + t("again"))
+    file = C.package([rich_section(one), rich_section(two)], RICH_HEAD, {"BinData/image1.png": b"\x89PNG"})
+    df = spark.createDataFrame([("rich", file)], "path string, content binary")
+    return documents.read_tables(df, (*render.TEXT_TABLES, *render.MORE_TABLES, "binaries", "fonts"))
+
+
+def test_links_pictures_numbers_captions_and_rules_in_markdown(rich):
+    got = render.document_text(rich).first().text.split("\n\n")
+    assert got == [
+        "see [the *place*](http://a.b) orx", "[http://open.e](http://open.e)", "- item", "  (i) deep", "  (ii) deeper", "[^1]noted", "---", "T", "Tab IV of things", "| x |\n| --- |", "---", "![이미지](image1.png)", "[^2]again",
+        "[^1]: 1 inner", "[^2]: 1 inner",
+    ]
+
+
+def test_html_classes_styles_and_options(rich):
+    o = renderers.Options(css_prefix="z-", embed_images=True, include_version=True, include_page_info=True)
+    got = render.document_text(rich, html=True, options=o).first().text
+    for part in ('<a href="http://a.b"><span class="z-cs-0">the </span><span class="z-cs-1"><em>place</em></span></a>', "<p>■ <span", 'src="data:image/png;base64,iVBORw=="', '<td style="border-left:0.4mm solid #FF0000;border-right:none;border-top:0.12mm dashed #000000;border-bottom:1.0mm solid #000000;background-color:#112233;width:72.0pt">',
+                 '<div class="z-caption">', "<p>버전: 5.1.0.1</p>", "용지 크기: 210.00mm x 297", 'id="fn-1"', "<hr>"):
+        assert part in got or part.replace("210.00mm", "210mm") in got, part
+    assert render.document_text(rich, options=renderers.Options(image_folder="out/img", html_folder="out")).first().text.count("(img/image1.png)") == 1
+    css = render.document_css(rich, "z-").first().css
+    assert ".z-cs-1 { font-size: 10.0pt; font-style: italic }" in css and ".z-ps-0 { text-align: justify }" in css
+
+
+def test_renderers_can_be_added(rich):
+    class Loud(renderers.Markdown):
+        name = "loud"
+
+        def italic(self, t):
+            return renderers.lit("<<", t, ">>")
+
+    renderers.register("loud", Loud)
+    assert "<<place>>" in render.document_text(rich, name="loud").first().text and "the place" in render.document_text(rich, name="text").first().text
+    methods = [m for m in dir(renderers.Renderer) if not m.startswith("_")]
+    assert len(methods) >= 19
+
+
+def test_views_of_captions_borders_and_files(spark, rich, tmp_path):
+    assert tuple(views.caption_texts(rich).first()) == ("rich", "0001.000001.c000", "top", "Tab", "IV", "of things")
+    assert {(r.kind, r.row, r.col, r.line, r.width) for r in views.table_borders(rich).collect()} == {("v", 0, 0, 1, 6), ("h", 0, 0, 3, 1), ("h", 1, 0, 1, 10)}
+    assert views.table_svg(rich).first().svg.count("<path") == 3 and 'd="M0.00,0.00V2.54"' in views.table_svg(rich).first().svg
+    written = render.write_files(render.image_files(rich["binaries"]), str(tmp_path / "pictures")).collect()
+    assert len(written) == 1 and open(written[0].path, "rb").read() == b"\x89PNG"
+    assert render.header_json(rich["headers"]).first().json == '{"version":"5.1.0.1","format":"package","document_flags":[],"license_flags":[]}'
+    assert render.document_json(rich, pretty=True).first().json.count("\n") > 50
+    numbered = views.automatic_in_text(rich["controls"], rich["settings"], rich["note_shapes"]).orderBy("path").collect()
+    assert [(r.number_kind, r.n, r.shown) for r in numbered] == [("footnote", 1, "1"), ("table", 4, "IV"), ("footnote", 1, "1")]
+
+
+def test_tables_are_decoded_once(spark, files):
+    """All tables of a document's text come from one written table: the plan reads it, and no file."""
+    several = documents.read_tables(files, render.TEXT_TABLES)
+    text = render.document_text(several)
+    plan = text._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "FileScan parquet" in plan
+    assert {r.file: r.text for r in text.collect()} == {r.file: r.text for r in render.document_text({t: documents.read_table(files, t) for t in render.TEXT_TABLES}).collect()}
+
+
+def test_errors_have_kinds_and_one_file_never_fails_the_job(spark):
+    broken = C.compound({"FileHeader": C.file_header(), "DocInfo": b"not deflated", "BodyText/Section0": C.deflate(C.record(0x42, 0, b""))})
+    rows = [("a", broken), ("b", None), ("c", b"PK\x03\x04garbage"), ("d", C.compound({"FileHeader": C.file_header(2)}))]
+    df = spark.createDataFrame(rows, "path string, content binary")
+    got = {(r.file, r.part, r.kind) for r in documents.read_table(df, "errors").collect()}
+    assert {("a", "char_shapes", "compression"), ("b", "file", "signature"), ("c", "file", "container"), ("d", "char_shapes", "encrypted")} <= got
+    assert documents.read_tables(df, ("paragraphs", "headers"))["headers"].count() == 2
+
+
+def test_scripts_and_templates(spark):
+    text = lambda s: struct.pack("<I", len(s)) + s.encode("utf-16-le")
+    file = C.compound({"FileHeader": C.file_header(32), "Scripts/JScriptVersion": struct.pack("<II", 1, 2), "Scripts/DefaultJScript": text("var x;") + text("f()") + text("") + text("done") + b"\xff" * 4, "XMLTemplate/_SchemaName": text("n"), "XMLTemplate/Schema": text("<s/>")})
+    df = spark.createDataFrame([("s", file)], "path string, content binary")
+    assert tuple(documents.read_table(df, "scripts").first())[1:] == (1, 2, "var x;", "f()", None, "done")
+    assert tuple(documents.read_table(df, "templates").first())[1:] == ("n", "<s/>", None)
+
+
+def test_a_fold_of_one_long_group_is_linear(spark):
+    from inkstone.operators import sequences
+
+    long = spark.range(300_000).selectExpr("1 as k", "id as pos", "id % 7 as h")
+    got = sequences.page_breaks(long, ["k"], "pos", "h", 20)
+    assert got.agg({"page": "max"}).first()[0] > 30_000 and got.count() == 300_000
+
+
+def test_column_assignment_and_neighbour_borders(spark):
+    blocks = spark.createDataFrame([(1, k, *b) for k, b in enumerate([(0, 10), (10, 20), (0, 15), (15, 18), (5, 9)])], "k long, pos long, top long, bottom long")
+    got = layout.assign_columns(blocks, ["k"], "pos", 2).orderBy("pos").collect()
+    assert [(r.page, r.column) for r in got] == [(1, 0), (1, 0), (1, 1), (1, 1), (2, 0)]
+    b = lambda line, width: (line, width, 0)
+    cells = spark.createDataFrame([(1, 0, 0, 1, 1, b(1, 1), b(1, 5), b(0, 0), b(1, 1), None), (1, 0, 1, 1, 1, b(1, 3), b(0, 9), b(1, 2), b(0, 0), None)], "t int, row int, col int, row_span int, col_span int, left struct<line int, width int, colour int>, right struct<line int, width int, colour int>, top struct<line int, width int, colour int>, bottom struct<line int, width int, colour int>, table struct<left struct<line int, width int, colour int>, right struct<line int, width int, colour int>, top struct<line int, width int, colour int>, bottom struct<line int, width int, colour int>>")
+    assert {(r.kind, r.row, r.col, r.width) for r in grid.grid_borders(cells, ["t"]).collect()} == {("v", 0, 0, 1), ("v", 0, 1, 5), ("h", 0, 1, 2), ("h", 1, 0, 1)}
