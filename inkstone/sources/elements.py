@@ -161,7 +161,7 @@ def read_fields(e: ElementTree.Element, spec: str) -> dict:
         if at is not None:
             found = value_of(kind, at.get(attribute) if attribute else "".join(at.itertext()).strip(), default)
             if found is not None:
-                out[f"{child}.{attribute}".strip(".") or "text"] = found
+                out[(f"{child}.{attribute}" if child else attribute) or "text"] = found
     return out
 
 

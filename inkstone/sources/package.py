@@ -181,7 +181,7 @@ def control_row(path: str, e: ElementTree.Element) -> dict:
     elif name in ("pic", "ole"):
         out["target"] = f.get("img.binaryItemIDRef") or f.get("binaryItemIDRef")
     elif name == "equation":
-        out["target"] = f.get("script")
+        out["target"] = f.get("script.")
     elif name == "bookmark":
         out["target"] = f.get("name")
     return out
