@@ -50,7 +50,7 @@ def byte_alphabet() -> dict[str, int]:
 #: Stands for a pair that never merges; larger than any (rank, id).
 NO_MERGE = (1 << 62, 0)
 #: Characters of text that are split at a time, which bounds the memory of the pieces.
-SPLIT_CHARS = 1 << 22
+SPLIT_CHARS = 1 << 20
 
 
 def portions(texts: list[str], most: int = SPLIT_CHARS):
