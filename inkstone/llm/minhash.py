@@ -123,8 +123,10 @@ def confirm(pairs: DataFrame, signed: DataFrame, sets: DataFrame) -> DataFrame:
     return map_batches(full.select("a", "b", "ha", "hb"), run, "a long, b long, inter long, total long")
 
 
-def set_table(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """doc, hashes (packed 64-bit shingle hashes, sorted) of the sets in wanted (doc, owner, set_a, set_b); owner: a doc_id with that set."""
+def set_table(docs: DataFrame, wanted: DataFrame, k: int, several: bool) -> DataFrame:
+    """doc, hashes (packed 64-bit shingle hashes, sorted) of the sets in wanted (doc, owner, set_a, set_b); owner: a doc_id with that set.
+
+    several: a doc_id may have several sets; else doc and owner are the same."""
 
     def run(batches):
         for batch in batches:
@@ -135,7 +137,8 @@ def set_table(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
     owners = wanted.select(F.col("owner").alias("doc_id")).distinct()
     found = map_batches(texts_of(docs).join(owners, "doc_id", "left_semi"), run, "owner long, set_a long, set_b long, hashes binary")
-    return found.join(wanted, ["owner", "set_a", "set_b"]).select("doc", "hashes").dropDuplicates(["doc"])
+    found = found.join(wanted, ["owner", "set_a", "set_b"]) if several else found.withColumnRenamed("owner", "doc")
+    return found.select("doc", "hashes").dropDuplicates(["doc"])
 
 
 def alike_sizes(a: str, b: str, least: tuple[int, int]) -> Column:
@@ -163,7 +166,7 @@ def near_groups(docs: DataFrame, k: int = 5, least: tuple[int, int] = (80, 100))
     wanted = posts.select("doc").distinct()
     mine = cut(reps.join(wanted, "doc", "left_semi"))
     posts = cut(posts.join(mine.select("doc", "n_shingles"), "doc"))
-    sets = cut(set_table(docs, mine.select("doc", "owner", "set_a", "set_b"), k))
+    sets = cut(set_table(docs, mine.select("doc", "owner", "set_a", "set_b"), k, some))
     mine = mine.select("doc", "signature")
     if some:  # the sets that one doc_id holds are linked
         held = cut(signed.join(mixed, "doc_id").select("doc_id", *key).distinct().join(reps, key).select("doc_id", "doc"))
