@@ -89,14 +89,17 @@ def paragraph_texts(tables: dict[str, DataFrame], r: Renderer) -> DataFrame:
     tables: runs, char_shapes, controls; bin_items (and binaries to embed) for pictures; settings and note_shapes for numbers, where given."""
     controls = tables["controls"]
     runs = styled_text(tables["runs"], tables["char_shapes"], r)
-    numbers = automatic_numbers(controls, tables.get("settings"), tables.get("note_shapes")).select("file", F.col("path").alias("control"), r.escape(F.col("shown")).alias("shown"))
+    link = F.when(F.col("kind") == "%hlk", F.coalesce(X.command_to_url(F.col("target")), "target"))
+    equation = F.when(F.col("kind") == "eqed", r.equation(F.col("target")))
+    shown = controls.where("kind in ('%hlk', 'eqed')").select("file", F.col("path").alias("control"), equation.alias("shown"), link.alias("url"))
+    more = [automatic_numbers(controls, tables.get("settings"), tables.get("note_shapes")).select("file", F.col("path").alias("control"), r.escape(F.col("shown")).alias("shown"))]
     label = F.when(F.col("kind") == "fn  ", r.footnote_ref(F.col("n"))).otherwise(r.endnote_ref(F.col("n")))
-    shown = numbers.unionByName(note_numbers(controls).select("file", F.col("path").alias("control"), label.alias("shown")))
-    shown = shown.unionByName(controls.where("target is not null and kind = 'eqed'").select("file", F.col("path").alias("control"), r.equation(F.col("target")).alias("shown")))
+    more.append(note_numbers(controls).select("file", F.col("path").alias("control"), label.alias("shown")))
     if "bin_items" in tables:
-        shown = shown.unionByName(pictures(controls, tables["bin_items"], tables.get("binaries") if r.options.embed_images else None, r))
-    links = controls.where("kind = '%hlk'").select("file", F.col("path").alias("control"), F.coalesce(X.command_to_url(F.col("target")), "target").alias("url"))
-    pieces = runs.join(shown, ["file", "control"], "left").join(links, ["file", "control"], "left")
+        more.append(pictures(controls, tables["bin_items"], tables.get("binaries") if r.options.embed_images else None, r))
+    for one in more:
+        shown = shown.unionByName(one.withColumn("url", F.lit(None).cast("string")))
+    pieces = runs.join(shown, ["file", "control"], "left")
     mark = F.when(F.col("kind").isin(*FIELD_ENDS), F.lit("end")).when(F.col("url").isNotNull(), F.lit("begin"))
     pieces = pieces.select("file", "path", "ord", mark.alias("mark"), "url", F.coalesce(F.when(F.col("kind") == "text", F.col("text")), "shown", F.lit("")).alias("text"))
     return linked(pieces, r).groupBy("file", "path").agg(ordered(["ord"], "text", "").alias("text"))

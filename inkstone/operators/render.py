@@ -41,13 +41,14 @@ def paragraph_lines(tables: dict[str, DataFrame], r: Renderer) -> DataFrame:
     if "styles" in tables:
         paras = paras.join(tables["styles"].select("file", F.col("id").alias("style"), F.col("name").alias("style_name")), ["file", "style"], "left")
     paras = paras.withColumn("level", extended_level(paras, tables.get("styles")))
-    place = F.row_number().over(Window.partitionBy("file").orderBy("path")).cast("long")
-    headed = outline_numbers(paras.withColumn("pos", place).where("heading in (1, 2)").withColumn("list", F.when(F.col("heading") == 2, F.col("numbering")).otherwise(F.lit(0))), ["file", "heading", "list"], "pos", "level")
+    # A paragraph without a number stands in a partition of its own kind and counts there without effect.
+    lists = paras.withColumn("list", F.when(F.col("heading") == 2, F.col("numbering")).otherwise(F.lit(0)))
+    headed = outline_numbers(lists, ["file", "heading", "list"], "path", "level")
     formats = tables["numberings"].select("file", F.col("id").alias("list"), "formats", "kinds")
     at = (F.col("level") - 1).cast("int")
     own = N.numbered(F.get("formats", at), F.col("level"), N.narrow_kind(F.get("kinds", at)), F.col("n"))
-    marks = headed.join(formats, ["file", "list"], "left").select("file", "path", F.when(F.col("level") > 7, F.lit("")).when(F.col("heading") == 1, N.outline_format(F.col("level"), F.col("n"))).otherwise(own).alias("mark"))
-    lined = paras.join(marks, ["file", "path"], "left")
+    mark = F.when(F.col("level") > 7, F.lit("")).when(F.col("heading") == 1, N.outline_format(F.col("level"), F.col("n"))).when(F.col("heading") == 2, own)
+    lined = headed.join(formats, ["file", "list"], "left").withColumn("mark", mark)
     if "bullets" in tables:
         lined = lined.join(tables["bullets"].select("file", F.col("id").alias("numbering"), F.col("mark").alias("bullet")), ["file", "numbering"], "left")
     else:
@@ -91,12 +92,15 @@ def table_texts(tables: dict[str, DataFrame], lines: DataFrame, r: Renderer) ->
     return r.table(cells.select("file", "table", "row", "col", "row_span", "col_span", "style", r.cell(F.col("text")).alias("text")), ["file", "table"])
 
 
-def repeated_boxes(placed: DataFrame, cells: DataFrame) -> DataFrame:
-    """placed without text boxes whose text a cell of the same paragraph's tables holds."""
-    boxes = placed.where("held_by = 'gso '")
-    texts = placed.join(cells.select("file", F.col("path").alias("container")), ["file", "container"], "left_semi").select("file", F.col("owner"), F.trim("plain").alias("known")).distinct()
-    doubled = boxes.join(texts, (boxes.file == texts.file) & (boxes.owner == texts.owner) & (F.trim(boxes.plain) == texts.known), "left_semi").select("file", "path")
-    return placed.join(doubled, ["file", "path"], "left_anti")
+def without_repeated_boxes(placed: DataFrame) -> DataFrame:
+    """placed without text boxes whose text a cell of the same paragraph's tables holds. Texts meet by their digest."""
+    same = Window.partitionBy("file", "owner", F.xxhash64(F.trim("plain")), F.sha2(F.trim("plain"), 256))
+    known = F.max(F.when(F.col("in_cell"), 1).otherwise(0)).over(same)
+    return placed.withColumn("known", known).where(~((F.coalesce(F.col("held_by"), F.lit("")) == "gso ") & (F.col("known") == 1) & ~F.col("in_cell"))).drop("known")
+
+
+#: Containers of cells, by the end of their path.
+CELL = "\\.r[0-9]{3,}\\.k[0-9]{3,}$"
 
 
 def document_lines(tables: dict[str, DataFrame], r: Renderer) -> DataFrame:
@@ -104,35 +108,30 @@ def document_lines(tables: dict[str, DataFrame], r: Renderer) -> DataFrame:
 
     Tables follow their paragraph, with captions above or below; paragraphs of cells are in their tables; notes are numbered; breaks of sections and pages are rules, never two in a row."""
     lines = paragraph_lines(tables, r)
-    controls = tables["controls"].select("file", F.col("path").alias("control"), F.col("kind").alias("held_by"))
+    numbers = note_numbers(tables["controls"]).select("file", F.col("path").alias("control"), "n")
+    controls = tables["controls"].select("file", F.col("path").alias("control"), F.col("kind").alias("held_by")).join(numbers, ["file", "control"], "left")
     owner = F.regexp_extract("container", "^(.*\\.c[0-9]+)\\.", 1)
     placed = lines.withColumn("control", owner).join(controls, ["file", "control"], "left").where(~F.coalesce(F.col("held_by").isin(*HIDDEN), F.lit(False)))
-    placed = repeated_boxes(placed.withColumn("owner", F.regexp_extract("control", "^(.*)\\.c[0-9]+$", 1)), tables["cells"])
+    placed = placed.withColumn("owner", F.regexp_extract("control", "^(.*)\\.c[0-9]+$", 1)).withColumn("in_cell", F.col("container").rlike(CELL))
     part = F.coalesce(*(F.when(F.col("held_by") == k, F.lit(v)) for k, v in PLACES.items()), F.lit(1))
-    cell_paths = tables["cells"].select("file", F.col("path").alias("container"))
-    own = placed.join(cell_paths, ["file", "container"], "left_anti").withColumn("part", part)
-    numbers = note_numbers(tables["controls"]).select("file", F.col("path").alias("control"), "n")
-    own = own.join(numbers, ["file", "control"], "left")
+    own = without_repeated_boxes(placed).where("not in_cell").withColumn("part", part)
     back = F.when(F.col("part") == 3, r.footnote_back(F.col("n"), F.col("line"))).when(F.col("part") == 4, r.endnote_back(F.col("n"), F.col("line"))).otherwise(F.col("line"))
     above = F.lit(False)
     if "captions" in tables:
         own = own.join(tables["captions"].select("file", F.col("path").alias("container"), "side"), ["file", "container"], "left")
         back = F.when(F.col("side").isNotNull(), r.caption(F.col("line"))).otherwise(back)
         above = F.coalesce(F.col("side") == "top", F.lit(False))
-    held = F.col("held_by") == "tbl "
-    at = F.when(held, F.col("owner")).otherwise(F.col("path"))
-    rows = own.where("line <> ''").select("file", "part", at.alias("path"), F.when(held, F.col("control")).otherwise(F.lit("")).alias("sub"), F.when(~held | F.isnull(held), F.lit(1)).when(above, F.lit(0)).otherwise(F.lit(2)).alias("place"), F.col("path").alias("inner"), back.alias("line"))
+    held = F.coalesce(F.col("held_by") == "tbl ", F.lit(False))
+    asked = F.coalesce(F.col("page_break"), F.lit(False)) & ~F.col("container").contains(".")
+    rows = own.select("file", "part", F.when(held, F.col("owner")).otherwise(F.col("path")).alias("path"), F.when(held, F.col("control")).otherwise(F.lit("")).alias("sub"), F.when(~held, F.lit(1)).when(above, F.lit(0)).otherwise(F.lit(2)).alias("place"), F.col("path").alias("inner"), back.alias("line"), F.col("line").alias("bare"), asked.alias("asked")).where("bare <> ''").drop("bare")
     texts = table_texts(tables, lines, r).select("file", F.regexp_extract("table", "^(.*)\\.c[0-9]+$", 1).alias("path"), "table", F.col("text").alias("line"))
-    in_cell = texts.withColumn("container", F.regexp_extract("path", "^(.*)\\.[0-9]+$", 1)).join(cell_paths, ["file", "container"], "left_anti")
-    rows = rows.unionByName(in_cell.select("file", F.lit(1).alias("part"), "path", F.col("table").alias("sub"), F.lit(1).alias("place"), F.lit("").alias("inner"), "line").where("line <> ''"))
-    # Rules stand before the first line of a section or of a paragraph that asks for a new page, where a line stands before.
-    first = Window.partitionBy("file").orderBy("path", "sub", "place", "inner")
-    body = rows.where("part = 1").join(tables["paragraphs"].where("page_break and not container like '%.%'").select("file", "path", F.lit(True).alias("asked")), ["file", "path"], "left")
-    section = F.substring_index("path", ".", 1)
-    fresh = body.withColumn("fresh", (section != F.lag(section).over(first)) | (F.coalesce("asked", F.lit(False)) & (F.col("sub") == "") & F.lag("path").over(first).isNotNull()))
-    previous = F.lag("line").over(first)
-    rules = fresh.withColumn("rule", F.col("fresh") & ~F.coalesce(previous.startswith("---"), F.lit(False))).where("rule").select("file", "part", "path", "sub", F.lit(-1).alias("place"), F.lit("").alias("inner"), F.lit(r.page_break()).alias("line"))
-    return rows.unionByName(rules)
+    in_cell = texts.where(~F.regexp_extract("path", "^(.*)\\.[0-9]+$", 1).rlike(CELL))
+    rows = rows.unionByName(in_cell.select("file", F.lit(1).alias("part"), "path", F.col("table").alias("sub"), F.lit(1).alias("place"), F.lit("").alias("inner"), "line", F.lit(False).alias("asked")).where("line <> ''"))
+    # A rule stands before the first line of a section and of a paragraph that asks for a new page, where a line that is no rule stands before.
+    order = Window.partitionBy("file", "part").orderBy("path", "sub", "place", "inner")
+    section, before = F.substring_index("path", ".", 1), F.lag("line").over(order)
+    fresh = (F.col("part") == 1) & before.isNotNull() & ~before.startswith(r.page_break()) & (F.col("asked") | (section != F.lag(section).over(order)))
+    return rows.withColumn("line", F.when(fresh, F.concat(F.lit(r.page_break() + r.block), F.col("line"))).otherwise(F.col("line"))).drop("asked")
 
 
 def document_text(tables: dict[str, DataFrame], html: bool = False, options: Options | None = None, name: str | None = None) -> DataFrame:
@@ -156,7 +155,7 @@ def document_css(tables: dict[str, DataFrame], prefix: str = "") -> DataFrame:
     faces = tables["fonts"].select("file", F.col("id").alias("font"), F.col("name").alias("face")).groupBy("file", "font").agg(F.min("face").alias("face")) if "fonts" in tables else None
     chars = chars.join(faces, ["file", "font"], "left") if faces is not None else chars.withColumn("face", F.lit(None).cast("string"))
     one = chars.withColumn("props", props).where("props <> ''").select("file", F.lit(1).alias("part"), "id", F.concat(F.lit(f".{p}cs-"), F.col("id").cast("string"), F.lit(" { "), F.col("props"), F.lit(" }")).alias("rule"))
-    align = F.element_at(F.array(*map(F.lit, ("justify", "left", "right", "center"))), F.when(F.col("align").between(0, 3), F.col("align") + 1).otherwise(F.lit(None)).cast("int"))
+    align = F.get(F.array(*map(F.lit, ("justify", "left", "right", "center"))), F.col("align").cast("int"))
     mm = lambda c: V.mm_text(V.unit_to_mm(F.col(c)))
     margins = [F.when(F.col(c) != 0, lit(f"{css}: ", mm(c))) for c, css in (("left", "margin-left"), ("right", "margin-right"), ("indent", "text-indent"), ("before", "margin-top"), ("after", "margin-bottom"))]
     rules = F.concat_ws("; ", F.when(align.isNotNull(), lit("text-align: ", align)), *margins)

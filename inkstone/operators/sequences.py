@@ -20,9 +20,11 @@ def outline_numbers(df: DataFrame, keys: list[str], pos: str, level: str, out: s
     Headings of one level between two shallower ones form a group, named by the place of the shallower one."""
     upto = Window.partitionBy(*keys).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     lv = F.col(level)
-    group: Column = F.lit(None).cast("long")
+    kind = dict(df.dtypes)[pos]
+    none = F.lit("" if kind == "string" else -1).cast(kind)
+    group: Column = F.lit(None).cast(kind)
     for k in range(1, OUTLINE_LEVELS + 1):
-        group = F.when(lv == k, F.coalesce(F.max(F.when(lv < k, F.col(pos))).over(upto), F.lit(-1))).otherwise(group)
+        group = F.when(lv == k, F.coalesce(F.max(F.when(lv < k, F.col(pos))).over(upto), none)).otherwise(group)
     grouped = df.withColumn("_group", group)
     return grouped.withColumn(out, F.when(lv <= OUTLINE_LEVELS, F.row_number().over(Window.partitionBy(*keys, level, "_group").orderBy(pos))).otherwise(F.lit(0)).cast("long")).drop("_group")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkstone.functions import text as X
 from inkstone.operators import pages as P
+from inkstone.operators import render
 from inkstone.operators import tables as T
 from inkstone.plans.relations import read
 from inkstone.plans.scalars import sql_outline
@@ -88,9 +89,11 @@ def json_export(spark, d):
 
 
 def css_rules(spark, d):
-    p = read(spark, d, "part").where("p_size <= 20")
-    rule = F.concat(F.lit(".cs"), F.col("p_partkey").cast("string"), F.lit("{font-size:"), F.col("p_size").cast("string"), F.lit("pt;}"))
-    return p.withColumn("rule", rule).groupBy("p_brand").agg(T.ordered(["p_partkey"], "rule", "\n").alias("css"))
+    """Style rules of each brand's parts, as character shapes and paragraph shapes."""
+    p = read(spark, d, "part").withColumn("file", F.col("p_brand"))
+    chars = p.select("file", F.col("p_partkey").alias("id"), (F.col("p_size") * 100).cast("long").alias("height"), (F.pmod("p_size", F.lit(2)) == 1).alias("bold"), (F.pmod("p_size", F.lit(3)) == 0).alias("italic"), F.col("p_partkey").alias("colour"), F.lit(None).cast("long").alias("shade"), F.lit(0).cast("long").alias("font"))
+    paras = p.select("file", F.col("p_partkey").alias("id"), F.pmod("p_partkey", F.lit(6)).alias("align"), (F.col("p_size") * 720).cast("long").alias("left"), *(F.lit(0).cast("long").alias(c) for c in ("right", "indent", "before", "after")))
+    return render.document_css({"char_shapes": chars, "para_shapes": paras}, "x-").withColumnRenamed("file", "p_brand")
 
 
 def image_names(spark, d):
@@ -124,6 +127,13 @@ l AS (SELECT page_id, pos, CASE WHEN regexp_matches(kind, '^h[1-7]$') THEN repea
 SELECT page_id, string_agg(line, chr(10) || chr(10) ORDER BY pos) AS markdown FROM l GROUP BY page_id"""
 
 
+CSS = """WITH r AS (SELECT p_brand, 1 AS part, p_partkey AS id, '.x-cs-' || p_partkey || ' { ' || concat_ws('; ', CASE WHEN p_size <> 0 THEN 'font-size: ' || printf('%.1f', CAST(p_size AS DOUBLE)) || 'pt' END, CASE WHEN p_size % 2 = 1 THEN 'font-weight: bold' END, CASE WHEN p_size % 3 = 0 THEN 'font-style: italic' END,
+  CASE WHEN p_partkey <> 0 THEN 'color: rgb(' || (p_partkey & 255) || ',' || ((p_partkey >> 8) & 255) || ',' || ((p_partkey >> 16) & 255) || ')' END) || ' }' AS rule FROM part
+UNION ALL SELECT p_brand, 2, p_partkey, '.x-ps-' || p_partkey || ' { ' || concat_ws('; ', 'text-align: ' || CASE p_partkey % 6 WHEN 0 THEN 'justify' WHEN 1 THEN 'left' WHEN 2 THEN 'right' WHEN 3 THEN 'center' END,
+  CASE WHEN p_size <> 0 THEN 'margin-left: ' || CASE WHEN mm = floor(mm) THEN CAST(CAST(mm AS BIGINT) AS VARCHAR) ELSE printf('%.2f', mm) END || 'mm' END) || ' }' FROM (SELECT *, round(p_size * 720 / 7200 * 25.4 * 100, 0) / 100 AS mm FROM part) WHERE p_size <> 0 OR p_partkey % 6 < 4)
+SELECT p_brand, '.x-table { border-collapse: collapse }' || chr(10) || string_agg(rule, chr(10) ORDER BY part, id) AS css FROM r WHERE NOT ends_with(rule, '{  }') GROUP BY 1"""
+
+
 def catalog() -> dict:
     links = "regexp_extract_all(html, '(?s)(<a [^>]*href=\"[^\"]*\"[^>]*>.*?</a>)', 1)"
     style = "SELECT l_orderkey, l_linenumber, l_partkey, {e} AS text FROM (SELECT *, {t} AS t, l_partkey % 2 = 1 AS b, (l_partkey // 2) % 2 = 1 AS i, (l_partkey // 4) % 2 = 1 AS s FROM lineitem)"
@@ -142,6 +152,6 @@ def catalog() -> dict:
         "char_style_html": (char_style_html, style.replace("{t}", "l_returnflag || '&amp;' || CAST(l_partkey AS VARCHAR)").replace("{e}", html)),
         "detect_format": (detect_format, "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'compound' WHEN 1 THEN 'package' ELSE 'unknown' END AS format FROM pages"),
         "json_export": (json_export, """SELECT n_regionkey AS r_regionkey, '[' || string_agg('{"id":' || CAST(n_nationkey AS VARCHAR) || ',"name":"' || n_name || '"}', ',' ORDER BY n_nationkey) || ']' AS json FROM nation GROUP BY 1"""),
-        "css_rules": (css_rules, "SELECT p_brand, string_agg('.cs' || CAST(p_partkey AS VARCHAR) || '{font-size:' || CAST(p_size AS VARCHAR) || 'pt;}', chr(10) ORDER BY p_partkey) AS css FROM part WHERE p_size <= 20 GROUP BY 1"),
+        "css_rules": (css_rules, CSS),
         "image_names": (image_names, "SELECT p_partkey, printf('BIN%04X', p_partkey) AS bin_id, 'image-' || CAST(p_partkey AS VARCHAR) AS placeholder FROM part"),
     }

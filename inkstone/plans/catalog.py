@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkstone.plans import blocks, bodies, files, packages, records, relations, scalars
+from inkstone.plans import blocks, bodies, files, packages, records, relations, rendered, scalars
 
 Entry = tuple[Callable[[SparkSession, str], DataFrame], str | None]
 
 
 def catalog() -> dict[str, Entry]:
-    return scalars.catalog() | relations.catalog() | blocks.catalog() | files.catalog() | records.catalog() | bodies.catalog() | packages.catalog()
+    return scalars.catalog() | relations.catalog() | blocks.catalog() | files.catalog() | records.catalog() | bodies.catalog() | packages.catalog() | rendered.catalog()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,4 +1,4 @@
-"""Document files end to end: pages are packed as document packages, some cut off, and read back."""
+"""Document files end to end: pages are packed whole as document packages and read back."""
 
 from __future__ import annotations
 
@@ -12,9 +12,8 @@ from inkstone.sources.writer import to_packages
 
 
 def packed_pages(spark: SparkSession, d: str) -> DataFrame:
-    """path, content; every third file is cut off."""
-    files = to_packages(read(spark, d, "pages"), F.col("page_id"), F.array("url", F.concat(F.lit("id "), F.col("page_id").cast("string"))))
-    return files.withColumn("content", F.when(F.pmod(F.col("path").cast("long"), F.lit(3)) == 0, F.substring("content", 1, 200)).otherwise(F.col("content")))
+    """path, content: a package for each page, its URL and its whole HTML as two paragraphs."""
+    return to_packages(read(spark, d, "pages"), F.col("page_id"), F.array("url", "html"))
 
 
 def decode_packages(spark, d):
@@ -23,13 +22,14 @@ def decode_packages(spark, d):
 
 
 def package_markdown(spark, d):
-    files = packed_pages(spark, d)
-    tables = {t: documents.read_table(files, t) for t in ("runs", "paragraphs", "char_shapes", "para_shapes", "numberings", "cells", "controls")}
+    tables = documents.read_tables(packed_pages(spark, d), render.TEXT_TABLES)
     return render.document_text(tables).select(F.col("file").cast("long").alias("page_id"), F.col("text").alias("markdown"))
 
 
 def batch_status_counts(spark, d):
-    return documents.batch_status(packed_pages(spark, d))
+    """Files that decode and files that don't: every third one is cut off."""
+    files = packed_pages(spark, d)
+    return documents.batch_status(files.withColumn("content", F.when(F.pmod(F.col("path").cast("long"), F.lit(3)) == 0, F.substring("content", 1, 200)).otherwise(F.col("content"))))
 
 
 def file_versions(spark, d):
@@ -37,10 +37,9 @@ def file_versions(spark, d):
 
 
 def catalog() -> dict:
-    good = "FROM pages WHERE page_id % 3 <> 0"
     return {
-        "decode_packages": (decode_packages, f"SELECT page_id, '0000.000000' AS path, url AS text {good} UNION ALL SELECT page_id, '0000.000001', 'id ' || CAST(page_id AS VARCHAR) {good}"),
-        "package_markdown": (package_markdown, f"SELECT page_id, url || chr(10) || chr(10) || 'id ' || CAST(page_id AS VARCHAR) AS markdown {good}"),
+        "decode_packages": (decode_packages, "SELECT page_id, '0000.000000' AS path, url AS text FROM pages UNION ALL SELECT page_id, '0000.000001', html FROM pages"),
+        "package_markdown": (package_markdown, "SELECT page_id, url || chr(10) || chr(10) || replace(html, chr(10), '  ' || chr(10)) AS markdown FROM pages"),
         "batch_status_counts": (batch_status_counts, "SELECT CASE WHEN page_id % 3 = 0 THEN 'error' ELSE 'ok' END AS status, count(*) AS n FROM pages GROUP BY 1"),
-        "file_versions": (file_versions, f"SELECT 'package' AS format, '5.1.0.0' AS version, count(*) AS n {good}"),
+        "file_versions": (file_versions, "SELECT 'package' AS format, '5.1.0.0' AS version, count(*) AS n FROM pages"),
     }

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from inkstone.functions import text as X
+from inkstone.operators import joins as J
 from inkstone.operators import sequences as Q
 
 LEVEL = "CAST(floor(value) AS BIGINT) % 9 + 1"
@@ -20,14 +22,16 @@ def headings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dim_lookup(spark, d):
-    parts = read(spark, d, "part").where("p_size > 10").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
-    return read(spark, d, "lineitem").join(parts, "l_partkey", "left").groupBy(F.coalesce("p_brand", F.lit("default")).alias("style")).agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
+    """lineitem by the brand of its part; parts of a tenth of all keys are unknown, as lineitem's keys are shifted past part's end."""
+    items = read(spark, d, "lineitem").withColumn("p_partkey", F.expr("l_partkey + l_linenumber * 40"))
+    found = J.lookup(items, read(spark, d, "part"), ["p_partkey"], "p_brand", F.lit("default"), "style")
+    return found.groupBy("style").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
 
 
 def two_key_numbering_lookup(spark, d):
     levels = spark.createDataFrame([(i, k, 10 * i + k) for i in range(3) for k in range(1, 8)], "num_id long, l_linenumber int, start long")
-    found = read(spark, d, "lineitem").withColumn("num_id", F.pmod("l_suppkey", F.lit(4))).join(F.broadcast(levels), ["num_id", "l_linenumber"], "left")
-    return found.groupBy(F.col("l_linenumber"), F.coalesce("start", F.lit(1)).alias("start")).agg(F.count("*").alias("n"))
+    found = J.lookup(read(spark, d, "lineitem").withColumn("num_id", F.pmod("l_suppkey", F.lit(4))), levels, ["num_id", "l_linenumber"], "start", F.lit(1).cast("long"))
+    return found.groupBy("l_linenumber", "start").agg(F.count("*").alias("n"))
 
 
 def asof_shape_at_position(spark, d):
@@ -63,9 +67,10 @@ def auto_number_with_reset(spark, d):
 
 
 def restart_per_section(spark, d):
+    """Numbers of a user's events that begin anew in each section of 500; an error sets the next number."""
     e = headings(spark, d).withColumn("section", F.expr("event_id div 500"))
-    w = Window.partitionBy("user_id", "section").orderBy("event_id")
-    return e.select("event_id", "section", F.row_number().over(w).cast("long").alias("n"))
+    is_reset = F.col("event_type") == "error"
+    return Q.numbers_with_reset(e, ["user_id", "section"], "event_id", is_reset, F.col("level"), ~is_reset, first=F.lit(3)).select("event_id", "section", "n")
 
 
 def parent_by_level(spark, d):
@@ -79,11 +84,6 @@ def line_ranges(spark, d):
     return Q.ranges(c.withColumn("total", total), ["conv_id"], "turn", "start", F.col("total")).select("conv_id", "turn", "start", F.col("end").cast("long").alias("end"))
 
 
-def run_split(spark, d):
-    lines = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    before = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    return lines.select("doc_id", F.col("line").cast("long").alias("line"), F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).cast("long").alias("start"), F.length("text").cast("long").alias("chars"))
-
 
 def page_break_fold(spark, d):
     e = headings(spark, d).withColumn("height", F.floor("value").cast("long"))
@@ -100,37 +100,33 @@ def pagination_rules(spark, d):
 
 def positional_zip(spark, d):
     c = read(spark, d, "conversations")
-    rank = lambda role: c.where(F.col("role") == role).withColumn("k", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long"))
-    a = rank("user").select("conv_id", "k", F.col("turn").alias("user_turn"))
-    b = rank("assistant").select("conv_id", "k", F.col("turn").alias("assistant_turn"))
-    return a.join(b, ["conv_id", "k"], "full_outer").select("conv_id", "k", "user_turn", "assistant_turn")
+    side = lambda role: c.where(F.col("role") == role).select("conv_id", F.col("turn").alias(f"{role}_turn"))
+    return J.zip_ranked(side("user"), side("assistant"), ["conv_id"], "user_turn", "assistant_turn")
 
 
 def caption_anti_join(spark, d):
-    docs = read(spark, d, "documents").select("doc_id", "source", F.md5(F.trim("text")).alias("digest"))
-    held = docs.where("source = 'src0'").select("digest").distinct()
-    return docs.join(held, "digest", "left_anti").select("doc_id", "source")
+    docs = read(spark, d, "documents")
+    return J.without_texts(docs, docs.where("source = 'src0'"), "text").select("doc_id", "source")
 
 
 def duplicate_text_anti_join(spark, d):
-    lines = read(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.trim("line").alias("line")).where("line <> ''")
-    cells = read(spark, d, "benchmark").select(F.trim("text").alias("line")).distinct()
-    return lines.join(cells, "line", "left_anti").groupBy("doc_id").agg(F.count("*").alias("lines"))
+    lines = read(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where("trim(line) <> ''")
+    cells = read(spark, d, "benchmark").select(F.col("text").alias("line"))
+    return J.without_texts(lines, cells, "line").groupBy("doc_id").agg(F.count("*").alias("lines"))
 
 
 def run_semi_join(spark, d):
-    pages = read(spark, d, "pages").select("page_id", "url")
     labelled = read(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("page_id"))
-    return pages.join(labelled, "page_id", "left_semi")
+    return J.held(read(spark, d, "pages").select("page_id", "url"), labelled, ["page_id"])
 
 
 def five_part_union(spark, d):
-    o = read(spark, d, "orders").select("o_orderkey", "o_orderstatus")
-    head = o.select(F.col("o_orderkey").alias("k"), F.lit(0).alias("part"), F.concat(F.lit("# "), F.col("o_orderkey").cast("string")).alias("line"))
-    status = o.select(F.col("o_orderkey").alias("k"), F.lit(2).alias("part"), F.col("o_orderstatus").alias("line"))
-    body = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.concat(F.lit("items "), F.count("*").cast("string")).alias("line")).select("k", F.lit(1).alias("part"), "line")
-    lines = head.unionByName(body).unionByName(status)
-    return lines.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "line"))), lambda x: x["line"]), "\n\n").alias("text"))
+    """An order as a document: a header, its items as body, a footer, a footnote for each returned item, and an endnote."""
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.lit(0).cast("long").alias("pos"), "o_orderstatus", "o_orderpriority")
+    li = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("long").alias("pos")).agg(F.count("*").alias("n"), F.max("l_returnflag").alias("flag"))
+    line = lambda df, *parts: df.select("k", "pos", F.concat(*(F.lit(p) if p.startswith(("# ", "item ", "[^")) or p == "]: back" else F.col(p).cast("string") for p in parts)).alias("line"))
+    parts = [line(o, "# ", "k"), line(li, "item ", "pos"), line(o, "o_orderstatus"), line(li.where("flag = 'R'"), "[^", "pos", "]: back"), line(o, "o_orderpriority")]
+    return J.assemble(parts, "k", "pos", "line")
 
 
 def doc_info_summary(spark, d):
@@ -139,10 +135,43 @@ def doc_info_summary(spark, d):
 
 
 def control_char_table(spark, d):
-    codes = spark.range(0, 32).select(F.col("id").alias("code"))
-    kinds = F.when(F.col("code").isin(0, 10, 13, 24, 30, 31), F.lit("char")).when(F.col("code").isin(4, 5, 6, 7, 8, 9, 19, 20), F.lit("inline")).otherwise(F.lit("extended"))
-    found = read(spark, d, "documents").agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).alias("breaks"))
-    return codes.withColumn("kind", kinds).withColumn("size", F.when(kinds == "char", F.lit(1)).otherwise(F.lit(8)).cast("long")).join(F.broadcast(found.withColumn("code", F.lit(10).cast("long"))), "code", "left").select("code", "kind", "size", F.coalesce("breaks", F.lit(0)).alias("uses"))
+    codes = spark.range(0, 40).select(F.col("id").alias("code"))
+    found = read(spark, d, "documents").agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).alias("breaks")).withColumn("code", F.lit(10).cast("long"))
+    kinds = codes.select("code", X.control_class(F.col("code")).alias("kind"), X.control_units(F.col("code")).alias("size"), X.control_name(F.col("code")).alias("name"))
+    return J.lookup(kinds, found, ["code"], "breaks", F.lit(0).cast("long"), "uses")
+
+
+def rules_once(spark, d):
+    """Rules in a conversation's lines: none after another, after an empty line or at the top."""
+    c = read(spark, d, "conversations").withColumn("line", F.when(F.pmod("turn", F.lit(3)) < 2, F.lit("---")).otherwise(F.col("text")))
+    return J.without_double_rules(c, ["conv_id"], "turn", "line").select("conv_id", "turn", "line")
+
+
+def natural_sections(spark, d):
+    """Section names of a document in the order of their numbers."""
+    names = read(spark, d, "part").select("p_brand", F.concat(F.lit("Contents/section"), F.col("p_partkey").cast("string"), F.lit(".xml")).alias("name"))
+    place = F.row_number().over(Window.partitionBy("p_brand").orderBy(J.natural_order(F.col("name")))).cast("long")
+    return names.select("p_brand", "name", place.alias("place"))
+
+
+def caption_ids_anti_join(spark, d):
+    """Parts no line item names; the ids 0 and 2^31 are nobody's."""
+    used = read(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
+    return J.without_ids(read(spark, d, "part").select("p_partkey", "p_name"), used, "p_partkey")
+
+
+def column_groups(spark, d):
+    from inkstone.operators.layout import column_groups as groups
+
+    e = headings(spark, d).withColumn("top", F.floor("value").cast("long"))
+    return groups(e, ["user_id"], "event_id", "top").select("event_id", "user_id", "group")
+
+
+def column_assignment(spark, d):
+    from inkstone.operators.layout import assign_columns
+
+    e = headings(spark, d).withColumn("top", F.pmod(F.floor("value").cast("long"), F.lit(50))).withColumn("bottom", F.col("top") + 10)
+    return assign_columns(e, ["user_id"], "event_id", 2)
 
 
 def outline_sql(keys: str) -> str:
@@ -163,12 +192,23 @@ s AS (SELECT user_id, event_id, k, CAST(1 AS BIGINT) AS page, '' AS reason, f +
 SELECT user_id, event_id, page, reason FROM s"""
 
 
+CONTROL_KIND = "CASE WHEN range IN (0, 10, 13, 24, 30, 31) THEN 'char' WHEN range IN (4, 5, 6, 7, 8, 9, 19, 20) THEN 'inline' ELSE 'extended' END"
+
+#: a and b are the depths of the two columns, null for an empty one; the nearest depth above the block's top wins, then an empty column, then a new page.
+COLUMNS = """WITH RECURSIVE e AS (SELECT user_id, event_id, CAST(floor(value) AS BIGINT) % 50 AS top, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+s AS (SELECT user_id, event_id, k, CAST(1 AS BIGINT) AS page, CAST(0 AS BIGINT) AS c, top + 10 AS a, CAST(NULL AS BIGINT) AS b FROM e WHERE k = 1
+  UNION ALL SELECT user_id, event_id, k, page + CASE WHEN c = 2 THEN 1 ELSE 0 END, CASE WHEN c = 2 THEN 0 ELSE c END, CASE WHEN c IN (0, 2) THEN top + 10 ELSE a END, CASE WHEN c = 2 THEN NULL WHEN c = 1 THEN top + 10 ELSE b END FROM
+    (SELECT e.user_id, e.event_id, e.k, e.top, s.page, s.a, s.b, CAST(CASE WHEN s.a <= e.top AND (s.b IS NULL OR s.b > e.top OR s.b <= s.a) THEN 0 WHEN s.b <= e.top THEN 1 WHEN s.a IS NULL THEN 0 WHEN s.b IS NULL THEN 1 ELSE 2 END AS BIGINT) AS c
+     FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1))
+SELECT user_id, event_id, page, c AS "column" FROM s"""
+
+
 def catalog() -> dict:
     upto = "OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     parents = " ".join(f"WHEN level = {k} THEN max(CASE WHEN level = {k - 1} THEN event_id END) {upto}" for k in range(1, 9))
     ranges = f"SELECT user_id, event_type, event_id AS s, event_id + ({LEVEL}) * 40 AS e FROM events"
     return {
-        "dim_lookup": (dim_lookup, "SELECT coalesce(p_brand, 'default') AS style, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size > 10) ON l_partkey = p_partkey GROUP BY 1"),
+        "dim_lookup": (dim_lookup, "SELECT coalesce(p_brand, 'default') AS style, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem LEFT JOIN part ON l_partkey + l_linenumber * 40 = p_partkey GROUP BY 1"),
         "two_key_numbering_lookup": (two_key_numbering_lookup, "SELECT l_linenumber, CASE WHEN l_suppkey % 4 < 3 AND l_linenumber BETWEEN 1 AND 7 THEN 10 * (l_suppkey % 4) + l_linenumber ELSE 1 END AS start, count(*) AS n FROM lineitem GROUP BY 1, 2"),
         "asof_shape_at_position": (asof_shape_at_position, "SELECT e.event_id, e.user_id, s.event_id AS shape FROM events e ASOF LEFT JOIN (SELECT user_id, event_id FROM events WHERE event_type = 'error') s ON e.user_id = s.user_id AND e.event_id >= s.event_id"),
         "offset_map": (offset_map, "SELECT e.event_id, s.event_id * 10 + e.event_id - s.event_id AS extracted FROM events e ASOF JOIN (SELECT user_id, event_id FROM events WHERE event_type = 'error') s ON e.user_id = s.user_id AND e.event_id >= s.event_id"),
@@ -176,17 +216,21 @@ def catalog() -> dict:
         "outline_counter": (outline_counter, outline_sql("user_id").replace("{cols}", "user_id,")),
         "list_counter": (list_counter, outline_sql("user_id, event_type").replace("{cols}", "")),
         "auto_number_with_reset": (auto_number_with_reset, f"WITH e AS (SELECT *, {LEVEL} AS level, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) {upto} AS island FROM events), f AS (SELECT *, first_value(CASE WHEN event_type = 'error' THEN level END) OVER (PARTITION BY user_id, island ORDER BY event_id) AS start, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, island ORDER BY event_id) AS used FROM e) SELECT event_id, CASE WHEN event_type = 'error' THEN NULL ELSE CAST(coalesce(start, 1) + used - 1 AS BIGINT) END AS n FROM f"),
-        "restart_per_section": (restart_per_section, "SELECT event_id, event_id // 500 AS section, row_number() OVER (PARTITION BY user_id, event_id // 500 ORDER BY event_id) AS n FROM events"),
+        "restart_per_section": (restart_per_section, f"WITH e AS (SELECT *, event_id // 500 AS section, {LEVEL} AS level FROM events), g AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER w AS island FROM e WINDOW w AS (PARTITION BY user_id, section ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), f AS (SELECT *, first_value(CASE WHEN event_type = 'error' THEN level END) OVER v AS start, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER v AS used FROM g WINDOW v AS (PARTITION BY user_id, section, island ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT event_id, section, CASE WHEN event_type = 'error' THEN NULL ELSE CAST(coalesce(start, 3) + used - 1 AS BIGINT) END AS n FROM f"),
         "parent_by_level": (parent_by_level, f"WITH e AS (SELECT *, {LEVEL} - 1 AS level FROM events) SELECT event_id, level, CASE {parents} END AS parent FROM e"),
         "line_ranges": (line_ranges, "SELECT conv_id, turn, turn * 10 AS start, CAST(coalesce(lead(turn * 10) OVER (PARTITION BY conv_id ORDER BY turn), turn * 10 + length(text)) AS BIGINT) AS \"end\" FROM conversations"),
-        "run_split": (run_split, "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents) SELECT doc_id, CAST(line AS BIGINT) AS line, CAST(coalesce(sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, CAST(length(t) AS BIGINT) AS chars FROM l"),
         "page_break_fold": (page_break_fold, "WITH RECURSIVE e AS (SELECT user_id, event_id, CAST(floor(value) AS BIGINT) AS h, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events), f AS (SELECT user_id, event_id, k, CAST(1 AS BIGINT) AS page, h AS used FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.event_id, e.k, CASE WHEN f.used > 0 AND f.used + e.h > 250 THEN f.page + 1 ELSE f.page END, CASE WHEN f.used > 0 AND f.used + e.h > 250 THEN e.h ELSE f.used + e.h END FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1) SELECT user_id, event_id, page FROM f"),
         "pagination_rules": (pagination_rules, PAGINATION),
         "positional_zip": (positional_zip, "WITH a AS (SELECT conv_id, turn AS user_turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role = 'user'), b AS (SELECT conv_id, turn AS assistant_turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role = 'assistant') SELECT conv_id, k, user_turn, assistant_turn FROM a FULL JOIN b USING (conv_id, k)"),
         "caption_anti_join": (caption_anti_join, "SELECT doc_id, source FROM documents WHERE trim(text) NOT IN (SELECT trim(text) FROM documents WHERE source = 'src0')"),
         "duplicate_text_anti_join": (duplicate_text_anti_join, "WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents) SELECT doc_id, count(*) AS lines FROM l WHERE line <> '' AND line NOT IN (SELECT trim(text) FROM benchmark) GROUP BY 1"),
         "run_semi_join": (run_semi_join, "SELECT page_id, url FROM pages WHERE page_id IN (SELECT doc_id FROM labels WHERE quality = 1)"),
-        "five_part_union": (five_part_union, "WITH p AS (SELECT o_orderkey AS k, 0 AS part, '# ' || CAST(o_orderkey AS VARCHAR) AS line FROM orders UNION ALL SELECT l_orderkey, 1, 'items ' || CAST(count(*) AS VARCHAR) FROM lineitem GROUP BY l_orderkey UNION ALL SELECT o_orderkey, 2, o_orderstatus FROM orders) SELECT k, string_agg(line, chr(10) || chr(10) ORDER BY part) AS text FROM p GROUP BY k"),
+        "five_part_union": (five_part_union, "WITH li AS (SELECT l_orderkey AS k, CAST(l_linenumber AS BIGINT) AS pos, max(l_returnflag) AS flag FROM lineitem GROUP BY 1, 2), p AS (SELECT o_orderkey AS k, 0 AS part, 0 AS pos, '# ' || CAST(o_orderkey AS VARCHAR) AS line FROM orders UNION ALL SELECT k, 1, pos, 'item ' || CAST(pos AS VARCHAR) FROM li UNION ALL SELECT o_orderkey, 2, 0, o_orderstatus FROM orders UNION ALL SELECT k, 3, pos, '[^' || CAST(pos AS VARCHAR) || ']: back' FROM li WHERE flag = 'R' UNION ALL SELECT o_orderkey, 4, 0, o_orderpriority FROM orders) SELECT k, string_agg(line, chr(10) || chr(10) ORDER BY part, pos) AS text FROM p GROUP BY k"),
         "doc_info_summary": (doc_info_summary, "SELECT lang, source, count(*) AS docs, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS paragraphs, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY 1, 2"),
-        "control_char_table": (control_char_table, "SELECT range AS code, CASE WHEN range IN (0, 10, 13, 24, 30, 31) THEN 'char' WHEN range IN (4, 5, 6, 7, 8, 9, 19, 20) THEN 'inline' ELSE 'extended' END AS kind, CAST(CASE WHEN range IN (0, 10, 13, 24, 30, 31) THEN 1 ELSE 8 END AS BIGINT) AS size, CASE WHEN range = 10 THEN (SELECT CAST(sum(length(text) - length(replace(text, chr(10), ''))) AS BIGINT) FROM documents) ELSE 0 END AS uses FROM range(32)"),
+        "control_char_table": (control_char_table, "SELECT range AS code, " + CONTROL_KIND + " AS kind, CAST(CASE WHEN range > 31 OR " + CONTROL_KIND + " = 'char' THEN 1 ELSE 8 END AS BIGINT) AS size, CASE " + " ".join(f"WHEN range = {k} THEN '{v}'" for k, v in X.CONTROL_NAMES.items()) + " WHEN range <= 31 THEN 'RESERVED_' || CAST(range AS VARCHAR) ELSE 'UNKNOWN_' || CAST(range AS VARCHAR) END AS name, CASE WHEN range = 10 THEN (SELECT CAST(sum(length(text) - length(replace(text, chr(10), ''))) AS BIGINT) FROM documents) ELSE 0 END AS uses FROM range(40)"),
+        "rules_once": (rules_once, "WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 3 < 2 THEN '---' ELSE text END AS line FROM conversations), b AS (SELECT *, lag(line) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM c) SELECT conv_id, turn, line FROM b WHERE NOT (starts_with(line, '---') AND (prev IS NULL OR starts_with(prev, '---') OR prev = ''))"),
+        "natural_sections": (natural_sections, "SELECT p_brand, 'Contents/section' || CAST(p_partkey AS VARCHAR) || '.xml' AS name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS place FROM part"),
+        "caption_ids_anti_join": (caption_ids_anti_join, "SELECT p_partkey, p_name FROM part WHERE p_partkey = 0 OR p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)"),
+        "column_groups": (column_groups, "WITH e AS (SELECT event_id, user_id, CAST(floor(value) AS BIGINT) AS top FROM events), f AS (SELECT *, CASE WHEN top <= lag(top) OVER (PARTITION BY user_id ORDER BY event_id) THEN 1 ELSE 0 END AS fresh FROM e) SELECT event_id, user_id, CAST(sum(fresh) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS \"group\" FROM f"),
+        "column_assignment": (column_assignment, COLUMNS),
     }

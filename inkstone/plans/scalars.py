@@ -124,8 +124,7 @@ def catalog() -> dict:
     flags = dict(enumerate(V.DOCUMENT_FLAGS))
     c["document_flag_names"] = (over("orders", key, lambda: V.names_of_bits(F.col(key) * 37, flags).alias("flags")), f"SELECT o_orderkey, {sql_names('(o_orderkey * 37)', flags)} AS flags FROM orders")
     c["segment_flag_decode"] = (over("orders", key, lambda: V.names_of_bits(F.col(key) * 8191, V.SEGMENT_FLAGS).alias("flags")), f"SELECT o_orderkey, {sql_names('(o_orderkey * 8191)', V.SEGMENT_FLAGS)} AS flags FROM orders")
-    marks = {2: "section_column", 3: "field_start", 4: "field_end", 9: "tab", 10: "line_break", 11: "shape_object", 15: "hidden_description", 16: "header_footer", 17: "footnote", 18: "auto_number", 21: "page_control", 22: "bookmark", 23: "overlap", 24: "hyphen", 30: "nonbreaking_space", 31: "fixed_width_space"}
-    c["control_mask_names"] = (over("orders", key, lambda: V.names_of_bits(F.col(key) * 262139, marks).alias("controls")), f"SELECT o_orderkey, {sql_names('(o_orderkey * 262139)', marks)} AS controls FROM orders")
+    c["control_mask_names"] = (over("orders", key, lambda: V.names_of_bits(F.col(key) * 262139, V.CONTROL_MARKS).alias("controls")), f"SELECT o_orderkey, {sql_names('(o_orderkey * 262139)', V.CONTROL_MARKS)} AS controls FROM orders")
     c["record_header_decode"] = (
         over("lineitem", "l_orderkey", "l_linenumber", "l_partkey", *((lambda name=name, at=at, w=w: V.field(F.col("l_orderkey") * 65537 + F.col("l_partkey"), at, w).alias(name)) for name, at, w in (("tag_id", 0, 10), ("level", 10, 10), ("size", 20, 12))), lambda: (V.field(F.col("l_orderkey") * 65537 + F.col("l_partkey"), 20, 12) == 0xFFF).alias("has_extended_size")),
         "SELECT l_orderkey, l_linenumber, l_partkey, v & 1023 AS tag_id, (v >> 10) & 1023 AS level, (v >> 20) & 4095 AS size, ((v >> 20) & 4095) = 4095 AS has_extended_size FROM (SELECT *, l_orderkey * 65537 + l_partkey AS v FROM lineitem)",
@@ -175,19 +174,51 @@ def catalog() -> dict:
         over("part", "p_partkey", lambda: V.border_mm(F.pmod("p_partkey", F.lit(18))).alias("mm")),
         f"SELECT p_partkey, CASE WHEN p_partkey % 18 < 16 THEN CAST(list_extract([{', '.join(f'{x:.2f}' for x in V.BORDER_MM)}], CAST(p_partkey % 18 + 1 AS INTEGER)) AS DOUBLE) ELSE 0.12::DOUBLE END AS mm FROM part",
     )
-    c["utf16_roundtrip"] = (
-        over("documents", "doc_id", lambda: F.length(F.decode(F.encode("text", "UTF-16LE"), "UTF-16LE")).cast("long").alias("chars"), lambda: (F.decode(F.encode("text", "UTF-16LE"), "UTF-16LE") == F.col("text")).alias("same")),
-        "SELECT doc_id, CAST(length(text) AS BIGINT) AS chars, true AS same FROM documents",
+    c["number_kind_narrowing"] = (over("part", "p_partkey", lambda: N.narrow_kind(F.pmod("p_partkey", F.lit(19))).alias("kind")), "SELECT p_partkey, CASE p_partkey % 19 WHEN 1 THEN 'circled' WHEN 2 THEN 'roman_upper' WHEN 3 THEN 'roman_lower' WHEN 4 THEN 'alpha_upper' WHEN 5 THEN 'alpha_lower' WHEN 8 THEN 'hangul' WHEN 10 THEN 'hangul_cycle' ELSE 'arabic' END AS kind FROM part")
+    marks = [0xF06C, 0xF046, 0xF0A1, 0xF0AB, 0xF077, 0x2022]
+    mark = lambda: F.element_at(F.array(*(F.lit(chr(m)) for m in marks)), (F.pmod("p_partkey", F.lit(len(marks))) + 1).cast("int"))
+    listed = lambda table: ", ".join(f"'{table.get(m, chr(m))}'" for m in marks)
+    c["bullet_marks"] = (
+        over("part", "p_partkey", lambda: X.bullet_mark(mark()).alias("shown"), lambda: X.bullet_mark(mark(), True).alias("placed"), lambda: X.bullet_mark(F.lit(None).cast("string")).alias("none")),
+        f"SELECT p_partkey, list_extract([{listed(X.BULLETS)}], CAST(p_partkey % 6 + 1 AS INTEGER)) AS shown, list_extract([{listed(X.PLACED_BULLETS)}], CAST(p_partkey % 6 + 1 AS INTEGER)) AS placed, '●' AS none FROM part",
+    )
+    caption = lambda: F.element_at(F.array(F.lit("표 12 of parts"), F.lit("표없음"), F.concat(F.lit("  "), "p_name", F.lit(" ")), F.concat(F.lit("Tab ~"), "p_name")), (F.pmod("p_partkey", F.lit(4)) + 1).cast("int"))
+    parts = lambda name: (lambda: X.caption_parts(caption(), F.when(F.pmod("p_partkey", F.lit(4)) == 3, F.lit(4)), F.when(F.pmod("p_size", F.lit(2)) == 0, F.lit("IV")), F.col("p_size"))[name].alias(name))
+    shown = "CASE WHEN p_size % 2 = 0 THEN 'IV' ELSE CAST(p_size AS VARCHAR) END"
+    c["caption_split"] = (
+        over("part", "p_partkey", parts("label"), parts("number"), parts("body")),
+        f"SELECT p_partkey, CASE p_partkey % 4 WHEN 2 THEN '' WHEN 3 THEN 'Tab' ELSE '표' END AS label, CASE p_partkey % 4 WHEN 0 THEN '12' WHEN 1 THEN CAST(p_size AS VARCHAR) ELSE {shown} END AS number, CASE p_partkey % 4 WHEN 0 THEN 'of parts' WHEN 1 THEN '표없음' ELSE trim(p_name) END AS body FROM part",
+    )
+    piece = lambda at: F.element_at(F.array(*map(F.lit, ("text", "![i](u)", "| a |", "---", "\nx"))), (F.pmod(F.expr(at), F.lit(5)) + 1).cast("int"))
+    c["block_separators"] = (
+        over("part", "p_partkey", lambda: X.separator(piece("p_partkey"), piece("p_partkey div 5")).alias("sep"), lambda: X.is_block(piece("p_partkey")).alias("block")),
+        "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 AND (p_partkey // 5) % 5 = 0 THEN '  ' || chr(10) ELSE chr(10) || chr(10) END AS sep, p_partkey % 5 IN (1, 2, 3) AS block FROM part",
+    )
+    before = lambda: F.when(F.pmod("page_id", F.lit(2)) == 0, F.lit("wor")).otherwise(F.lit("word "))
+    label = lambda: F.element_at(F.array(F.lit("d"), F.lit("(d"), F.lit("")), (F.pmod("page_id", F.lit(3)) + 1).cast("int"))
+    c["link_in_word"] = (
+        over("pages", "page_id", lambda: X.link_markdown(before(), label(), F.col("url")).alias("link")),
+        "SELECT page_id, CASE WHEN page_id % 3 = 2 THEN '[' || url || '](' || url || ')' WHEN page_id % 2 = 0 AND page_id % 3 = 0 THEN 'd' ELSE '[' || CASE page_id % 3 WHEN 0 THEN 'd' ELSE '(d' END || '](' || url || ')' END AS link FROM pages",
+    )
+    c["image_urls"] = (
+        over("benchmark", "item_id", lambda: X.image_url(F.col("text").cast("binary"), F.lit("image/png"), F.lit("a.png"), "img/").alias("named"), lambda: X.image_url(F.encode("text", "UTF-8"), F.lit("image/png"), F.lit("a.png")).alias("embedded"), lambda: X.image_url(F.lit(None).cast("binary"), F.lit("image/png"), F.lit("a.png")).alias("none")),
+        "SELECT item_id, 'img/a.png' AS named, 'data:image/png;base64,' || to_base64(encode(text)) AS embedded, '' AS none FROM benchmark",
+    )
+    c["font_names"] = (over("part", "p_partkey", lambda: X.font_escape(F.concat(F.lit("\\it's "), "p_name")).alias("font"), lambda: X.attribute_escape(F.concat("p_name", F.lit('"<&>'))).alias("title")), "SELECT p_partkey, '\\\\it\\''s ' || p_name AS font, p_name || '&quot;&lt;&amp;&gt;' AS title FROM part")
+    c["border_width_text"] = (over("part", "p_partkey", lambda: V.border_mm_text(F.pmod("p_partkey", F.lit(18))).alias("mm")), f"SELECT p_partkey, CASE WHEN p_partkey % 18 < 16 THEN list_extract([{', '.join(repr(f'{x}mm') for x in V.BORDER_MM)}], CAST(p_partkey % 18 + 1 AS INTEGER)) ELSE '0.1mm' END AS mm FROM part")
+    names = lambda x, flags: F.split(V.names_of_bits(x, flags), ",")
+    c["flags_there_and_back"] = (
+        over("part", "p_partkey", lambda: V.bits_of_names(names(F.col("p_partkey"), V.SEGMENT_FLAGS), V.SEGMENT_FLAGS).alias("segment"), lambda: V.names_of_bits(F.col("p_partkey"), dict(enumerate(V.LICENSE_FLAGS))).alias("licence"), lambda: V.names_of_bits(F.col("p_size"), V.DIVIDE_FLAGS).alias("divide")),
+        f"SELECT p_partkey, CAST(p_partkey & {sum(1 << b for b in V.SEGMENT_FLAGS)} AS BIGINT) AS segment, {sql_names('p_partkey', dict(enumerate(V.LICENSE_FLAGS)))} AS licence, {sql_names('p_size', V.DIVIDE_FLAGS)} AS divide FROM part",
+    )
+    c["seven_languages"] = (
+        over("part", "p_partkey", lambda: V.seven(F.array(F.col("p_size"), F.col("p_size") + 1))["korean"].cast("long").alias("first"), lambda: V.seven(F.array(F.col("p_size"), F.col("p_size") + 1))["user"].cast("long").alias("last"), lambda: V.all_seven(F.array_repeat("p_size", 7), lambda x: x > 25).alias("large")),
+        "SELECT p_partkey, CAST(p_size AS BIGINT) AS first, CAST(p_size + 1 AS BIGINT) AS last, p_size > 25 AS large FROM part",
+    )
+    c["marker_width_by_size"] = (
+        over("part", "p_partkey", lambda: X.marker_width(F.lit("●1."), F.col("p_size") + 1.0).alias("mm")),
+        "SELECT p_partkey, round(100 * (5.29 * (p_size + 1.0) / 10.0 + 3.44 + 1.46), 0) / 100 AS mm FROM part",
     )
-    c["effective_page_size"] = (
-        over("part", "p_partkey", lambda: F.when(F.pmod("p_partkey", F.lit(2)) == 1, F.lit(84188)).otherwise(F.lit(59528)).cast("long").alias("width"), lambda: (F.when(F.pmod("p_partkey", F.lit(2)) == 1, F.lit(59528)).otherwise(F.lit(84188)) - 2 * F.col("p_size") * 100).cast("long").alias("content_height")),
-        "SELECT p_partkey, CAST(CASE WHEN p_partkey % 2 = 1 THEN 84188 ELSE 59528 END AS BIGINT) AS width, CAST(CASE WHEN p_partkey % 2 = 1 THEN 59528 ELSE 84188 END - 2 * p_size * 100 AS BIGINT) AS content_height FROM part",
-    )
-    c["lcg_key_stream"] = (
-        over("part", "p_partkey", lambda: F.pmod(F.col("p_partkey") * 214013 + 2531011, F.lit(2147483648)).alias("state"), lambda: F.pmod(F.shiftright(F.pmod(F.col("p_partkey") * 214013 + 2531011, F.lit(2147483648)), 16), F.lit(32768)).alias("rand")),
-        "SELECT p_partkey, (p_partkey * 214013 + 2531011) % 2147483648 AS state, (((p_partkey * 214013 + 2531011) % 2147483648) >> 16) % 32768 AS rand FROM part",
-    )
-    c["xml_local_name"] = (over("part", "p_partkey", lambda: F.substring_index(F.concat(F.lit("hp:"), F.col("p_brand")), ":", -1).alias("name")), "SELECT p_partkey, p_brand AS name FROM part")
     return c
 
 
