@@ -215,6 +215,7 @@ def catalog() -> dict:
     up = sql_roman("(k + 3)")
     caption = f"'Tab ' || {up} || ' of ' || p_name"
     grid = "'| ' || p_size || ' |' || chr(10) || '| --- |'"
+    shown = lambda t: f"regexp_replace({t}, '^ | $', '&nbsp;', 'g')"
     line = lambda text, y: f"'<div class=\"line cs-0\" style=\"left:' || {sql_mm('8504')} || ';top:' || {sql_mm(y)} || '\">' || {text} || '</div>'"
     return {
         "rendered_markdown": (rendered_markdown, whole(md, "'[^' || k || ']: ' || p_size", nl, "markdown")),
@@ -229,7 +230,7 @@ def catalog() -> dict:
         "version_lines": (version_lines, f"SELECT DISTINCT p_brand AS file, '**버전**: 5.1.0.0' || {nl} || '**용지 크기**: ' || {sql_mm('59528')} || ' x ' || {sql_mm('84188')} AS top FROM part"),
         "section_restart": (section_restart, "SELECT p_partkey, printf('%04d.000001.c%03d', s, c) AS path, CAST(c + 1 + CASE WHEN p_partkey % 2 = 1 THEN 2 * s ELSE 0 END AS BIGINT) AS n FROM part, (SELECT unnest([0, 1]) AS s), (SELECT unnest([0, 1]) AS c)"),
         "spine_sections": (spine_sections, "SELECT page_id, '0000.000000' AS path, url AS text FROM pages UNION ALL SELECT page_id, '0001.000000', CAST(page_id AS VARCHAR) FROM pages"),
-        "layout_pages": (layout_pages, f"SELECT p_partkey, CAST(1 AS BIGINT) AS page, CAST(1 AS BIGINT) AS number, '<div class=\"page\" style=\"width:' || {sql_mm('59528')} || ';height:' || {sql_mm('84188')} || '\">' || {line('substring(p_name, 1, 3)', '(5668 + 4252)')} || {line('substring(p_name, 4)', '(5668 + 4252 + 1600)')} || '<div class=\"number\">1</div></div>' AS html FROM part"),
+        "layout_pages": (layout_pages, f"SELECT p_partkey, CAST(1 AS BIGINT) AS page, CAST(1 AS BIGINT) AS number, '<div class=\"page\" style=\"width:' || {sql_mm('59528')} || ';height:' || {sql_mm('84188')} || '\">' || {line(shown('substring(p_name, 1, 3)'), '(5668 + 4252)')} || {line(shown('substring(p_name, 4)'), '(5668 + 4252 + 1600)')} || '<div class=\"number\">1</div></div>' AS html FROM part"),
         "synthetic_lines": (synthetic_lines, "SELECT p_partkey, lines, (lines - 1) * 1600 + 1600 AS lowest, CAST(42520 AS BIGINT) AS width FROM (SELECT p_partkey, CAST(greatest(1, ceil((length(p_name) + 1) * (p_size + 1) * 500 / 42520.0)) AS BIGINT) AS lines FROM part)"),
         "files_with_lines": (files_with_lines, "SELECT p_partkey, p_partkey % 2 = 0 AS has_lines FROM part"),
         "document_info": (document_info, "SELECT p_partkey, '5.1.0.0' AS version, 'package' AS format, CAST(1 AS BIGINT) AS sections, CAST(2 AS BIGINT) AS paragraphs, CAST(0 AS BIGINT) AS images FROM part"),
