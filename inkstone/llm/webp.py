@@ -5,8 +5,10 @@ each other. The decoder reads every part of the lossless format: simple and norm
 the colour cache, and the predictor, cross-colour, subtract-green and palette transforms.
 
 Images decode side by side: those with the same codes advance one pixel a step, all together, as columns of numpy arrays, so a
-column of many small images costs few operations a pixel. The encoder writes one fixed set of prefix codes (from a fixed model of
-byte frequencies, so that equal texts give equal files), colour cache hits, and back-references for runs.
+column of many small images costs few operations a pixel. The encoder writes colour cache hits, back-references for runs, and one of
+three fixed sets of transforms and prefix codes (from fixed models of byte frequencies, so that equal texts give equal files),
+whichever takes the fewest bits for a frame: text (predictor with the black mode, codes of letters), smooth (left predictor and
+cross-colour, codes of small differences), and marks (a palette of 16 grey pixels of white space and rules, two to a byte).
 
 Defined cases: null text counts as empty; an empty payload is one row of spaces; any length is held (a frame for every 32 rows);
 rows are independent, so ties and repeated rows repeat their values; a null doc_id is kept; further columns are ignored; an empty
@@ -352,8 +354,24 @@ def channels(argb: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(argb.astype(np.uint32)).view(np.uint8).reshape(*argb.shape, 4).copy()
 
 
+def inverse_one_mode(image: np.ndarray, mode: int) -> None:
+    """inverse_predictor where all blocks have mode 0 (black), 1 (left) or 2 (top): running sums of bytes."""
+    image[0, 0, 3] += np.uint8(255)
+    image[0] = np.cumsum(image[0], 0, dtype=np.uint8)
+    image[:, 0] = np.cumsum(image[:, 0], 0, dtype=np.uint8)
+    if mode == 0:
+        image[1:, 1:, 3] += np.uint8(255)
+    elif mode == 1:
+        image[1:] = np.cumsum(image[1:], 1, dtype=np.uint8)
+    else:
+        image[:, 1:] = np.cumsum(image[:, 1:], 0, dtype=np.uint8)
+
+
 def inverse_predictor(image: np.ndarray, size: int, modes: np.ndarray) -> None:
     """Adds to each residual its prediction from the pixels before; image is (height, width, 4), in place."""
+    kinds = np.unique((modes >> 8) & 15)
+    if len(kinds) == 1 and kinds[0] < 3:
+        return inverse_one_mode(image, int(kinds[0]))
     height, width, _ = image.shape
     black = np.array([0, 0, 0, 255], np.int64)
     average = lambda a, b: (a + b) >> 1
@@ -393,12 +411,12 @@ def inverse_predictor(image: np.ndarray, size: int, modes: np.ndarray) -> None:
 
 def inverse_cross_colour(image: np.ndarray, size: int, elements: np.ndarray) -> None:
     height, width, _ = image.shape
-    e = channels(elements)[np.arange(height)[:, None] >> size, np.arange(width)[None, :] >> size].view(np.int8).astype(np.int64)
-    signed = image.view(np.int8).astype(np.int64)
-    red = image[..., 2] + ((e[..., 0] * signed[..., 1]) >> 5)
-    image[..., 2] = red & 255
-    fresh = image[..., 2].view(np.int8).astype(np.int64)
-    image[..., 0] = (image[..., 0] + ((e[..., 1] * signed[..., 1]) >> 5) + ((e[..., 2] * fresh) >> 5)) & 255
+    e = channels(elements)
+    e = (e[0, 0] if e.shape[:2] == (1, 1) else e[np.arange(height)[:, None] >> size, np.arange(width)[None, :] >> size]).view(np.int8).astype(np.int16)
+    green = image[..., 1].view(np.int8).astype(np.int16)
+    image[..., 2] += ((e[..., 0] * green) >> 5).astype(np.uint8)
+    red = image[..., 2].view(np.int8).astype(np.int16)
+    image[..., 0] += (((e[..., 1] * green) >> 5) + ((e[..., 2] * red) >> 5)).astype(np.uint8)
 
 
 def inverse_transforms(h: Header, height: int, argb: np.ndarray) -> np.ndarray:
@@ -450,20 +468,20 @@ def decode_files(files: list[bytes]) -> list[np.ndarray]:
     frames = [(f, *frame) for f, data in enumerate(files) for frame in parse_file(data)]
     heads: list[tuple[int, int, Header]] = []
     shared: dict[int, list[int]] = {}
-    known: list[tuple[int, Header]] = []
+    known: list[tuple[int, int, Header]] = []
     for k, (_, _, _, data) in enumerate(frames):
-        # A header without transforms and meta codes doesn't depend on the size: what follows byte 5 tells whether it is the same.
-        for value, h in known:
-            if (int.from_bytes(data[5 : 5 + (h.end - 33) // 8], "little") & ((1 << (h.end - 40)) - 1)) == value and len(data) * 8 >= h.end and data[0] == 0x2F and data[4] < 32:
-                size = int.from_bytes(data[1:5], "little")
-                heads.append(((size & 0x3FFF) + 1, ((size >> 14) & 0x3FFF) + 1, h))
-                h.width = 0
+        # A header without meta codes, whose transforms have one block, doesn't depend on the height: what follows byte 5 tells whether it is the same.
+        size = int.from_bytes(data[1:5], "little")
+        width, height = (size & 0x3FFF) + 1, ((size >> 14) & 0x3FFF) + 1
+        for value, own, h in known:
+            if width == own and height <= 512 and (int.from_bytes(data[5 : 5 + (h.end - 33) // 8], "little") & ((1 << (h.end - 40)) - 1)) == value and len(data) * 8 >= h.end and data[0] == 0x2F and data[4] < 32:
+                heads.append((width, height, h))
                 break
         else:
             heads.append(read_header(data))
             h = heads[-1][2]
-            if not h.transforms and h.meta is None:
-                known.append((int.from_bytes(data[5 : 5 + (h.end - 33) // 8], "little") & ((1 << (h.end - 40)) - 1), h))
+            if h.meta is None and all(t[0] > 1 or (t[2] == 9 and heads[-1][0] <= 512 and heads[-1][1] <= 512) for t in h.transforms):
+                known.append((int.from_bytes(data[5 : 5 + (h.end - 33) // 8], "little") & ((1 << (h.end - 40)) - 1), heads[-1][0], h))
         shared.setdefault(id(heads[-1][2]), []).append(k)
     images: list[np.ndarray | None] = [None] * len(frames)
     for ks in shared.values():
@@ -561,41 +579,127 @@ def byte_weights() -> list[int]:
     return weights
 
 
+#: The grey pixels of the palette: white space and what rules are made of.
+GREYS = sorted(b" \t\n\r-=_.*#~+/|0x")
+
+
 @dataclass
 class Model:
-    """The fixed codes: symbols' codes and lengths as arrays, and the header's bits after the sizes."""
+    """The fixed codes of one kind of frame: symbols' codes and lengths as arrays, the header's bits after the sizes, the alpha and the columns as coded."""
 
     code: list[np.ndarray]
     length: list[np.ndarray]
     header: int
     header_bits: int
+    alpha: int
+    columns: int
 
 
-@lru_cache(maxsize=1)
-def fixed_model() -> Model:
-    colour = byte_weights()
+def write_pixel(out: Writer, green: int, red: int, blue: int, alpha: int) -> None:
+    """An image of one pixel inside the header: no cache, codes of one symbol each."""
+    out.put(0, 1)
+    for symbol in (green, red, blue, alpha, 0):
+        write_single(out, symbol)
+
+
+def write_palette(out: Writer, colours: list[int]) -> None:
+    """The palette's pixels as differences, byte by byte, with codes made for them."""
+    rows = np.array([[g, g, g, 255] for g in colours], np.uint8)
+    steps = np.diff(np.concatenate([np.zeros((1, 4), np.uint8), rows]), axis=0).tolist()
+    out.put(0, 1)
+    lengths = []
+    for channel, alphabet in ((0, 280), (1, 256), (2, 256), (3, 256)):
+        weights = [0] * alphabet
+        for step in steps:
+            weights[step[channel]] += 1
+        lengths.append(huffman_lengths(weights))
+        write_code(out, lengths[-1])
+    write_single(out, 0)
+    codes = [canonical(n) for n in lengths]
+    for step in steps:
+        for symbol, code, n in zip(step, codes, lengths, strict=True):
+            out.put(code[symbol], n[symbol])
+
+
+@lru_cache(maxsize=3)
+def fixed_model(kind: str) -> Model:
+    out, alpha, columns = Writer(), 0, WIDTH
+    near = [4000 // (1 + min(b, 256 - b)) ** 2 + 2 for b in range(256)]
+    colour = {"text": byte_weights(), "smooth": near, "marks": [2 + 40 * (b in (0, 17)) for b in range(256)]}[kind]
+    if kind == "marks":
+        alpha, columns = 255, WIDTH // 2
+        out.put(1 | 3 << 1, 3)
+        out.put(len(GREYS) - 1, 8)
+        write_palette(out, GREYS)
+    else:
+        out.put(1 | 0 << 1, 3)
+        out.put(7, 3)
+        write_pixel(out, int(kind == "smooth"), 0, 0, 255)
+    if kind == "smooth":
+        out.put(1 | 1 << 1, 3)
+        out.put(7, 3)
+        write_pixel(out, 32, 0, 32, 255)
     total = sum(colour)
     green = [w * 8 for w in colour] + [total // 100] * 12 + [0] * 12 + [max(1, total * 6 // 1000)] * (1 << CACHE_BITS)
     green = [w or 1 for w in green]
     lengths = [huffman_lengths(green), huffman_lengths(colour), huffman_lengths(colour)]
-    out = Writer()
     out.put(0, 1)
     out.put(1, 1)
     out.put(CACHE_BITS, 4)
     out.put(0, 1)
     for n in lengths:
         write_code(out, n)
-    write_single(out, 255)
+    write_single(out, alpha)
     write_single(out, 1)
-    return Model([np.array(canonical(n), U) for n in lengths], [np.array(n, np.int64) for n in lengths], out.n, out.size)
+    return Model([np.array(canonical(n), U) for n in lengths], [np.array(n, np.int64) for n in lengths], out.n, out.size, alpha, columns)
+
+
+def residuals(pixels: np.ndarray, cuts: np.ndarray, left: bool) -> np.ndarray:
+    """Pixels (n, 3) less their prediction: the left one in a frame's first row, the one above in its first column, elsewhere the left one or black."""
+    place = np.arange(len(pixels)) - np.repeat(cuts[:-1], np.diff(cuts))
+    out = pixels.copy()
+    first_column = np.flatnonzero((place % WIDTH == 0) & (place > 0))
+    beside = np.flatnonzero((place % WIDTH > 0) if left else (place > 0) & (place < WIDTH))
+    out[beside] -= pixels[beside - 1]
+    out[first_column] -= pixels[first_column - WIDTH]
+    return out
+
+
+def coded_pixels(pixels: np.ndarray, cuts: np.ndarray) -> list[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+    """(kind, numbers of frames, their pixels as coded, cuts) of each kind: every frame goes to the kind that takes the fewest bits for its literals."""
+    frames, sizes = np.arange(len(cuts) - 1), np.diff(cuts)
+    text, smooth = residuals(pixels, cuts, False), residuals(pixels, cuts, True)
+    smooth[:, 0] -= smooth[:, 1]
+    smooth[:, 2] -= smooth[:, 1]
+    bits = []
+    for kind, coded in (("text", text), ("smooth", smooth)):
+        m = fixed_model(kind)
+        of = m.length[1][coded[:, 0]] + m.length[0][coded[:, 1]] + m.length[2][coded[:, 2]]
+        bits.append(np.add.reduceat(of, cuts[:-1]) + m.header_bits)
+    grey = np.full(256, -1, np.int64)
+    grey[GREYS] = np.arange(len(GREYS))
+    marked = (pixels[:, 0] == pixels[:, 1]) & (pixels[:, 1] == pixels[:, 2]) & (grey[pixels[:, 1]] >= 0)
+    all_marks = np.add.reduceat(marked, cuts[:-1], dtype=np.int64) == sizes
+    chosen = np.where(all_marks, 2, (bits[1] < bits[0]).astype(np.int64))
+    owner, out = np.repeat(chosen, sizes), []
+    for k, (kind, coded) in enumerate((("text", text), ("smooth", smooth), ("marks", pixels))):
+        mine = frames[chosen == k]
+        if not len(mine):
+            continue
+        own, n = coded[owner == k], sizes[mine]
+        if kind == "marks":
+            index = grey[own[:, 1]].astype(np.uint8).reshape(-1, 2)
+            own, n = np.zeros((len(index), 3), np.uint8), n // 2
+            own[:, 1] = index[:, 0] | index[:, 1] << 4
+        out.append((kind, mine, own, np.concatenate([[0], np.cumsum(n)])))
+    return out
 
 
-def encode_frames(pixels: np.ndarray, cuts: np.ndarray) -> list[bytes]:
-    """Lossless images, 64 wide, of consecutive stretches of pixels (n, 3: red, green, blue)."""
-    m = fixed_model()
+def encode_frames(pixels: np.ndarray, cuts: np.ndarray, m: Model) -> list[bytes]:
+    """Lossless images, 64 wide, of consecutive stretches of pixels as coded (n, 3: red, green, blue)."""
     n = len(pixels)
     px = pixels[:, 0].astype(np.int64) << 16 | pixels[:, 1].astype(np.int64) << 8 | pixels[:, 2]
-    argb = px | 255 << 24
+    argb = px | m.alpha << 24
     first = np.zeros(n, bool)
     first[cuts[:-1]] = True
     same = np.zeros(n, bool)
@@ -650,7 +754,7 @@ def encode_frames(pixels: np.ndarray, cuts: np.ndarray) -> list[bytes]:
     out = []
     n_header = (40 + m.header_bits + 7) // 8
     for k in range(len(cuts) - 1):
-        height = int(cuts[k + 1] - cuts[k]) // WIDTH
+        height = int(cuts[k + 1] - cuts[k]) // m.columns
         head = 0x2F | (WIDTH - 1) << 8 | (height - 1) << 22 | m.header << 40
         data = raw[base[k] * 8 : base[k] * 8 + (int(total[k]) + 7) // 8]
         front = (int.from_bytes(data[:n_header], "little") | head).to_bytes(n_header, "little")
@@ -689,7 +793,10 @@ def encode_payloads(payloads: list[bytes]) -> list[bytes]:
         for r in own:
             cuts.append(cuts[-1] + r * WIDTH)
     pixels = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, 3)
-    images = encode_frames(pixels, np.array(cuts))
+    images: list[bytes] = [b""] * (len(cuts) - 1)
+    for kind, frames, coded, own in coded_pixels(pixels, np.array(cuts)):
+        for k, image in zip(frames.tolist(), encode_frames(coded, own, fixed_model(kind)), strict=True):
+            images[k] = image
     out, at = [], 0
     for n, rows in counts:
         out.append(file_of(images[at : at + n], rows))

@@ -57,6 +57,17 @@ def test_bpe_equals_library_on_odd_and_random_texts():
         assert codec.decode(want).decode() == t.decode(want, skip_special_tokens=False)
 
 
+def test_merging_many_words_equals_merging_each():
+    v = bpe.vocabulary(library()[0])
+    rng = random.Random(17)
+    words = ["".join(rng.choice("aeinorst éß日-0 9.") for _ in range(rng.randint(1, 20))).encode()[:60] for _ in range(3000)] + [b"a" * 64, b"\xff\xfe", b" ", b"the the the"]
+    ids, count = v.merge_many(words)
+    ends = count.cumsum().tolist()
+    assert [tuple(ids[e - n : e].tolist()) for e, n in zip(ends, count.tolist(), strict=True)] == [v.merge(w) for w in words]
+    codec = bpe.Codec(v, bpe.Transducer(__import__("numpy").frombuffer(bpe.Transducer.build([], []), "int64")))
+    assert [codec.decode(x) for x in codec.encode_all(["", "a b", "x" * 500, "a b"])] == [b"", b"a b", b"x" * 500, b"a b"]
+
+
 def test_transducer_accepts_its_words_only():
     import numpy as np
 
@@ -129,6 +140,33 @@ def test_webp_round_trip_and_determinism(spark, odd):
         webp.decode_files([files[7][: len(files[7]) // 2]])
 
 
+def test_webp_frames_of_every_kind_invert_their_transforms():
+    """Text, smooth and grey payloads take the kind made for them; each header names its transforms, and the decoder undoes them."""
+    import numpy as np
+
+    rng = random.Random(5)
+    text = " ".join("".join(rng.choices("etaonirshdl", k=5)) for _ in range(700)).encode()
+    steps = np.cumsum(np.array(rng.choices((-1, 0, 1), k=2048 * 3)).reshape(-1, 3), 0) + np.array(rng.choices((60, 61), k=2048 * 3)).reshape(-1, 3) // 60 * 90
+    smooth = (np.repeat(steps[:, :1], 3, axis=1) % 256).astype(np.uint8).tobytes()
+    payloads = [p + b" " * (-len(p) % 192) for p in (text, smooth, b" " * 501 + b"===" * 192, b"---" * 3000 + b"***" * 8)]
+    cuts = np.array([0, *np.cumsum([len(p) // 3 for p in payloads])])
+    pixels = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, 3)
+    kinds = {k: kind for kind, frames, _, _ in webp.coded_pixels(pixels, cuts) for k in frames.tolist()}
+    assert kinds[0] == "text" and kinds[1] == "smooth" and kinds[2] == kinds[3] == "marks"
+    files = webp.encode_payloads(payloads)
+    assert all(i[..., :3].tobytes() == p and (i[..., 3] == 255).all() for i, p in zip(webp.decode_files(files), payloads, strict=True))
+    transforms = [sorted({t[0] for _, _, d in webp.parse_file(f) for t in webp.read_header(d)[2].transforms}) for f in files]
+    assert transforms[0] == [0] and transforms[1] == [0, 1] and transforms[2] == [3]
+    for mode in (0, 1, 2):
+        image = np.frombuffer(rng.randbytes(7 * 9 * 4), np.uint8).reshape(7, 9, 4)
+        fast, slow = image.copy(), image.copy()
+        webp.inverse_one_mode(fast, mode)
+        modes = np.full((7, 9), mode << 8)
+        modes[0, 0] = 11 << 8  # another mode in a corner that has fixed predictions, so the general way is taken
+        webp.inverse_predictor(slow, 0, modes)
+        assert (fast == slow).all()
+
+
 def test_language_by_compression(spark, odd):
     rows = [(i, " ".join(random.Random(i).choices(("the", "and", "house") if i % 2 else ("der", "und", "haus"), k=40)), "en" if i % 2 else "de") for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
