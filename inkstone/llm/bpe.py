@@ -47,8 +47,10 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(0x100 + i): b for i, b in enumerate(hidden)}
 
 
-#: Stands for a pair that never merges; larger than any (rank, id).
-NO_MERGE = (1 << 62, 0)
+#: Stands for a pair that never merges; larger than any (rank, id), and than any rank << 32 | place.
+NO_MERGE, NO_KEY = (1 << 62, 0), 1 << 62
+#: Words that are merged together, and the longest of them.
+MERGED_TOGETHER, LONG_WORD = 1 << 15, 64
 #: Characters of text that are split at a time, which bounds the memory of the pieces.
 SPLIT_CHARS = 1 << 20
 
@@ -66,6 +68,12 @@ def portions(texts: list[str], most: int = SPLIT_CHARS):
         yield run
 
 
+def gather(data: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The stretches data[first : first + count], one after the other."""
+    total = int(count.sum())
+    return data[np.repeat(first - np.cumsum(count) + count, count) + np.arange(total)]
+
+
 class Vocabulary:
     """The tokenizer file's vocabulary as bytes, with the merges as pairs of ids."""
 
@@ -90,6 +98,17 @@ class Vocabulary:
         for rank, m in enumerate(spec["model"]["merges"]):
             a, b = m.split(" ") if isinstance(m, str) else m
             self.merges.setdefault((ids[a], ids[b]), (rank, ids[a + b]))
+        # The same as arrays: pairs as numbers in order, with rank and result; bytes of all tokens one after the other.
+        keys = np.array([a * self.size + b for a, b in self.merges], np.int64)
+        order = np.argsort(keys)
+        self.pair_keys = keys[order]
+        found = np.array(list(self.merges.values()), np.int64).reshape(-1, 2)[order]
+        self.pair_ranks, self.pair_ids = found[:, 0], found[:, 1]
+        self.rank_ids = np.zeros(int(found[:, 0].max(initial=0)) + 1, np.int64)
+        self.rank_ids[self.pair_ranks] = self.pair_ids
+        self.byte_count = np.fromiter(map(len, self.bytes), np.int64, self.size)
+        self.byte_first = np.cumsum(self.byte_count) - self.byte_count
+        self.byte_data = np.frombuffer(b"".join(self.bytes), np.uint8)
         self.added = added
         self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
 
@@ -114,6 +133,52 @@ class Vocabulary:
                 ranks[at] = found((part[at], part[at + 1]), NO_MERGE)
         return tuple(part)
 
+    def merge_many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """merge for many words of at least one byte at once: ids of all, one word after the other, and how many each has.
+
+        In a step every word makes its next merge: the pair of least rank, the leftmost of equals."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        token = np.array(self.byte_ids, np.int64)[np.frombuffer(b"".join(words), np.uint8)]
+        n = len(token)
+        first = np.cumsum(sizes) - sizes
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[first + sizes - 1] = -1
+        before[first] = -1
+        alive = np.ones(n, bool)
+
+        def keys(at: np.ndarray) -> np.ndarray:
+            """rank << 32 | place of the pairs that begin at the places; NO_KEY where none can be merged."""
+            out = np.full(len(at), NO_KEY)
+            has = np.flatnonzero(after[at] >= 0)
+            pair = token[at[has]] * self.size + token[after[at[has]]]
+            where = np.minimum(np.searchsorted(self.pair_keys, pair), len(self.pair_keys) - 1)
+            good = self.pair_keys[where] == pair
+            out[has[good]] = self.pair_ranks[where[good]] << 32 | at[has[good]]
+            return out
+
+        key = keys(np.arange(n))
+        while True:
+            best = np.minimum.reduceat(key, first)
+            best = best[best < NO_KEY]
+            if not len(best):
+                break
+            i = best & 0xFFFFFFFF
+            j = after[i]
+            token[i] = self.rank_ids[best >> 32]
+            after[i] = after[j]
+            more = after[i] >= 0
+            before[after[i[more]]] = i[more]
+            key[j], alive[j] = NO_KEY, False
+            key[i] = keys(i)
+            left = before[i]
+            left = left[left >= 0]
+            key[left] = keys(left)
+        return token[alive].astype(np.int32), np.add.reduceat(alive, first, dtype=np.int64)
+
+    def decoded(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of ids, one token after the other."""
+        return gather(self.byte_data, self.byte_first[ids], self.byte_count[ids])
+
     def _merge_long(self, part: list[int]) -> tuple[int, ...]:
         """The same for long words with a queue, in n log n steps."""
         merges, n = self.merges, len(part)
@@ -213,10 +278,18 @@ class Transducer:
         self.root = int(root[0])
 
     def lookup(self, words: list[bytes]) -> list[tuple[int, ...] | None]:
-        """All words walk together, one byte at a step; None for those not accepted."""
+        """The outputs of words; None for those not accepted."""
+        good, first, count = self.find(words)
+        out: list[tuple[int, ...] | None] = [None] * len(words)
+        for i, a, n in zip(np.flatnonzero(good).tolist(), first.tolist(), count.tolist(), strict=True):
+            out[i] = tuple(self.ids[a : a + n].tolist())
+        return out
+
+    def find(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which words are accepted, and of these where their outputs begin and how many there are. All words walk together, one byte at a step."""
         n = len(words)
         if not n or not len(self.keys):
-            return [None] * n
+            return np.zeros(n, bool), np.zeros(0, np.int64), np.zeros(0, np.int64)
         sizes = np.fromiter(map(len, words), np.int64, n)
         flat = np.frombuffer(b"".join(words), np.uint8)
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
@@ -236,41 +309,63 @@ class Transducer:
             state[live] = self.targets[arc]
             step += 1
         good = ~dead & (self.accepting[state] == 1)
-        out: list[tuple[int, ...] | None] = [None] * n
-        lo, hi = self.offsets[rank[good]], self.offsets[rank[good] + 1]
-        for i, a, b in zip(np.flatnonzero(good).tolist(), lo.tolist(), hi.tolist(), strict=True):
-            out[i] = tuple(self.ids[a:b].tolist())
-        return out
+        first = self.offsets[rank[good]]
+        return good, first, self.offsets[rank[good] + 1] - first
 
 
 class Codec:
-    """Encodes and decodes texts with a vocabulary and a mapped transducer."""
+    """Encodes and decodes texts with a vocabulary and a mapped transducer. Known pieces have numbers; their ids stand one after the other."""
 
     def __init__(self, vocabulary: Vocabulary, transducer: Transducer):
         self.v, self.t = vocabulary, transducer
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.memo: dict[str, int] = {}
+        self.ids, self.first, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        added = sorted(self.v.added.items())
+        self.keep([s for s, _ in added], np.array([i for _, i in added], np.int32), np.ones(len(added), np.int64))
+
+    def keep(self, pieces: list[str], ids: np.ndarray, count: np.ndarray) -> None:
+        self.memo.update(zip(pieces, range(len(self.count), len(self.count) + len(pieces)), strict=True))
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(count) - count])
+        self.ids, self.count = np.concatenate([self.ids, ids.astype(np.int32)]), np.concatenate([self.count, count])
 
     def learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self.memo]
-        if len(self.memo) + len(new) > MEMO_WORDS:
-            self.memo.clear()
-            new = list(pieces)
-        new = [p for p in new if p not in self.v.added]
+        """Numbers for all pieces: the transducer's words first, the others merged exactly."""
+        new = list(pieces.difference(self.memo))
+        if len(self.memo) + len(new) > MEMO_WORDS and len(self.memo) > len(self.v.added):
+            self.forget()
+            new = list(pieces.difference(self.memo))
         raw = [p.encode() for p in new]
-        for p, w, ids in zip(new, raw, self.t.lookup(raw), strict=True):
-            self.memo[p] = ids if ids is not None else self.v.merge(w)
-        for s, i in self.v.added.items():
-            self.memo[s] = (i,)
+        good, first, count = self.t.find(raw)
+        self.keep([new[k] for k in np.flatnonzero(good)], gather(self.t.ids, first, count), count)
+        rest = np.flatnonzero(~good).tolist()
+        short = [k for k in rest if len(raw[k]) <= LONG_WORD]
+        for at in range(0, len(short), MERGED_TOGETHER):
+            part = short[at : at + MERGED_TOGETHER]
+            self.keep([new[k] for k in part], *self.v.merge_many([raw[k] for k in part]))
+        for k in rest:
+            if len(raw[k]) > LONG_WORD:
+                found = self.v.merge(raw[k])
+                self.keep([new[k]], np.array(found, np.int32), np.array([len(found)]))
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        split = [self.v.pieces(t) for t in texts]
+        self.learn(set(chain.from_iterable(split)))
+        n = np.fromiter(map(len, split), np.int64, len(split))
+        number = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(split)), np.int64, int(n.sum()))
+        count = self.count[number]
+        ends = np.concatenate([[0], np.cumsum(count)])[np.cumsum(n)]
+        return np.split(gather(self.ids, self.first[number], count), ends[:-1]) if len(texts) else []
 
     def encode(self, text: str) -> list[int]:
-        pieces = self.v.pieces(text)
-        self.learn(set(pieces))
-        return list(chain.from_iterable(map(self.memo.__getitem__, pieces)))
+        return self.encode_all([text])[0].tolist()
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: list[int] | np.ndarray) -> bytes:
         """UTF-8 of the decoded text; bytes that are not UTF-8 become U+FFFD."""
-        raw = b"".join(map(self.v.bytes.__getitem__, ids))
-        return raw.decode("utf-8", "replace").encode()
+        return self.v.decoded(np.asarray(ids, np.int64)).tobytes().decode("utf-8", "replace").encode()
 
 
 @lru_cache(maxsize=2)
@@ -289,7 +384,9 @@ def compile_lexicon(texts: DataFrame, path: str, size: int = LEXICON_WORDS) -> b
                 found.update(v.pieces(text or ""))
             if len(found) > 40 * TASK_WORDS:
                 found = Counter(dict(found.most_common(20 * TASK_WORDS)))
-        top = sorted(found.items(), key=lambda x: (-x[1], x[0]))[:TASK_WORDS]
+        # Words more frequent than the first one beyond TASK_WORDS.
+        least = np.partition(np.fromiter(found.values(), np.int64, len(found)), -TASK_WORDS - 1)[-TASK_WORDS - 1] if len(found) > TASK_WORDS else 0
+        top = sorted((w, n) for w, n in found.items() if n > least)
         yield pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64())})
 
     counted = map_batches(texts.select("text"), count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -308,19 +405,16 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False, lexicon
 
     def run(batches):
         codec = Codec(vocabulary(path), Transducer(np.memmap(SparkFiles.get(name), np.int64, "r")))
-        v, memo = codec.v, codec.memo
+        v = codec.v
         for batch in batches:
             n_tokens, ids_sha, decoded_sha, all_ids = [], [], [], []
             for run in portions([t or "" for t in batch.column("text").to_pylist()]):
-                split = [v.pieces(t) for t in run]
-                codec.learn(set(chain.from_iterable(split)))
-                for pieces in split:
-                    ids = list(chain.from_iterable(map(memo.__getitem__, pieces)))
+                for ids in codec.encode_all(run):
                     n_tokens.append(len(ids))
-                    ids_sha.append(hashlib.sha256(",".join(map(v.text.__getitem__, ids)).encode()).hexdigest())
+                    ids_sha.append(hashlib.sha256(",".join(map(v.text.__getitem__, ids.tolist())).encode()).hexdigest())
                     decoded_sha.append(hashlib.sha256(codec.decode(ids)).hexdigest())
                     if with_ids:
-                        all_ids.append(np.array(ids, np.int32))
+                        all_ids.append(ids)
             out = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n_tokens, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(decoded_sha, pa.string())}
             if with_ids:
                 out["ids"] = pa.array(all_ids, pa.list_(pa.int32()))
