@@ -28,7 +28,7 @@ HIDDEN = ("tcmt", "hide")
 def extended_level(paras: DataFrame, styles: DataFrame | None) -> Column:
     """The outline level 8 to 10 that a paragraph of level 7 has by its line spacing (7 to 10) and the number in its style's name."""
     base, spacing = F.col("level"), F.col("spacing")
-    named = F.regexp_extract("style_name", "^개요 \\s*([0-9]+)\\s*$", 1).cast("long") if styles is not None else F.lit(None).cast("long")
+    named = F.regexp_extract("style_name", "^개요 \\s*([0-9]+)\\s*$", 1).try_cast("long") if styles is not None else F.lit(None).cast("long")
     deeper = F.when(named.between(8, 10), named).otherwise(spacing + 1)
     return F.when((base == 7) & (F.col("heading") == 1) & spacing.between(7, 10), deeper).otherwise(base)
 
@@ -230,3 +230,11 @@ def write_files(rows: DataFrame, folder: str) -> DataFrame:
 def image_files(binaries: DataFrame, wanted: str | None = None) -> DataFrame:
     """name, data of every picture: below a folder named for its file, as ID.extension."""
     return images(binaries, wanted).select(F.concat(F.regexp_replace(F.element_at(F.split("file", "/"), -1), "[^\\w.-]", "_"), F.lit("-"), F.substring(F.md5("file"), 1, 8), F.lit("/"), "id", F.lit("."), "format").alias("name"), "data")
+
+
+def page_files(pages: DataFrame, css: DataFrame) -> DataFrame:
+    """name, data of placed pages: one HTML file for each page below a folder named for its document, which share one style sheet."""
+    folder = F.concat(F.regexp_replace(F.element_at(F.split("file", "/"), -1), "[^\\w.-]", "_"), F.lit("-"), F.substring(F.md5("file"), 1, 8))
+    html = F.concat(F.lit('<!DOCTYPE html><html><head><meta charset="utf-8"><link rel="stylesheet" href="style.css"></head><body>'), "html", F.lit("</body></html>"))
+    sheets = css.select(F.concat(folder, F.lit("/style.css")).alias("name"), F.col("css").cast("binary").alias("data"))
+    return pages.select(F.concat(folder, F.lit("/page-"), F.lpad(F.col("number").cast("string"), 4, "0"), F.lit(".html")).alias("name"), html.cast("binary").alias("data")).unionByName(sheets)

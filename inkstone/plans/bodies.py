@@ -357,6 +357,30 @@ def batch_errors(spark, d):
     return documents.read_table(broken, "errors").where(F.col("part").isin("file", "char_shapes")).select(F.col("file").cast("long").alias("page_id"), "part", "kind")
 
 
+def shape_sizes(spark, d):
+    """The drawn objects of each file: how many, the tallest, the widest."""
+    shape = record(0x4C, 1, fields(("hex", "63657224"), ("hex", "63657224"), ("zero", "12"), ("zero", "8"), ("u32", "p_partkey"), ("u32", "p_size * 100"), ("zero", "16"), ("zero", "48")))
+    return views.shape_sizes(documents.read_table(body_files(spark, d, shape), "records"))
+
+
+def field_parameters(spark, d):
+    """The parameters of a field, in their order."""
+    xml = F.concat(F.lit('<sec><parameters><integerParam name="n">'), F.col("page_id").cast("string"), F.lit('</integerParam><stringParam name="Command">'), F.regexp_replace("url", "&", "&amp;"), F.lit("</stringParam></parameters></sec>"))
+    files = to_files(read(spark, d, "pages"), F.col("page_id"), F.create_map(F.lit("Contents/section0.xml"), xml.cast("binary")), "package")
+    found = documents.read_table(files, "elements").where("name = 'parameters'")
+    value = lambda path: F.get_json_object("fields", f"$.{path}")
+    return found.select(F.col("file").cast("long").alias("page_id"), value("integerParam[0].name").alias("first"), value("integerParam[0].text").cast("long").alias("n"), value("stringParam[0].name").alias("second"), value("stringParam[0].text").alias("command"))
+
+
+def sql_functions(spark, d):
+    """The registered expressions in SQL."""
+    from inkstone.functions.register import register
+
+    register(spark)
+    read(spark, d, "part").createOrReplaceTempView("inkstone_parts")
+    return spark.sql("SELECT p_partkey, inkstone_roman(p_partkey) AS roman, inkstone_colour_hex(p_partkey) AS colour, inkstone_version_text(p_partkey) AS version, inkstone_html_escape(concat('<', p_name, '>')) AS name, inkstone_control_class(CAST(p_size AS BIGINT)) AS kind FROM inkstone_parts")
+
+
 def sql_numbers(inner: str) -> str:
     return f"(SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part) {inner}"
 
@@ -417,6 +441,9 @@ SELECT seed, place, value FROM (SELECT seed, unnest(range(p, p + n)) AS place, v
         "key_stream_bytes": (key_stream_bytes, stream),
         "batch_errors": (batch_errors, "SELECT page_id, CASE WHEN page_id % 5 = 0 OR page_id % 3 = 0 THEN 'file' ELSE 'char_shapes' END AS part, CASE WHEN page_id % 5 = 0 THEN 'signature' WHEN page_id % 3 = 0 THEN 'cut_off' ELSE 'encrypted' END AS kind FROM pages WHERE page_id % 5 = 0 OR page_id % 3 = 0 OR page_id % 7 = 0"),
         "table_borders": (table_borders, TABLE_BORDERS.replace("{path}", path).replace("{n}", n).replace("{fill}", fill)),
+        "shape_sizes": (shape_sizes, "SELECT p_brand AS file, 'BodyText/Section0' AS stream, count(*) AS shapes, CAST(max(p_size * 100) AS BIGINT) AS tallest, max(p_partkey) AS widest FROM part GROUP BY 1"),
+        "field_parameters": (field_parameters, "SELECT page_id, 'n' AS first, page_id AS n, 'Command' AS second, url AS command FROM pages"),
+        "sql_functions": (sql_functions, f"SELECT p_partkey, {sql_roman_of('p_partkey')} AS roman, printf('#%02X%02X%02X', p_partkey & 255, (p_partkey >> 8) & 255, (p_partkey >> 16) & 255) AS colour, concat_ws('.', (p_partkey >> 24) & 255, (p_partkey >> 16) & 255, (p_partkey >> 8) & 255, p_partkey & 255) AS version, '&lt;' || p_name || '&gt;' AS name, CASE WHEN p_size IN (0, 10, 13, 24, 30, 31) THEN 'char' WHEN p_size IN (4, 5, 6, 7, 8, 9, 19, 20) THEN 'inline' ELSE 'extended' END AS kind FROM part"),
         "table_svg": (table_svg, None),
     }
 
@@ -427,6 +454,12 @@ def sql_by_shape(shape: str, n: str) -> str:
     return sql_shape(f"({shape})", n)
 
 
+def sql_roman_of(n: str) -> str:
+    from inkstone.plans.scalars import sql_roman
+
+    return sql_roman(n)
+
+
 def sql_quoted(x: str, names: dict[int, str]) -> str:
     """Names of set bits in quotes, comma-joined."""
     return "concat_ws(',', " + ", ".join(f"CASE WHEN ({x} >> {b}) & 1 = 1 THEN '\"{name}\"' END" for b, name in names.items()) + ")"

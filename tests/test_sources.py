@@ -347,3 +347,30 @@ def test_column_assignment_and_neighbour_borders(spark):
     b = lambda line, width: (line, width, 0)
     cells = spark.createDataFrame([(1, 0, 0, 1, 1, b(1, 1), b(1, 5), b(0, 0), b(1, 1), None), (1, 0, 1, 1, 1, b(1, 3), b(0, 9), b(1, 2), b(0, 0), None)], "t int, row int, col int, row_span int, col_span int, left struct<line int, width int, colour int>, right struct<line int, width int, colour int>, top struct<line int, width int, colour int>, bottom struct<line int, width int, colour int>, table struct<left struct<line int, width int, colour int>, right struct<line int, width int, colour int>, top struct<line int, width int, colour int>, bottom struct<line int, width int, colour int>>")
     assert {(r.kind, r.row, r.col, r.width) for r in grid.grid_borders(cells, ["t"]).collect()} == {("v", 0, 0, 1), ("v", 0, 1, 5), ("h", 0, 1, 2), ("h", 1, 0, 1)}
+
+
+def test_pages_are_written_with_a_shared_style_sheet(rich, tmp_path):
+    pages = layout.layout_html(rich | {"line_segments": rich["paragraphs"].sparkSession.createDataFrame([], "file string, path string, segment long, start long, top long, height long, gap long, left long, width long, flags long")})
+    written = render.write_files(render.page_files(pages, render.document_css(rich)), str(tmp_path)).collect()
+    names = sorted(r.path.split("/")[-1] for r in written)
+    assert names[-1] == "style.css" and names[0] == "page-0001.html" and open(written[0].path, encoding="utf-8").read()
+
+
+def test_breaks_by_sheet_and_by_objects(spark):
+    rows = [(1, 0, False, 0.0, 0.0, 5.0, 100.0, "a", None), (1, 1, False, 10.0, 10.0, 15.0, 100.0, "b", None), (1, 2, False, 20.0, 20.0, 25.0, 100.0, "b", 130.0), (1, 3, True, 30.0, 30.0, 35.0, 100.0, "b", None)]
+    df = spark.createDataFrame(rows, "k long, pos long, page_break boolean, first double, last double, bottom double, content_height double, sheet string, object_bottom double")
+    assert [(r.page, r.reason) for r in layout.paginate(df, ["k"], "pos").orderBy("pos").collect()] == [(1, None), (2, "sheet"), (3, "object"), (4, "explicit")]
+
+
+def test_streams_outside_every_folder_are_found_by_name():
+    file = bytearray(C.compound({"FileHeader": C.file_header(), "Lost": b"x" * 100}))
+    c = Compound(bytes(file))
+    n = c.paths.pop("Lost")
+    assert c.find("Storage/Lost") == n and c.read("Root Entry/FileHeader") == c.read("FileHeader") and c.read("No") is None
+
+
+def test_outline_levels_beyond_seven(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(7, 8, 1, "x"), (7, 8, 1, "개요 10"), (7, 6, 1, "개요 9"), (3, 8, 1, "개요 9"), (7, 10, 2, "x")], "level long, spacing long, heading long, style_name string")
+    assert [r.l for r in df.select(render.extended_level(df, df).alias("l")).collect()] == [9, 10, 7, 3, 7]
