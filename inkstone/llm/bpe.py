@@ -5,7 +5,7 @@ suffixes are shared. Arcs carry additive outputs: the outputs along a word's pat
 rank indexes a table of id sequences. The arrays are one file in shared storage that every Python worker maps into
 memory. A pre-token that the automaton doesn't accept is merged exactly by the ranks of the vocabulary.
 
-Defined cases: null text counts as empty (no ids, empty decoding); rows are independent, so ties and repeated rows
+Defined cases: null text counts as empty (no ids, empty decoding); a very long text is encoded whole, alone in its portion; rows are independent, so ties and repeated rows
 need no rule; a null doc_id is kept; further columns of the input are ignored; an empty table gives an empty result.
 """
 
@@ -19,6 +19,7 @@ import re
 from collections import Counter
 from functools import lru_cache
 from itertools import chain
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -400,11 +401,14 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False, lexicon
     spark = docs.sparkSession
     texts = texts_of(docs)
     uri = put_shared_bytes(spark, compile_lexicon(texts, path, lexicon_words), ".fst")
-    spark.sparkContext.addFile(uri)
+    # A shared folder that is mounted is mapped in place; from other storage Spark hands each executor a copy.
+    mounted = urlparse(uri).path if uri.startswith("file:") else None
+    if not mounted:
+        spark.sparkContext.addFile(uri)
     name = uri.rsplit("/", 1)[-1]
 
     def run(batches):
-        codec = Codec(vocabulary(path), Transducer(np.memmap(SparkFiles.get(name), np.int64, "r")))
+        codec = Codec(vocabulary(path), Transducer(np.memmap(mounted or SparkFiles.get(name), np.int64, "r")))
         v = codec.v
         for batch in batches:
             n_tokens, ids_sha, decoded_sha, all_ids = [], [], [], []
