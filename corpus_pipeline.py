@@ -5,6 +5,11 @@ shingles, similarity 0.8); decontamination drops documents that hold a benchmark
 are left; encode turns each text into token ids, with the digest of the text that they decode to; it compares nothing itself, tests do. All but
 the last return the columns of documents. SQL can't express the learned, hashed and tokenised stages, so ORACLE_SQL is None; tests
 compare near_dedup and decontamination with brute force, and pii and encode with their operators and digests, row by row.
+
+Defined cases: rows with a null or empty text, or a null doc_id, pass every stage (null texts stay null, and have no tokens); equal texts are
+near copies, so the least doc_id stays, with all its rows; repeated rows of a document that stays stay; very long texts are handled whole;
+further columns are carried along; without labels nothing is toxic, without a benchmark nothing leaks; an empty table gives an empty result.
+A stage's table is deleted when the next one is written; that of the last is what run() reads, in the shared folder.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.llm import bpe, decontaminate, minhash, pii, toxicity
-from inkstone.llm.common import fold, shared_dir, table
+from inkstone.llm.common import delete_shared, fold, shared_dir, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,4 +61,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if k:
+            delete_shared(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", F.size("ids").cast("long").alias("n_ids"))

@@ -11,8 +11,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch. Whole texts cross to Python, so this bounds a worker's memory.
+#: Rows in one Arrow batch. Whole texts cross to Python, so this and the next bound a worker's memory.
 BATCH_ROWS = 1000
+#: Bytes of a batch that are handled at a time.
+BATCH_BYTES = 16 << 20
+
+
+def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, large ones in slices of rows; a single row is never cut."""
+    for batch in batches:
+        parts = min(batch.num_rows, -(-batch.nbytes // BATCH_BYTES))
+        step = -(-batch.num_rows // parts) if parts > 1 else max(batch.num_rows, 1)
+        for at in range(0, max(batch.num_rows, 1), step):
+            yield batch.slice(at, step)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,12 +74,19 @@ def put_shared_bytes(spark: SparkSession, data: bytes, suffix: str) -> str:
     return fs.makeQualified(path).toString()
 
 
+def delete_shared(spark: SparkSession, path: str) -> None:
+    """Delete a folder of shared storage."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with bounded batches."""
+    """mapInArrow with bounded batches: of BATCH_ROWS rows, which Spark takes from the session's setting (it is lowered for all that follows in the
+    session), and of about BATCH_BYTES."""
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(lambda batches: fn(bounded(batches)), schema)
 
 
 def texts_of(docs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ Kinds: email, ip, card, phone (the base kinds: leftmost, not overlapping within
 retried), then account (after a cue: a valid IBAN or 6 to 17 digits), secret (a cue and a key of 16 characters or more) and
 url (an address with user information, or mailto: and tel: targets).
 
-Defined cases: null text counts as empty (no spans); rows are independent, so repeated rows repeat their result; spans of
+Defined cases: a very long text is searched whole; null text counts as empty (no spans); rows are independent, so repeated rows repeat their result; spans of
 different kinds may overlap, and redaction then replaces their union once; a null doc_id is kept; further columns of the
 input are ignored; an empty table gives an empty result. Offsets count code points, ends are exclusive.
 """

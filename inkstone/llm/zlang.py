@@ -4,7 +4,7 @@ A bounded sample of each language's labelled texts becomes a raw-content zstanda
 language whose dictionary gives the smallest encoding; where the second smallest is hardly larger, the decision is
 marked rejected, though the smallest stays the prediction.
 
-Defined cases: a text that is null or has no letter is `und`, rejected, with score 0; equal sizes go to the language
+Defined cases: a very long text is compressed whole; a text that is null or has no letter is `und`, rejected, with score 0; equal sizes go to the language
 of most labelled texts; rows are independent; null lang teaches nothing; without any labelled text every text is `und`;
 further columns of the input are ignored; an empty table gives an empty result.
 """
