@@ -190,7 +190,7 @@ def table_borders(spark, d):
 
 def table_svg(spark, d):
     t = documents.read_tables(body_files(spark, d, table_paragraph(), border_info()), ("cells", "tables", "zones", "border_fills"))
-    return views.table_svg(t).select("file", "table", F.length("svg").cast("long").alias("chars"), (F.size(F.split("svg", "<path")) - 1).cast("long").alias("paths"))
+    return views.table_svg(t).select("file", "table", (F.size(F.split("svg", "<path")) - 1).cast("long").alias("paths"), F.regexp_extract("svg", '<path d="([^"]*)"', 1).alias("first"))
 
 
 def body_markdown(spark, d):
@@ -444,7 +444,7 @@ SELECT seed, place, value FROM (SELECT seed, unnest(range(p, p + n)) AS place, v
         "shape_sizes": (shape_sizes, "SELECT p_brand AS file, 'BodyText/Section0' AS stream, count(*) AS shapes, CAST(max(p_size * 100) AS BIGINT) AS tallest, max(p_partkey) AS widest FROM part GROUP BY 1"),
         "field_parameters": (field_parameters, "SELECT page_id, 'n' AS first, page_id AS n, 'Command' AS second, url AS command FROM pages"),
         "sql_functions": (sql_functions, f"SELECT p_partkey, {sql_roman_of('p_partkey')} AS roman, printf('#%02X%02X%02X', p_partkey & 255, (p_partkey >> 8) & 255, (p_partkey >> 16) & 255) AS colour, concat_ws('.', (p_partkey >> 24) & 255, (p_partkey >> 16) & 255, (p_partkey >> 8) & 255, p_partkey & 255) AS version, '&lt;' || p_name || '&gt;' AS name, CASE WHEN p_size IN (0, 10, 13, 24, 30, 31) THEN 'char' WHEN p_size IN (4, 5, 6, 7, 8, 9, 19, 20) THEN 'inline' ELSE 'extended' END AS kind FROM part"),
-        "table_svg": (table_svg, None),
+        "table_svg": (table_svg, TABLE_SVG.replace("{borders}", TABLE_BORDERS.replace("{path}", path).replace("{n}", n).replace("{fill}", fill)).replace("{n}", n).replace("{path}", path)),
     }
 
 
@@ -477,3 +477,12 @@ e AS (
   UNION ALL SELECT x.file, x.tb, 'h', 1, c, x.b, d.b, true FROM x, d),
 g AS (SELECT *, CASE WHEN own[1] = 0 THEN NULL WHEN outer_ AND def[1] <> 0 AND def[2] <> 0 AND own[2] < def[2] THEN def WHEN NOT outer_ AND own[2] = 0 THEN def ELSE own END AS p FROM e)
 SELECT file, tb AS "table", kind, CAST("row" AS BIGINT) AS "row", CAST(col AS BIGINT) AS col, CAST(p[1] AS BIGINT) AS line, CAST(p[2] AS BIGINT) AS width, CAST(255 AS BIGINT) AS colour FROM g WHERE p IS NOT NULL AND p[1] <> 0"""
+
+
+# Equal lines that touch are one path; the first one is the topmost horizontal line of the leftmost cells, 100 units a size wide, in mm.
+TABLE_SVG = """WITH b AS ({borders}), r AS (SELECT *, CASE kind WHEN 'v' THEN col ELSE "row" END AS across, CASE kind WHEN 'v' THEN "row" ELSE col END AS along FROM b),
+i AS (SELECT *, along - row_number() OVER (PARTITION BY file, "table", kind, across, line, width ORDER BY along) AS run FROM r),
+m AS (SELECT file, "table", kind, across, line, width, run, min(along) AS a, max(along) AS z FROM i GROUP BY ALL), c AS (SELECT file, "table", count(*) AS paths FROM m GROUP BY ALL),
+f AS (SELECT DISTINCT ON (file, "table") * FROM m ORDER BY file, "table", kind, across, a), p AS (SELECT p_brand AS file, {path} || '.c000' AS "table", p_size * 100 AS w, p_partkey AS h {n}),
+g AS (SELECT *, round(w / 7200.0 * 25.4 * 100, 0) / 100 AS w1, round(2 * w / 7200.0 * 25.4 * 100, 0) / 100 AS w2, round(h / 7200.0 * 25.4 * 100, 0) / 100 AS y1 FROM p)
+SELECT file, "table", paths, 'M' || printf('%.2f', CASE a WHEN 0 THEN 0.0 ELSE w1 END) || ',' || printf('%.2f', CASE across WHEN 0 THEN 0.0 ELSE y1 END) || 'H' || printf('%.2f', CASE z WHEN 0 THEN w1 ELSE w2 END) AS first FROM c JOIN f USING (file, "table") JOIN g USING (file, "table")"""
