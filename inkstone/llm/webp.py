@@ -32,8 +32,8 @@ from inkstone.llm.common import map_batches, texts_of
 
 WIDTH, FRAME_ROWS, ROW_BYTES = 64, 32, 192
 CACHE_BITS = 8
-#: Frames that are encoded and decoded together; bounds the memory.
-LANES = 2048
+#: Frames that are decoded together, and characters of text that are stored together; both bound the memory.
+LANES, PORTION_CHARS = 2048, 1 << 22
 #: Fixed values of the format: the order of code length codes, and the neighbours (x, y) that the first 120 distances mean.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 NEIGHBOURS = (
@@ -356,7 +356,7 @@ def channels(argb: np.ndarray) -> np.ndarray:
 
 def inverse_one_mode(image: np.ndarray, mode: int) -> None:
     """inverse_predictor where all blocks have mode 0 (black), 1 (left) or 2 (top): running sums of bytes."""
-    image[0, 0, 3] += np.uint8(255)
+    image[0, :1, 3] += np.uint8(255)
     image[0] = np.cumsum(image[0], 0, dtype=np.uint8)
     image[:, 0] = np.cumsum(image[:, 0], 0, dtype=np.uint8)
     if mode == 0:
@@ -823,7 +823,7 @@ def store_and_read(docs: DataFrame, with_media: bool = False) -> DataFrame:
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             done = 0
-            for texts in portions([t or "" for t in batch.column("text").to_pylist()]):
+            for texts in portions([t or "" for t in batch.column("text").to_pylist()], PORTION_CHARS):
                 sizes, payloads = zip(*map(payload_of, texts), strict=True)
                 media = encode_payloads(list(payloads))
                 images = decode_files(media)
