@@ -4,7 +4,7 @@ Features of a text: its words (lower-cased letters), pairs of neighbours and pai
 2**20 coordinates and counted once. FTRL-proximal learns with a rate for each coordinate; its L1 term leaves few weights,
 which are of bounded size and travel to every task by broadcast. Scoring never sees labels, languages, sources or ids.
 
-Defined cases: null and empty texts, and texts without letters, have no feature and get the score of the bias; rows are
+Defined cases: a very long text is scored whole and alone; null and empty texts, and texts without letters, have no feature and get the score of the bias; rows are
 independent, so repeated rows repeat their score; without labelled rows the weights are
 empty and every score is just below 0.5, so nothing is rejected; a null doc_id counts as held out; further columns are ignored; an empty table gives an empty result.
 """
@@ -25,7 +25,7 @@ from inkstone.llm.words import CHUNK, NOT_LETTER, U, chunks, mix
 BITS = 20
 #: Bound of the fitting sample: labelled rows, those of least hash of doc_id. Passes over it.
 SAMPLE_ROWS, EPOCHS = 10_000, 8
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 5.0, 0.0
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.0
 
 
 @dataclass
