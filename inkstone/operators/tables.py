@@ -35,6 +35,9 @@ def markdown_table(cells: DataFrame, keys: list[str]) -> DataFrame:
     One aggregation on the table's key; the grid is made of its sorted cells."""
     cell = F.struct(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.coalesce("text", F.lit("")).alias("text"))
     held = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(cell)).alias("_cells"))
+    # Of cells that claim one slot the first counts.
+    fresh = lambda x, i: (i == 0) | (F.get("_cells", i - 1)["row"] != x["row"]) | (F.get("_cells", i - 1)["col"] != x["col"])
+    held = held.withColumn("_cells", F.filter("_cells", fresh))
     width = F.array_max(F.transform("_cells", lambda x: x["col"])) + 1
     held = held.withColumn("_width", width.cast("int")).withColumn("_rows", F.array_distinct(F.transform("_cells", lambda x: x["row"]))).withColumn("_at", F.map_from_entries(F.transform("_cells", lambda x: F.struct(x["row"] * F.col("_width") + x["col"], x["text"]))))
     slots = lambda r: F.transform(F.sequence(F.lit(0), F.col("_width") - 1), lambda c: F.coalesce(F.element_at("_at", r * F.col("_width") + c), F.lit("")))

@@ -299,15 +299,20 @@ def read_table(files: DataFrame, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder that the driver and all executors share: spark.checkpoint.dir, else the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/decoded-{uuid.uuid4().hex}"
+    """A new folder that the driver and all executors share, below spark.checkpoint.dir or else the warehouse; it is deleted when the driver ends."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/decoded-{uuid.uuid4().hex}")
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return path.toString()
 
 
 def read_tables(files: DataFrame, tables: tuple[str, ...], folder: str | None = None) -> dict[str, DataFrame]:
     """Several tables at once: each file is read and decoded once, its rows are written to a folder by table, and read from there.
 
-    The folder (by default one of its own in shared storage) is the caller's to delete when the tables are done with."""
+    The folder is the caller's to delete; without one, the tables last as long as the driver."""
     spark = files.sparkSession
     folder = folder or shared_folder(spark)
     one = {t: pa.struct([(n, ARROW[k]) for n, k in columns_of(t)]) for t in tables}

@@ -374,3 +374,8 @@ def test_outline_levels_beyond_seven(spark):
 
     df = spark.createDataFrame([(7, 8, 1, "x"), (7, 8, 1, "개요 10"), (7, 6, 1, "개요 9"), (3, 8, 1, "개요 9"), (7, 10, 2, "x")], "level long, spacing long, heading long, style_name string")
     assert [r.l for r in df.select(render.extended_level(df, df).alias("l")).collect()] == [9, 10, 7, 3, 7]
+
+
+def test_cells_that_claim_one_slot(spark):
+    cells = spark.createDataFrame([(1, 0, 0, "a"), (1, 0, 0, "b"), (1, 0, 2, None), (1, 2, 1, "c")], "t int, row long, col long, text string")
+    assert grid.markdown_table(cells, ["t"]).first().markdown == "| a |  |  |\n| --- | --- | --- |\n|  | c |  |"
