@@ -61,7 +61,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def put_shared_bytes(spark: SparkSession, data: bytes, suffix: str) -> str:
-    """Write one file into the shared folder through Hadoop's file system layer; return its URI."""
+    """Write one file into the shared folder through Hadoop's file system layer; return its URI. It is deleted when the driver ends."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}{suffix}")
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -71,6 +71,7 @@ def put_shared_bytes(spark: SparkSession, data: bytes, suffix: str) -> str:
             out.write(bytearray(data[at : at + (1 << 20)]))
     finally:
         out.close()
+    fs.deleteOnExit(path)
     return fs.makeQualified(path).toString()
 
 
