@@ -199,6 +199,15 @@ def body_markdown(spark, d):
     return render.document_text(t).select("file", F.col("text").alias("markdown"))
 
 
+def compound_json(spark, d):
+    """The one JSON schema, of a compound file: runs, controls, cells."""
+    held = read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("file"), table_paragraph().alias("hex"))
+    files = compounds(held, {"DocInfo": F.lit(""), "BodyText/Section0": F.col("hex")})
+    t = documents.read_tables(files, ("headers", "runs", "paragraphs", "cells"))
+    value = lambda path: F.get_json_object("json", f"$.{path}")
+    return render.document_json(t).select(F.col("file").cast("long").alias("p_partkey"), value("header.format").alias("format"), value("paragraphs[0].runs[1].text").alias("text"), value("paragraphs[1].runs[0].text").alias("first"), value("cells[1].col").cast("long").alias("col"), value("cells[1].height").cast("long").alias("height"), value("paragraphs[0].runs[0].control").alias("left_out"))
+
+
 def section_paragraph() -> Column:
     page = record(0x49, 2, fields(("u32", "59528"), ("u32", "84188"), ("u32", "p_size * 100"), ("u32", "8504"), ("u32", "5668"), ("u32", "4252"), ("u32", "1000"), ("u32", "p_partkey"), ("u32", "283"), ("u32", "p_size % 2")))
     section = control(1, "secd", ("zero", "14"), ("u16", "p_size % 3"), ("zero", "10"))
@@ -422,6 +431,7 @@ SELECT seed, place, value FROM (SELECT seed, unnest(range(p, p + n)) AS place, v
         "cell_fills": (cell_fills, f"SELECT p_brand AS file, {path} || '.c000.r000.k' || printf('%03d', c) AS path, CAST({fill} AS BIGINT) AS fill_id {n}, (SELECT unnest([0, 1]) AS c)"),
         "table_sizes": (table_sizes, f"SELECT p_brand AS file, {path} || '.c000' AS \"table\", CAST(2 * p_size * 100 AS BIGINT) AS width, p_partkey AS height {n}"),
         "body_markdown": (body_markdown, "SELECT p_brand AS file, string_agg('T' || chr(10) || chr(10) || '| ' || p_name || ' | ' || CAST(p_size AS VARCHAR) || ' |' || chr(10) || '| --- | --- |', chr(10) || chr(10) ORDER BY p_partkey) AS markdown FROM part GROUP BY 1"),
+        "compound_json": (compound_json, "SELECT p_partkey, 'compound' AS format, 'T' AS text, p_name AS first, CAST(1 AS BIGINT) AS col, p_partkey AS height, CAST(NULL AS VARCHAR) AS left_out FROM part"),
         "page_geometry": (page_geometry, f"SELECT {first_id}, CAST(CASE WHEN p_size % 2 = 1 THEN 84188 ELSE 59528 END AS BIGINT) AS width, CAST(CASE WHEN p_size % 2 = 1 THEN 59528 ELSE 84188 END AS BIGINT) AS height, CAST(p_size * 100 + 283 AS BIGINT) AS content_left, CAST(5668 + 1000 AS BIGINT) AS content_top, CAST(CASE WHEN p_size % 2 = 1 THEN 84188 ELSE 59528 END - p_size * 100 - 8504 - 283 AS BIGINT) AS content_width, CASE WHEN p_size % 2 = 1 THEN 59528 ELSE 84188 END - 5668 - 4252 - 1000 - p_partkey AS content_height FROM part"),
         "column_definitions": (column_definitions, f"SELECT {first_id}, CASE p_size % 3 WHEN 0 THEN 'normal' WHEN 1 THEN 'distributed' ELSE 'parallel' END AS kind, greatest(p_partkey % 5, 1) AS columns, CAST(p_size AS BIGINT) AS gap FROM part"),
         "outline_ids": (outline_ids, f"SELECT {first_id}, nullif(CAST(p_size % 3 AS BIGINT), 0) AS outline FROM part"),

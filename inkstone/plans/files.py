@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.operators import render
 from inkstone.plans.relations import read
 from inkstone.sources import documents
-from inkstone.sources.writer import to_packages
+from inkstone.sources.writer import to_files, to_packages
 
 
 def packed_pages(spark: SparkSession, d: str) -> DataFrame:
@@ -36,10 +36,78 @@ def file_versions(spark, d):
     return documents.read_table(packed_pages(spark, d), "headers").groupBy("format", "version").agg(F.count("*").alias("n"))
 
 
+def written_packages(spark: SparkSession, d: str) -> str:
+    """Packages of all pages as real files in a folder of their own, beside files of other kinds."""
+    folder = documents.shared_folder(spark)
+    packed = packed_pages(spark, d).select(F.concat(F.lit("in/"), "path", F.lit(".hwpx")).alias("name"), F.col("content").alias("data"))
+    other = packed.select(F.regexp_replace("name", "hwpx$", "txt").alias("name"), F.lit(b"no document").alias("data"))
+    render.write_files(packed.unionByName(other), folder).write.format("noop").mode("overwrite").save()
+    return folder
+
+
+def page_of(file: str) -> Column:
+    return F.regexp_extract(file, "([0-9]+)\\.hwpx$", 1).cast("long").alias("page_id")
+
+
+def directory_scan(spark, d):
+    """The documents below a folder, found by their extension, with the text of their first paragraph."""
+    files = documents.scan(spark, written_packages(spark, d))
+    return documents.read_table(files, "runs").where("path = '0000.000000'").select(page_of("file"), "text")
+
+
+def command_line_info(spark, d):
+    """What the command line's info shows of each file of a folder."""
+    from inkstone import cli
+
+    return cli.result(spark, "info", written_packages(spark, d)).select(page_of("file"), "version", "format", "sections", "paragraphs", "images")
+
+
+def command_line_markdown(spark, d):
+    from inkstone import cli
+
+    return cli.result(spark, "to-markdown", written_packages(spark, d)).select(page_of("file"), F.col("text").alias("markdown"))
+
+
+def drop_folder_stream(spark, d):
+    """A stream over a drop folder, run until all files that have arrived are decoded."""
+    from inkstone.streaming.folder import arriving_table
+
+    out = documents.shared_folder(spark)
+    rows = arriving_table(spark, written_packages(spark, d) + "/in", "runs")
+    rows.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select(page_of("file"), "path", "text")
+
+
+def event_time_counts(spark, d):
+    """Files by format in windows of ten minutes of their time: events as files, whose first bytes follow their type."""
+    from inkstone.streaming.folder import format_counts
+
+    head = F.when(F.col("event_type") == "click", F.unhex(F.lit("D0CF11E0A1B11AE1"))).when(F.col("event_type") == "view", F.unhex(F.lit("504B0304"))).otherwise(F.unhex(F.lit("00")))
+    files = read(spark, d, "events").select(F.col("ts").cast("timestamp").alias("modificationTime"), head.alias("content"))
+    return format_counts(files).select(F.unix_seconds("window.start").alias("start"), "format", "n")
+
+
+def written_pictures(spark, d):
+    """Pictures of packages as files: their names below the folder, and their bytes."""
+    item = '<package><manifest><item id="image1" href="BinData/image1.png"/></manifest></package>'
+    parts = F.create_map(F.lit("Contents/content.hpf"), F.lit(item).cast("binary"), F.lit("BinData/image1.png"), F.col("html").cast("binary"))
+    found = documents.read_table(to_files(read(spark, d, "pages"), F.col("page_id"), parts, "package"), "binaries")
+    written = render.write_files(render.image_files(found), documents.shared_folder(spark))
+    return written.select(F.concat_ws("/", F.slice(F.split("path", "/"), -2, 2)).alias("name"), "bytes")
+
+
 def catalog() -> dict:
+    decoded = "SELECT page_id, '0000.000000' AS path, url AS text FROM pages UNION ALL SELECT page_id, '0000.000001', html FROM pages"
+    markdown = "SELECT page_id, url || chr(10) || chr(10) || replace(html, chr(10), '  ' || chr(10)) AS markdown FROM pages"
     return {
-        "decode_packages": (decode_packages, "SELECT page_id, '0000.000000' AS path, url AS text FROM pages UNION ALL SELECT page_id, '0000.000001', html FROM pages"),
-        "package_markdown": (package_markdown, "SELECT page_id, url || chr(10) || chr(10) || replace(html, chr(10), '  ' || chr(10)) AS markdown FROM pages"),
+        "directory_scan": (directory_scan, "SELECT page_id, url AS text FROM pages"),
+        "command_line_info": (command_line_info, "SELECT page_id, '5.1.0.0' AS version, 'package' AS format, CAST(1 AS BIGINT) AS sections, CAST(2 AS BIGINT) AS paragraphs, CAST(0 AS BIGINT) AS images FROM pages"),
+        "command_line_markdown": (command_line_markdown, markdown),
+        "drop_folder_stream": (drop_folder_stream, decoded),
+        "event_time_counts": (event_time_counts, "SELECT epoch_us(ts) // 1000000 // 600 * 600 AS start, CASE event_type WHEN 'click' THEN 'compound' WHEN 'view' THEN 'package' ELSE 'unknown' END AS format, count(*) AS n FROM events GROUP BY 1, 2"),
+        "written_pictures": (written_pictures, "SELECT CAST(page_id AS VARCHAR) || '-' || substring(md5(CAST(page_id AS VARCHAR)), 1, 8) || '/image1.png' AS name, CAST(strlen(html) AS BIGINT) AS bytes FROM pages"),
+        "decode_packages": (decode_packages, decoded),
+        "package_markdown": (package_markdown, markdown),
         "batch_status_counts": (batch_status_counts, "SELECT CASE WHEN page_id % 3 = 0 THEN 'error' ELSE 'ok' END AS status, count(*) AS n FROM pages GROUP BY 1"),
         "file_versions": (file_versions, "SELECT 'package' AS format, '5.1.0.0' AS version, count(*) AS n FROM pages"),
     }

@@ -139,10 +139,11 @@ def section_restart(spark, d):
 
 
 def spine_sections(spark, d):
-    """Sections whose parts have names of their own: the manifest's spine gives their order."""
+    """Sections whose parts have names of their own: the manifest, which the container names, gives their order in its spine."""
     manifest = '<package><manifest><item id="b" href="Contents/body.xml"/><item id="a" href="Contents/after.xml"/></manifest><spine><itemref idref="b"/><itemref idref="a"/></spine></package>'
     piece = lambda t: xml("<sec>", *para(0, *run_of(t)), "</sec>").cast("binary")
-    parts = F.create_map(F.lit("Contents/content.hpf"), F.lit(manifest).cast("binary"), F.lit("Contents/body.xml"), piece(F.col("url")), F.lit("Contents/after.xml"), piece(F.col("page_id")))
+    container = '<container><rootfiles><rootfile full-path="Other/root.opf" media-type="application/hwpml-package+xml"/></rootfiles></container>'
+    parts = F.create_map(F.lit("META-INF/container.xml"), F.lit(container).cast("binary"), F.lit("Other/root.opf"), F.lit(manifest).cast("binary"), F.lit("Contents/body.xml"), piece(F.col("url")), F.lit("Contents/after.xml"), piece(F.col("page_id")))
     found = documents.read_table(to_files(read(spark, d, "pages"), F.col("page_id"), parts, "package"), "runs")
     return found.select(F.col("file").cast("long").alias("page_id"), "path", "text")
 
@@ -153,7 +154,7 @@ def lined() -> Column:
     return xml(*para(0, *run_of(name()), segments))
 
 
-def page_files(spark: SparkSession, d: str, body: Column) -> DataFrame:
+def package_of_each(spark: SparkSession, d: str, body: Column) -> DataFrame:
     """A package for each part."""
     section = F.concat(F.lit('<sec><p paraPrIDRef="0"><run charPrIDRef="0"><secPr><pagePr width="59528" height="84188"><margin left="8504" right="8504" top="5668" bottom="4252" header="4252" footer="4252"/></pagePr></secPr></run></p>'), body, F.lit("</sec>"))
     parts = F.create_map(F.lit("Contents/header.xml"), F.lit(HEAD).cast("binary"), F.lit("Contents/section0.xml"), section.cast("binary"))
@@ -161,31 +162,38 @@ def page_files(spark: SparkSession, d: str, body: Column) -> DataFrame:
 
 
 def layout_pages(spark, d):
-    t = documents.read_tables(page_files(spark, d, lined()), ("paragraphs", "runs", "line_segments", "pages"))
+    t = documents.read_tables(package_of_each(spark, d, lined()), ("paragraphs", "runs", "line_segments", "pages"))
     return layout.layout_html(t).select(F.col("file").cast("long").alias("p_partkey"), "page", "number", "html")
 
 
+def page_files(spark, d):
+    """Placed pages as HTML files that share a style sheet."""
+    t = documents.read_tables(package_of_each(spark, d, lined()), ("paragraphs", "runs", "line_segments", "pages", "char_shapes", "para_shapes", "fonts"))
+    found = render.page_files(layout.layout_html(t), render.document_css(t))
+    return found.where("name like '%.html'").select("name", F.md5("data").alias("digest"))
+
+
 def synthetic_lines(spark, d):
     """Lines for documents that have none: as many as their text needs cells of the page's width."""
     long = F.repeat(F.concat(name(), F.lit(" ")), (F.col("p_size") + 1).cast("int"))
-    t = documents.read_tables(page_files(spark, d, xml(*para(0, *run_of(long)))), ("paragraphs", "runs", "line_segments", "pages"))
+    t = documents.read_tables(package_of_each(spark, d, xml(*para(0, *run_of(long)))), ("paragraphs", "runs", "line_segments", "pages"))
     found = layout.synthetic_segments(t["paragraphs"], t["runs"], t["pages"], t["line_segments"])
     return found.where("path <> '0000.000000'").groupBy(F.col("file").cast("long").alias("p_partkey")).agg(F.count("*").alias("lines"), F.max("top").alias("lowest"), F.max("width").alias("width"))
 
 
 def files_with_lines(spark, d):
     body = F.when(F.pmod("p_partkey", F.lit(2)) == 0, lined()).otherwise(xml(*para(0, *run_of(name()))))
-    t = documents.read_tables(page_files(spark, d, body), ("paragraphs", "line_segments"))
+    t = documents.read_tables(package_of_each(spark, d, body), ("paragraphs", "line_segments"))
     return views.files_with_lines(t["paragraphs"], t["line_segments"]).select(F.col("file").cast("long").alias("p_partkey"), "has_lines")
 
 
 def document_info(spark, d):
-    t = documents.read_tables(page_files(spark, d, xml(*para(0, *run_of(name())))), ("headers", "paragraphs", "binaries"))
+    t = documents.read_tables(package_of_each(spark, d, xml(*para(0, *run_of(name())))), ("headers", "paragraphs", "binaries"))
     return views.info(t).select(F.col("file").cast("long").alias("p_partkey"), "version", "format", "sections", "paragraphs", "images")
 
 
 def document_json(spark, d):
-    t = documents.read_tables(page_files(spark, d, xml(*para(0, *run_of(name())))), ("runs", "paragraphs", "headers"))
+    t = documents.read_tables(package_of_each(spark, d, xml(*para(0, *run_of(name())))), ("runs", "paragraphs", "headers"))
     return render.document_json(t).select(F.col("file").cast("long").alias("p_partkey"), "json")
 
 
@@ -217,6 +225,7 @@ def catalog() -> dict:
     grid = "'| ' || p_size || ' |' || chr(10) || '| --- |'"
     shown = lambda t: f"regexp_replace({t}, '^ | $', '&nbsp;', 'g')"
     line = lambda text, y: f"'<div class=\"line cs-0\" style=\"left:' || {sql_mm('8504')} || ';top:' || {sql_mm(y)} || '\">' || {text} || '</div>'"
+    placed = f"'<div class=\"page\" style=\"width:' || {sql_mm('59528')} || ';height:' || {sql_mm('84188')} || '\">' || {line(shown('substring(p_name, 1, 3)'), '(5668 + 4252)')} || {line(shown('substring(p_name, 4)'), '(5668 + 4252 + 1600)')} || '<div class=\"number\">1</div></div>'"
     return {
         "rendered_markdown": (rendered_markdown, whole(md, "'[^' || k || ']: ' || p_size", nl, "markdown")),
         "rendered_html": (rendered_html, f"SELECT file, '<article>' || chr(10) || html || chr(10) || '</article>' AS html FROM ({whole(html, note, 'chr(10)', 'html')})"),
@@ -230,7 +239,8 @@ def catalog() -> dict:
         "version_lines": (version_lines, f"SELECT DISTINCT p_brand AS file, '**버전**: 5.1.0.0' || {nl} || '**용지 크기**: ' || {sql_mm('59528')} || ' x ' || {sql_mm('84188')} AS top FROM part"),
         "section_restart": (section_restart, "SELECT p_partkey, printf('%04d.000001.c%03d', s, c) AS path, CAST(c + 1 + CASE WHEN p_partkey % 2 = 1 THEN 2 * s ELSE 0 END AS BIGINT) AS n FROM part, (SELECT unnest([0, 1]) AS s), (SELECT unnest([0, 1]) AS c)"),
         "spine_sections": (spine_sections, "SELECT page_id, '0000.000000' AS path, url AS text FROM pages UNION ALL SELECT page_id, '0001.000000', CAST(page_id AS VARCHAR) FROM pages"),
-        "layout_pages": (layout_pages, f"SELECT p_partkey, CAST(1 AS BIGINT) AS page, CAST(1 AS BIGINT) AS number, '<div class=\"page\" style=\"width:' || {sql_mm('59528')} || ';height:' || {sql_mm('84188')} || '\">' || {line(shown('substring(p_name, 1, 3)'), '(5668 + 4252)')} || {line(shown('substring(p_name, 4)'), '(5668 + 4252 + 1600)')} || '<div class=\"number\">1</div></div>' AS html FROM part"),
+        "page_files": (page_files, f"SELECT CAST(p_partkey AS VARCHAR) || '-' || substring(md5(CAST(p_partkey AS VARCHAR)), 1, 8) || '/page-0001.html' AS name, md5('<!DOCTYPE html><html><head><meta charset=\"utf-8\"><link rel=\"stylesheet\" href=\"style.css\"></head><body>' || {placed} || '</body></html>') AS digest FROM part"),
+        "layout_pages": (layout_pages, f"SELECT p_partkey, CAST(1 AS BIGINT) AS page, CAST(1 AS BIGINT) AS number, {placed} AS html FROM part"),
         "synthetic_lines": (synthetic_lines, "SELECT p_partkey, lines, (lines - 1) * 1600 + 1600 AS lowest, CAST(42520 AS BIGINT) AS width FROM (SELECT p_partkey, CAST(greatest(1, ceil((length(p_name) + 1) * (p_size + 1) * 500 / 42520.0)) AS BIGINT) AS lines FROM part)"),
         "files_with_lines": (files_with_lines, "SELECT p_partkey, p_partkey % 2 = 0 AS has_lines FROM part"),
         "document_info": (document_info, "SELECT p_partkey, '5.1.0.0' AS version, 'package' AS format, CAST(1 AS BIGINT) AS sections, CAST(2 AS BIGINT) AS paragraphs, CAST(0 AS BIGINT) AS images FROM part"),
