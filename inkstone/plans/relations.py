@@ -124,8 +124,9 @@ def five_part_union(spark, d):
     """An order as a document: a header, its items as body, a footer, a footnote for each returned item, and an endnote."""
     o = read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.lit(0).cast("long").alias("pos"), "o_orderstatus", "o_orderpriority")
     li = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("long").alias("pos")).agg(F.count("*").alias("n"), F.max("l_returnflag").alias("flag"))
-    line = lambda df, *parts: df.select("k", "pos", F.concat(*(F.lit(p) if p.startswith(("# ", "item ", "[^")) or p == "]: back" else F.col(p).cast("string") for p in parts)).alias("line"))
-    parts = [line(o, "# ", "k"), line(li, "item ", "pos"), line(o, "o_orderstatus"), line(li.where("flag = 'R'"), "[^", "pos", "]: back"), line(o, "o_orderpriority")]
+    line = lambda df, *parts: df.select("k", "pos", F.concat(*parts).alias("line"))
+    text, lit = lambda c: F.col(c).cast("string"), F.lit
+    parts = [line(o, lit("# "), text("k")), line(li, lit("item "), text("pos")), line(o, text("o_orderstatus")), line(li.where("flag = 'R'"), lit("[^"), text("pos"), lit("]: back")), line(o, text("o_orderpriority"))]
     return J.assemble(parts, "k", "pos", "line")
 
 

@@ -88,7 +88,7 @@ class Package:
 
 
 # Codes of the binary format for the names of this one, by place.
-ALIGNS, HEADINGS, UNDERLINES, LINE_CODES = (tuple(names_of(k)[1].values()) for k in ("align", "heading", "underline", "wavy_line"))
+ALIGNS, HEADINGS, LINE_CODES, TABS, LEADERS = (tuple(names_of(k)[1].values()) for k in ("align", "heading", "wavy_line", "tab", "line"))
 NUMBER_CODES = tuple(ENUMS["number"].split(" "))
 SIDES = (("left", "leftBorder"), ("right", "rightBorder"), ("top", "topBorder"), ("bottom", "bottomBorder"))
 
@@ -149,7 +149,7 @@ def head(root: ElementTree.Element | None) -> dict[str, list[dict]]:
             sides = {f"{side}_{k}": v for side, part in SIDES for k, v in (("line", LINE_CODES.index(f.get(f"{part}.type", "NONE"))), ("width", width_code(f.get(f"{part}.width"))), ("colour", bgr(f.get(f"{part}.color"))))}
             out["border_fills"].append({"id": f["id"], "bits": bits, **sides, "fill": bgr(fill)})
         elif name == "tabPr":
-            tabs = [{"position": t["pos"], "kind": ("LEFT", "RIGHT", "CENTER", "DECIMAL").index(t["type"]), "fill": names_of("line")[1] and tuple(names_of("line")[1]).index(t["leader"])} for t in f["tabItem"]]
+            tabs = [{"position": t["pos"], "kind": TABS.index(t["type"]), "fill": LEADERS.index(t["leader"])} for t in f["tabItem"]]
             out["tab_defs"].append({"id": f["id"], "bits": int(f["autoTabLeft"]) | int(f["autoTabRight"]) << 1, "tabs": json.dumps(tabs)})
     return out
 
