@@ -9,7 +9,7 @@ from inkstone.functions import values as V
 from inkstone.operators import inline, layout, render, views
 from inkstone.operators.tables import ordered
 from inkstone.plans.records import counted, le, one_field, record, units
-from inkstone.plans.relations import read
+from inkstone.plans.relations import read, spread
 from inkstone.sources import documents, protected
 from inkstone.sources.writer import file_header_bytes, to_files
 
@@ -28,7 +28,7 @@ def compounds(held: DataFrame, streams: dict[str, Column], flags: int | Column =
     """Compound files of hexadecimal streams (columns of held); document information and bodies are deflated."""
     head = F.lit(bytearray(file_header_bytes(flags))) if isinstance(flags, int) else flags
     parts = F.create_map(F.lit("FileHeader"), head, *(x for name, hexed in streams.items() for x in (F.lit(name), F.unhex(hexed))))
-    return to_files(held, F.col("file"), parts, compress=("DocInfo", "BodyText"))
+    return to_files(spread(held, "file"), F.col("file"), parts, compress=("DocInfo", "BodyText"))
 
 
 def info_record(spark: SparkSession, d: str, tag: int, data: Column, table: str) -> DataFrame:

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.operators import render
-from inkstone.plans.relations import read
+from inkstone.plans.relations import read, spread
 from inkstone.sources import documents
 from inkstone.sources.writer import to_files, to_packages
 
 
 def packed_pages(spark: SparkSession, d: str) -> DataFrame:
     """path, content: a package for each page, its URL and its whole HTML as two paragraphs."""
-    return to_packages(read(spark, d, "pages"), F.col("page_id"), F.array("url", "html"))
+    return to_packages(spread(read(spark, d, "pages"), "page_id"), F.col("page_id"), F.array("url", "html"))
 
 
 def decode_packages(spark, d):

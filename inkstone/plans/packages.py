@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkstone.functions.text import html_escape
-from inkstone.plans.relations import read
+from inkstone.plans.relations import read, spread
 from inkstone.sources import documents
 from inkstone.sources.writer import to_files
 
@@ -83,7 +83,7 @@ def element_query(name: str, spec: str, part: str):
         xml = F.concat(*pieces, *bodies, F.lit(f"</x:{name}>"))
         held = read(spark, d, "part").groupBy(F.col("p_brand").alias("file")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", xml.alias("xml")))).alias("xs"))
         whole = F.concat(F.lit("<root>"), F.array_join(F.transform("xs", lambda x: x["xml"]), ""), F.lit("</root>")).cast("binary")
-        files = to_files(held, F.col("file"), F.create_map(F.lit("Contents/header.xml" if part == "head" else "Contents/section0.xml"), whole), "package")
+        files = to_files(spread(held, "file"), F.col("file"), F.create_map(F.lit("Contents/header.xml" if part == "head" else "Contents/section0.xml"), whole), "package")
         found = documents.read_table(files, "elements").where(F.col("name") == name)
         value = lambda path: F.get_json_object("fields", f"$['{path}']")
         body = {path: f"{path}." for kind, path, _, _ in fields if kind == "body"}

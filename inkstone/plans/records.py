@@ -9,7 +9,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.plans.relations import read
+from inkstone.plans.relations import read, spread
 from inkstone.sources import documents
 from inkstone.sources.writer import file_header_bytes, to_files
 
@@ -62,7 +62,7 @@ def stream_files(rows: DataFrame, file: str, key: str, data: Column, stream: str
     pieces = rows.select(F.col(file).alias("file"), F.struct(F.col(key).alias("k"), data.alias("hex")).alias("x")).groupBy("file").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     body = F.unhex(F.array_join(F.transform("xs", lambda x: x["hex"]), ""))
     parts = F.create_map(F.lit("FileHeader"), F.lit(bytearray(file_header_bytes(1))), F.lit(stream), body)
-    return to_files(pieces, F.col("file"), parts, compress=("DocInfo", "BodyText"))
+    return to_files(spread(pieces, "file"), F.col("file"), parts, compress=("DocInfo", "BodyText"))
 
 
 # Rows of part, one record each, in one file for each brand. Expressions are SQL in both engines.

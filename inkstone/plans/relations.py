@@ -16,6 +16,11 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt over all cores: few small rows, each of which costs far more to pack and decode than its bytes tell."""
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def headings(spark: SparkSession, d: str) -> DataFrame:
     """events as headings: a level from 1 to 9 for each, in the order of event_id within user_id."""
     return read(spark, d, "events").select("event_id", "user_id", "event_type", "value", (F.pmod(F.floor("value").cast("long"), F.lit(9)) + 1).alias("level"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from inkstone.functions.text import html_escape
 from inkstone.operators import inline, layout, render, renderers, views
 from inkstone.operators.tables import ordered
-from inkstone.plans.relations import read
+from inkstone.plans.relations import read, spread
 from inkstone.sources import documents
 from inkstone.sources.writer import to_files
 
@@ -40,7 +40,7 @@ def files_of(spark: SparkSession, d: str, body: Column, head: str = HEAD) -> Dat
     section = F.concat(F.lit('<sec><p paraPrIDRef="0"><run charPrIDRef="0"><secPr><pagePr width="59528" height="84188"><margin left="8504" right="8504" top="5668" bottom="4252" header="4252" footer="4252"/></pagePr></secPr></run></p>'), "xml", F.lit("</sec>"))
     binary = lambda t: F.lit(t).cast("binary")
     parts = F.create_map(F.lit("Contents/header.xml"), binary(head), F.lit("Contents/content.hpf"), binary(MANIFEST), F.lit("BinData/image1.png"), binary("PNG"), F.lit("Contents/section0.xml"), section.cast("binary"))
-    return to_files(held, F.col("file"), parts, "package")
+    return to_files(spread(held, "file"), F.col("file"), parts, "package")
 
 
 def tables_of(spark: SparkSession, d: str, body: Column, names: tuple[str, ...] = (*render.TEXT_TABLES, "bullets", "bin_items", "settings", "note_shapes", "captions"), head: str = HEAD) -> dict[str, DataFrame]:
@@ -158,7 +158,7 @@ def package_of_each(spark: SparkSession, d: str, body: Column) -> DataFrame:
     """A package for each part."""
     section = F.concat(F.lit('<sec><p paraPrIDRef="0"><run charPrIDRef="0"><secPr><pagePr width="59528" height="84188"><margin left="8504" right="8504" top="5668" bottom="4252" header="4252" footer="4252"/></pagePr></secPr></run></p>'), body, F.lit("</sec>"))
     parts = F.create_map(F.lit("Contents/header.xml"), F.lit(HEAD).cast("binary"), F.lit("Contents/section0.xml"), section.cast("binary"))
-    return to_files(read(spark, d, "part"), F.col("p_partkey"), parts, "package")
+    return to_files(spread(read(spark, d, "part"), "p_partkey"), F.col("p_partkey"), parts, "package")
 
 
 def layout_pages(spark, d):
