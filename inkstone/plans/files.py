@@ -70,10 +70,10 @@ def command_line_markdown(spark, d):
 
 def drop_folder_stream(spark, d):
     """A stream over a drop folder, run until all files that have arrived are decoded."""
-    from inkstone.streaming.folder import arriving_table
+    from inkstone.streaming.folder import BACKLOG, arriving_table, backlog_session
 
     out = documents.shared_folder(spark)
-    rows = arriving_table(spark, written_packages(spark, d) + "/in", "runs")
+    rows = arriving_table(backlog_session(spark), written_packages(spark, d) + "/in", "runs", BACKLOG)
     rows.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{out}/rows").select(page_of("file"), "path", "text")
 

@@ -9,6 +9,10 @@ from inkstone.functions.text import detect_format
 from inkstone.sources.documents import read_table
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
+#: What opening a file counts besides its bytes, where many small ones wait.
+OPEN_COST = "64k"
+#: Files of a batch where many wait. Each batch writes its list of files, and every tenth all lists so far, so small ones cost more the longer the folder is.
+BACKLOG = 10_000
 
 
 def arriving(spark: SparkSession, folder: str, per_batch: int = 100) -> DataFrame:
@@ -16,9 +20,20 @@ def arriving(spark: SparkSession, folder: str, per_batch: int = 100) -> DataFram
     return spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_batch).load(folder)
 
 
-def arriving_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
+def arriving_table(spark: SparkSession, folder: str, table: str, per_batch: int = 100) -> DataFrame:
     """Rows of a table of the files that arrive. Numbers run within a file, so no state crosses batches."""
-    return read_table(arriving(spark, folder).select("path", "content"), table)
+    return read_table(arriving(spark, folder, per_batch).select("path", "content"), table)
+
+
+def backlog_session(spark: SparkSession) -> SparkSession:
+    """A session of its own for a folder where many small files wait: a task reads as many as their bytes allow, not one for each few,
+    and a batch is listed by a few tasks, not by one for each file. Tasks stay bounded by spark.sql.files.maxPartitionBytes."""
+    own = spark.newSession()
+    for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.session.timeZone"):
+        own.conf.set(key, spark.conf.get(key))
+    own.conf.set("spark.sql.files.openCostInBytes", OPEN_COST)
+    own.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", str(4 * spark.sparkContext.defaultParallelism))
+    return own
 
 
 def format_counts(files: DataFrame, window: str = "10 minutes", late: str = "1 hour") -> DataFrame:

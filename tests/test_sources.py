@@ -1,6 +1,7 @@
 """Synthetic document files through the decoders and renderers."""
 
 import struct
+from pathlib import Path
 
 import pytest
 
@@ -106,6 +107,22 @@ def test_drop_folder_stream(spark, tmp_path):
     assert spark.sql("select count(*) as n from arrived").first().n == 16
 
 
+def test_drop_folder_backlog_is_read_in_few_batches(spark, tmp_path, monkeypatch):
+    """300 pages and as many other files wait: one batch and a few tasks, every row once, and the caller's session stays as it was."""
+    from inkstone.plans import files as queries
+
+    spark.createDataFrame([(i, f"u{i}", f"<p>{i}") for i in range(300)], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    made, real = [], documents.shared_folder
+    monkeypatch.setattr(documents, "shared_folder", lambda s: made.append(real(s)) or made[-1])
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    rows = queries.drop_folder_stream(spark, str(tmp_path))
+    assert sorted((r.page_id, r.path, r.text) for r in rows.collect()) == sorted(x for i in range(300) for x in ((i, "0000.000000", f"u{i}"), (i, "0000.000001", f"<p>{i}")))
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
+    found = [p for m in made for p in Path(m.removeprefix("file:")).glob("state/commits/[0-9]*")]
+    assert len(found) == 1
+    assert len([p for m in made for p in Path(m.removeprefix("file:")).glob("rows/*.parquet")]) <= 2 * spark.sparkContext.defaultParallelism
+
+
 def test_record_and_element_tables(files):
     rows = documents.read_table(files, "records").where("file = 'a.hwp'").collect()
     assert {"char_shape", "para_shape", "para_header", "table", "list_header"} <= {r.name for r in rows}
