@@ -10,10 +10,15 @@ from inkstone.plans.relations import read, spread
 from inkstone.sources import documents
 from inkstone.sources.writer import to_files, to_packages
 
+#: Shares of the pages that arrive in the drop folder one after the other.
+PORTIONS = 2
+#: Folders that written files are dealt over, so that tasks don't wait for each other to enter a file's name.
+FOLDERS = 64
 
-def packed_pages(spark: SparkSession, d: str) -> DataFrame:
+
+def packed_pages(spark: SparkSession, d: str, pages: DataFrame | None = None) -> DataFrame:
     """path, content: a package for each page, its URL and its whole HTML as two paragraphs."""
-    return to_packages(spread(read(spark, d, "pages"), "page_id"), F.col("page_id"), F.array("url", "html"))
+    return to_packages(spread(read(spark, d, "pages"), "page_id") if pages is None else pages, F.col("page_id"), F.array("url", "html"))
 
 
 def decode_packages(spark, d):
@@ -36,12 +41,18 @@ def file_versions(spark, d):
     return documents.read_table(packed_pages(spark, d), "headers").groupBy("format", "version").agg(F.count("*").alias("n"))
 
 
-def written_packages(spark: SparkSession, d: str) -> str:
-    """Packages of all pages as real files in a folder of their own, beside files of other kinds."""
-    folder = documents.shared_folder(spark)
-    packed = packed_pages(spark, d).select(F.concat(F.lit("in/"), "path", F.lit(".hwpx")).alias("name"), F.col("content").alias("data"))
-    other = packed.select(F.regexp_replace("name", "hwpx$", "txt").alias("name"), F.lit(b"no document").alias("data"))
-    render.write_files(packed.unionByName(other), folder).write.format("noop").mode("overwrite").save()
+def written_packages(spark: SparkSession, d: str, folder: str | None = None, portion: tuple[int, int] = (0, 1)) -> str:
+    """Packages of all pages as real files in a folder of their own, beside files of other kinds; portion (k, n): of the k-th of n shares.
+
+    Each page is packed once for both its files. A table whose own partitions keep all cores busy is not dealt out anew, so that its texts aren't on disk twice."""
+    folder, (k, n) = folder or documents.shared_folder(spark), portion
+    pages = read(spark, d, "pages").where(F.coalesce(F.pmod("page_id", F.lit(n)), F.lit(0)) == k)
+    if pages.rdd.getNumPartitions() < 2 * spark.sparkContext.defaultParallelism:
+        pages = spread(pages, "page_id")
+    below = F.coalesce(F.pmod(F.hash("path"), F.lit(FOLDERS)), F.lit(0)).cast("string")
+    one = lambda kind, data: F.struct(F.concat(F.lit("in/"), below, F.lit("/"), "path", F.lit(kind)).alias("name"), data.alias("data"))
+    both = F.array(one(".hwpx", F.col("content")), one(".txt", F.lit(b"no document")))
+    render.write_files(packed_pages(spark, d, pages).select(F.inline(both)), folder).write.format("noop").mode("overwrite").save()
     return folder
 
 
@@ -69,13 +80,16 @@ def command_line_markdown(spark, d):
 
 
 def drop_folder_stream(spark, d):
-    """A stream over a drop folder, run until all files that have arrived are decoded."""
+    """A stream over a drop folder, run until all files that have arrived are decoded. They arrive in portions; each time the stream goes on from its
+    state. The folder is the query's own, so decoded files are taken away, and all files are never there at once."""
     from inkstone.streaming.folder import BACKLOG, arriving_table, backlog_session
 
-    out = documents.shared_folder(spark)
-    rows = arriving_table(backlog_session(spark), written_packages(spark, d) + "/in", "runs", BACKLOG)
-    rows.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{out}/rows").select(page_of("file"), "path", "text")
+    folder, state, out = (documents.shared_folder(spark) for _ in range(3))
+    rows = arriving_table(backlog_session(spark), folder, "runs", BACKLOG, take_away=True)
+    for k in range(PORTIONS):
+        written_packages(spark, d, folder, (k, PORTIONS))
+        rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(out).select(page_of("file"), "path", "text")
 
 
 def event_time_counts(spark, d):

@@ -15,14 +15,15 @@ OPEN_COST = "64k"
 BACKLOG = 10_000
 
 
-def arriving(spark: SparkSession, folder: str, per_batch: int = 100) -> DataFrame:
-    """New files below a folder: path, modificationTime, length, content."""
-    return spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_batch).load(folder)
+def arriving(spark: SparkSession, folder: str, per_batch: int = 100, take_away: bool = False) -> DataFrame:
+    """New files below a folder: path, modificationTime, length, content. take_away deletes the files of a batch once it is committed."""
+    files = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_batch)
+    return files.option("cleanSource", "delete" if take_away else "off").load(folder)
 
 
-def arriving_table(spark: SparkSession, folder: str, table: str, per_batch: int = 100) -> DataFrame:
+def arriving_table(spark: SparkSession, folder: str, table: str, per_batch: int = 100, take_away: bool = False) -> DataFrame:
     """Rows of a table of the files that arrive. Numbers run within a file, so no state crosses batches."""
-    return read_table(arriving(spark, folder, per_batch).select("path", "content"), table)
+    return read_table(arriving(spark, folder, per_batch, take_away).select("path", "content"), table)
 
 
 def backlog_session(spark: SparkSession) -> SparkSession:

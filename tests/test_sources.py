@@ -108,19 +108,31 @@ def test_drop_folder_stream(spark, tmp_path):
 
 
 def test_drop_folder_backlog_is_read_in_few_batches(spark, tmp_path, monkeypatch):
-    """300 pages and as many other files wait: one batch and a few tasks, every row once, and the caller's session stays as it was."""
+    """300 pages and as many other files wait: a batch and a few tasks a portion, every row once, and the caller's session stays as it was."""
     from inkstone.plans import files as queries
 
-    spark.createDataFrame([(i, f"u{i}", f"<p>{i}") for i in range(300)], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    pages = spark.createDataFrame([(i, f"u{i}", f"<p>{i}") for i in range(300)], "page_id long, url string, html string").coalesce(1)
+    pages.write.parquet(f"{tmp_path}/some/pages.parquet")
+    pages.limit(0).write.parquet(f"{tmp_path}/none/pages.parquet")
     made, real = [], documents.shared_folder
     monkeypatch.setattr(documents, "shared_folder", lambda s: made.append(real(s)) or made[-1])
     before = spark.conf.get("spark.sql.files.openCostInBytes")
-    rows = queries.drop_folder_stream(spark, str(tmp_path))
+    rows = queries.drop_folder_stream(spark, f"{tmp_path}/some")
     assert sorted((r.page_id, r.path, r.text) for r in rows.collect()) == sorted(x for i in range(300) for x in ((i, "0000.000000", f"u{i}"), (i, "0000.000001", f"<p>{i}")))
     assert spark.conf.get("spark.sql.files.openCostInBytes") == before
-    found = [p for m in made for p in Path(m.removeprefix("file:")).glob("state/commits/[0-9]*")]
-    assert len(found) == 1
-    assert len([p for m in made for p in Path(m.removeprefix("file:")).glob("rows/*.parquet")]) <= 2 * spark.sparkContext.defaultParallelism
+    found = {p for m in made for p in Path(m.removeprefix("file:")).rglob("commits/[0-9]*")}
+    written = {p for m in made for p in Path(m.removeprefix("file:")).rglob("*.parquet")}
+    assert 1 <= len(found) <= queries.PORTIONS and len(written) <= 2 * queries.PORTIONS * spark.sparkContext.defaultParallelism
+    assert queries.drop_folder_stream(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_written_packages_are_deflated_and_whole(spark, tmp_path):
+    from inkstone.plans import files as queries
+
+    spark.createDataFrame([(0, "u", "word " * 4000), (1, None, None)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    packed = queries.packed_pages(spark, str(tmp_path))
+    assert max(len(r.content) for r in packed.collect()) < 2000
+    assert {(r.file, r.text) for r in documents.read_table(packed, "runs").collect()} >= {("0", "u"), ("0", "word " * 4000)}
 
 
 def test_record_and_element_tables(files):
