@@ -78,3 +78,17 @@ def test_reset_counter(spark):
     reset = F.col("start").isNotNull()
     got = Q.numbers_with_reset(df, ["doc"], "pos", reset, F.col("start"), ~reset).orderBy("pos").collect()
     assert [r.n for r in got] == [1, 2, None, 7, 8]
+
+
+def test_letters_go_on_after_zzz(spark):
+    """27 AA, 703 AAA, 18279 AAAA, up to the largest number of 32 bits: the plain loop over base 26 without a zero."""
+
+    def letters(n):
+        out = ""
+        while n > 0:
+            out, n = chr(65 + (n - 1) % 26) + out, (n - 1) // 26
+        return out
+
+    numbers = [0, 26, 27, 702, 703, 18278, 18279, 19999, 475254, 475255, 12356630, 12356631, 321272406, 321272407, 2**32 - 1]
+    got = {r.n: r.t for r in spark.createDataFrame([(n,) for n in numbers], "n long").select("n", N.alpha_bijective(F.col("n")).alias("t")).collect()}
+    assert got == {n: letters(n) for n in numbers} and got[18279] == "AAAA"
